@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from .decontaminate import ORACLE_OP8, op8_decontaminate
+from .minhash import ORACLE_OP10, op10_minhash
 
 QUERIES = {
     "op8_decontaminate": op8_decontaminate,
+    "op10_minhash": op10_minhash,
 }
 ORACLE = {
     "op8_decontaminate": ORACLE_OP8,
+    "op10_minhash": ORACLE_OP10,
 }
