@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from .decontaminate import ORACLE_OP8, op8_decontaminate
 from .minhash import ORACLE_OP10, op10_minhash
+from .suffix_dedup import op4_suffix_dedup
 
 QUERIES = {
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op8_decontaminate": op8_decontaminate,
     "op10_minhash": op10_minhash,
 }
