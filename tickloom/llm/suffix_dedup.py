@@ -138,7 +138,8 @@ def common_prefixes(order: np.ndarray, word: np.ndarray, most: int) -> np.ndarra
     phi = np.full(n, -1, np.int64)
     phi[order[1:]] = order[:-1]
     compare = np.ones(n, bool)
-    compare[1:] = (phi[1:] < 0) | (phi[:-1] < 0) | (phi[1:] != phi[:-1] + 1)
+    byte = word >> (9 * (DEPTH - 1))
+    compare[1:] = (phi[1:] < 0) | (phi[:-1] < 0) | (phi[1:] != phi[:-1] + 1) | (byte[:-1] != byte[phi[1:] - 1])
     compare[1:] |= ~compare[1:] & (np.arange(1, n) % 4096 == 0)  # values above ``most`` are cut, so begin anew now and then
     at = np.flatnonzero(compare & (phi >= 0))
     shared = np.zeros(n, np.int64)
