@@ -37,7 +37,7 @@ RUN = 1024
 SHARD = 512
 SORT_BYTES = 1 << 20
 DEPTH = 7  # bytes in a word of the first sorting
-_PLACE = np.uint64(0xFFF)
+_PLACE = np.uint64(0xFFFFFF)
 
 
 def _sliding_min(h: np.ndarray, width: int) -> np.ndarray:
@@ -59,9 +59,9 @@ def _runs(batches, length: int, gram: int):
                 continue
             prefix = prefix_hash(raw)
             at = np.arange(len(raw) - gram + 1)
-            # the low bits of a gram's hash give way to its place, so a second smallest gram shows in a run
-            keyed = (span_hash(prefix, at, at + gram) & ~_PLACE) | (at.astype(np.uint64) & _PLACE)
-            least = _sliding_min(keyed, length - gram + 1)
+            # of equal smallest grams the first counts: the low bits of the key are the place
+            grams = span_hash(prefix, at, at + gram)
+            least = _sliding_min((grams & ~_PLACE) | (at.astype(np.uint64) & _PLACE), length - gram + 1)
             size = np.diff(offs)
             count = np.maximum(size - length + 1, 0)
             begin = np.cumsum(count) - count
@@ -69,9 +69,10 @@ def _runs(batches, length: int, gram: int):
             doc = np.repeat(np.arange(len(size)), count)
             if not len(starts):
                 continue
-            m = least[starts] & ~_PLACE
+            place = starts + ((least[starts].astype(np.int64) - starts) & int(_PLACE))
+            m = grams[place]
             moved = np.zeros(len(m), bool)
-            moved[1:] = least[starts[1:]] != least[starts[:-1]]
+            moved[1:] = (place[1:] != place[:-1]) | (starts[1:] & int(_PLACE) == 0)  # past that, places begin anew
             first = np.ones(len(m), bool)
             first[1:] = (m[1:] != m[:-1]) | (doc[1:] != doc[:-1])
             moved &= ~first
