@@ -7,10 +7,10 @@ coordinate meet.  By the pigeonhole principle every pair of signatures that diff
 full shingle sets before they count as linked.
 
 Texts with equal sets are one member from the start.  Within a bucket, first every member is confirmed
-against the bucket's smallest member; only buckets that then still hold two components compare their
+against the bucket's smallest member.  Buckets that then still hold several components compare their
 members across components (in blocks, by set size and signature, so that a hot bucket is dealt out over
-many tasks), and what passes is confirmed as well.  No link between two components is left unexamined,
-and no bucket emits all its pairs.
+many tasks): each member's nearest is confirmed, components grow, and so on while that finds links; then
+every pair across components that is left within the signature-distance threshold is confirmed.
 
 Null and empty texts have no set: each stays alone and is kept.  Rows that repeat a doc_id get the same
 answer; a row without doc_id joins the group of its text but is never the one that stays.
@@ -122,34 +122,67 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataF
     return rows.mapInArrow(compare, "u long, v long")
 
 
-def _across(batches, percent: int, most: int):
-    """Of sorted (key, left block, right block, side, ...) rows the pairs across components that can be near."""
-    group, left, right = None, [], []
+def _across(batches, percent: int, most: int, nearest: bool):
+    """Pairs (a, b, differing coordinates) across components of sorted (key, left block, right block, side, ...) rows.
+
+    Only pairs count whose set sizes and signatures allow a link.  ``nearest``: one partner at most for
+    each member of a block; else all such pairs, each in the first bucket only that both are in.
+    """
+    group, sides = None, ([], [])
 
     def pairs():
-        if group is None or not left:
-            return
-        other = left if group[1] == group[2] else right
-        if not other:
-            return
-        (li, lc, ln, ls), (ri, rc, rn, rs) = (tuple(np.array(x) for x in zip(*((i, c, n, np.frombuffer(s, np.uint16)) for i, c, n, s in side), strict=True)) for side in (left, other))
-        for x in range(len(li)):
-            ok = (rc != lc[x]) & (np.minimum(rn, ln[x]) * 100 >= np.maximum(rn, ln[x]) * percent)
-            ok[ok] = (rs[ok] != ls[x]).sum(1) <= most
-            for y in np.flatnonzero(ok):
-                yield min(li[x], ri[y]), max(li[x], ri[y])
-
-    def out(found):
-        found = set(found)
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+        left, right = sides[0], sides[0] if group and group[1] == group[2] else sides[1]
+        if not left or not right:
+            return [], [], []
+        (li, lc, ln, ls), (ri, rc, rn, rs) = ((np.array([r[0] for r in x]), np.array([r[1] for r in x]), np.array([r[2] for r in x]), np.frombuffer(b"".join(r[3] for r in x), np.uint16).reshape(len(x), -1)) for x in (left, right))
+        ok = (lc[:, None] != rc) & (np.minimum(ln[:, None], rn) * 100 >= np.maximum(ln[:, None], rn) * percent)
+        x, y = np.nonzero(ok)
+        if not len(x):
+            return [], [], []
+        d = np.full(ok.shape, most + 1, np.int64)
+        for lo in range(0, len(x), 1 << 16):
+            i, j = x[lo : lo + (1 << 16)], y[lo : lo + (1 << 16)]
+            d[i, j] = (ls[i] != rs[j]).sum(1)
+        if nearest:
+            y, x = d.argmin(1), d.argmin(0)
+            a, b = np.concatenate([li, ri]), np.concatenate([ri[y], li[x]])
+            d = np.concatenate([d[np.arange(len(y)), y], d[x, np.arange(len(x))]])
+            keep = d <= most
+            return a[keep], b[keep], d[keep]
+        x, y = np.nonzero(d <= most)
+        if left is right:
+            x, y = x[li[x] < ri[y]], y[li[x] < ri[y]]
+        kx, ky = chunk_keys(ls)[x].view(np.int64), chunk_keys(rs)[y].view(np.int64)
+        here = kx[np.arange(len(x)), (kx == ky).argmax(1)] == group[0] if len(x) else np.zeros(0, bool)
+        x, y = x[here], y[here]
+        return np.minimum(li[x], ri[y]), np.maximum(li[x], ri[y]), d[x, y]
+
+    def out():
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in pairs()], names=["a", "b", "d"])
 
     for batch in batches:
-        for key, i, j, side, member, comp, n, sig in zip(*(batch.column(c).to_pylist() for c in range(8)), strict=True):
+        for key, i, j, side, *member in zip(*(batch.column(c).to_pylist() for c in range(8)), strict=True):
             if group != (key, i, j):
-                yield out(pairs())
-                group, left, right = (key, i, j), [], []
-            (right if side else left).append((member, comp, n, sig))
-    yield out(pairs())
+                yield out()
+                group, sides = (key, i, j), ([], [])
+            sides[side].append(member)
+    yield out()
+
+
+def _mixed(inside: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of (key, id) those in buckets that hold several components, with component and last block; and as (key, id)."""
+    placed = inside.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", (F.col("size") / BLOCK).cast("int").alias("last"))
+    placed = written(placed.join(mixed, "key"), "mixed")
+    return placed, placed.select("key", "id")
+
+
+def _blocks(placed: DataFrame, members: DataFrame) -> DataFrame:
+    """Members of mixed buckets, once for each pair of blocks in which their block meets another."""
+    dealt = placed.join(members.select("id", "n", "sig"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("last") + 1).cast("int"))
+    meets = F.expr("transform(sequence(0, last), o -> struct(least(block, o) as i, greatest(block, o) as j, int(block > o) as side))")
+    blocks = dealt.select("key", F.explode(meets).alias("m"), "id", "comp", "n", "sig").select("key", "m.i", "m.j", "m.side", "id", "comp", "n", "sig")
+    return blocks.repartition(partitions(placed.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
 def near_groups(docs: DataFrame, percent: int, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE) -> DataFrame:
@@ -171,21 +204,26 @@ def near_groups(docs: DataFrame, percent: int, doc_id: str = "doc_id", text: str
     links = written(confirmed(best, texts, percent, k), "confirmed")
     labels = written(components(links), "labels")
 
-    # the rest: pairs of one bucket in different components
-    label = lambda df, c, name: df.join(labels.select(F.col("node").alias(c), F.col("component").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
-    placed = label(shared.select("key", "id"), "id", "comp")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", (F.col("size") / BLOCK).cast("int").alias("last"))
-    dealt = placed.join(mixed, "key").join(members.select("id", "n", "sig"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("last") + 1).cast("int"))
-    meets = F.expr("transform(sequence(0, last), o -> struct(least(block, o) as i, greatest(block, o) as j, int(block > o) as side))")
-    blocks = dealt.select("key", F.explode(meets).alias("m"), "id", "comp", "n", "sig").select("key", "m.i", "m.j", "m.side", "id", "comp", "n", "sig")
-    blocks = blocks.repartition(partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    count = CHUNKS * WIDTH
+    # the rest: pairs of one bucket in different components, each member's nearest first
     far = 1 - percent / 100
-    most = int(np.ceil(max(2 * CHUNKS - 1, count * far + 6 * np.sqrt(count * far * (1 - far)))))
-    across = blocks.mapInArrow(lambda b: _across(b, percent, most), "a long, b long").distinct()
-    across = across.join(best, ["a", "b"], "left_anti")
-    more = written(confirmed(across, texts, percent, k), "confirmed")
-    labels = written(components(links.unionByName(more)), "labels")
+    # the expected distance at the limit and four standard deviations; up to 2 * CHUNKS - 1 all pairs meet
+    most = max(2 * CHUNKS - 1, int(CHUNKS * WIDTH * far + 4 * np.sqrt(CHUNKS * WIDTH * far * (1 - far))))
+    tested, inside = best, shared.select("key", "id")
+    while True:
+        placed, inside = _mixed(inside, labels)
+        near = _blocks(placed, members).mapInArrow(lambda b: _across(b, percent, most, True), "a long, b long, d long")
+        near = near.groupBy("a").agg(F.min(F.struct("d", "b")).alias("x")).select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b")).distinct()
+        near = written(near.join(tested, ["a", "b"], "left_anti"), "nearest")
+        more = written(confirmed(near, texts, percent, k), "confirmed")
+        tested = tested.unionByName(near)
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        labels = written(components(links), "labels")
+    rest = _blocks(placed, members).mapInArrow(lambda b: _across(b, percent, most, False), "a long, b long, d long").select("a", "b")
+    more = written(confirmed(rest.join(tested, ["a", "b"], "left_anti"), texts, percent, k), "confirmed")
+    if not more.isEmpty():
+        labels = written(components(links.unionByName(more)), "labels")
 
     of_set = members.select("d1", "d2", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component"))
     rows = sets.select("doc_id", "n_shingles", "d1", "d2").join(of_set, ["d1", "d2"], "left")
