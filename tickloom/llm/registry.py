@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from .decontaminate import ORACLE_OP8, op8_decontaminate
+from .language import op9_language
 from .minhash import ORACLE_OP10, op10_minhash
 from .packing import op6_best_fit
+from .quality import op2_quality
 from .suffix_dedup import op4_suffix_dedup
 from .token_store import op1_repair_tokens
 
 QUERIES = {
     "op1_repair_tokens": op1_repair_tokens,
+    "op2_quality": op2_quality,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op6_best_fit": op6_best_fit,
     "op8_decontaminate": op8_decontaminate,
+    "op9_language": op9_language,
     "op10_minhash": op10_minhash,
 }
 ORACLE = {
