@@ -131,9 +131,10 @@ def _held_out(doc_id):
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> dict:
-    """A model from labelled rows that are not held out; reads the texts of those rows."""
+    """A model from labelled rows that are not held out; only features, never texts, are joined with the labels."""
     known = labels.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{label}`").alias("label")).where("label in (0, 1)").where(~_held_out(F.col("_id")))
-    return fit(with_features(docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").cast("string").alias("text")).join(known, "_id").select("label", "text"), keep=["label"]))
+    texts = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    return fit(with_features(texts, keep=["_id"]).join(known, "_id").select("label", "features"))
 
 
 def good_documents(docs: DataFrame, model: dict, text: str = "text", at_least: float = KEEP) -> DataFrame:
