@@ -9,8 +9,9 @@ full shingle sets before they count as linked.
 Texts with equal sets are one member from the start.  Within a bucket, first every member is confirmed
 against the bucket's smallest member.  Buckets that then still hold several components compare their
 members across components (in blocks, by set size and signature, so that a hot bucket is dealt out over
-many tasks): each member's nearest is confirmed, components grow, and so on while that finds links; then
-every pair across components that is left within the signature-distance threshold is confirmed.
+many tasks): each member's nearest is confirmed, components grow, and so on while that finds links.  Then
+the members that still have a partner within the signature-distance threshold in another component come
+together with their texts, and all such pairs are confirmed in place; only links leave the task.
 
 Null and empty texts have no set: each stays alone and is kept.  Rows that repeat a doc_id get the same
 answer; a row without doc_id joins the group of its text but is never the one that stays.
@@ -122,51 +123,96 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataF
     return rows.mapInArrow(compare, "u long, v long")
 
 
-def _across(batches, percent: int, most: int, nearest: bool):
-    """Pairs (a, b, differing coordinates) across components of sorted (key, left block, right block, side, ...) rows.
+def _near(left: list, right: list, key: int, percent: int, most: int, nearest: bool):
+    """Positions (x, y) in two blocks of members (id, component, set size, signature) of pairs that can be linked.
 
-    Only pairs count whose set sizes and signatures allow a link.  ``nearest``: one partner at most for
-    each member of a block; else all such pairs, each in the first bucket only that both are in.
+    Only pairs of different components count whose set sizes and signatures allow a link.  ``nearest``: one
+    partner at most for each member; else all such pairs, each in the first bucket only that both are in.
     """
-    group, sides = None, ([], [])
-
-    def pairs():
-        left, right = sides[0], sides[0] if group and group[1] == group[2] else sides[1]
-        if not left or not right:
-            return [], [], []
-        (li, lc, ln, ls), (ri, rc, rn, rs) = ((np.array([r[0] for r in x]), np.array([r[1] for r in x]), np.array([r[2] for r in x]), np.frombuffer(b"".join(r[3] for r in x), np.uint16).reshape(len(x), -1)) for x in (left, right))
-        ok = (lc[:, None] != rc) & (np.minimum(ln[:, None], rn) * 100 >= np.maximum(ln[:, None], rn) * percent)
-        x, y = np.nonzero(ok)
-        if not len(x):
-            return [], [], []
-        d = np.full(ok.shape, most + 1, np.int64)
-        for lo in range(0, len(x), 1 << 16):
-            i, j = x[lo : lo + (1 << 16)], y[lo : lo + (1 << 16)]
-            d[i, j] = (ls[i] != rs[j]).sum(1)
-        if nearest:
-            y, x = d.argmin(1), d.argmin(0)
-            a, b = np.concatenate([li, ri]), np.concatenate([ri[y], li[x]])
-            d = np.concatenate([d[np.arange(len(y)), y], d[x, np.arange(len(x))]])
-            keep = d <= most
-            return a[keep], b[keep], d[keep]
-        x, y = np.nonzero(d <= most)
-        if left is right:
-            x, y = x[li[x] < ri[y]], y[li[x] < ri[y]]
-        kx, ky = chunk_keys(ls)[x].view(np.int64), chunk_keys(rs)[y].view(np.int64)
-        here = kx[np.arange(len(x)), (kx == ky).argmax(1)] == group[0] if len(x) else np.zeros(0, bool)
+    (li, lc, ln, ls), (ri, rc, rn, rs) = ((np.array([r[0] for r in s]), np.array([r[1] for r in s]), np.array([r[2] for r in s]), np.frombuffer(b"".join(r[3] for r in s), np.uint16).reshape(len(s), -1)) for s in (left, right))
+    ok = (lc[:, None] != rc) & (np.minimum(ln[:, None], rn) * 100 >= np.maximum(ln[:, None], rn) * percent)
+    x, y = np.nonzero(ok)
+    d = np.full(ok.shape, most + 1, np.int64)
+    for lo in range(0, len(x), 1 << 16):
+        i, j = x[lo : lo + (1 << 16)], y[lo : lo + (1 << 16)]
+        d[i, j] = (ls[i] != rs[j]).sum(1)
+    if nearest:
+        x, y = np.concatenate([np.arange(len(li)), d.argmin(0)]), np.concatenate([d.argmin(1), np.arange(len(ri))])
+        keep = d[x, y] <= most
+        return x[keep], y[keep], d[x, y][keep]
+    x, y = np.nonzero(d <= most)
+    if left is right:
+        x, y = x[x < y], y[x < y]
+    if len(x):
+        kx, ky = chunk_keys(ls).view(np.int64), chunk_keys(rs).view(np.int64)
+        here = np.concatenate([(same := kx[x[lo : lo + 10_000]] == ky[y[lo : lo + 10_000]]).argmax(1) == (kx[x[lo : lo + 10_000]] == key).argmax(1) for lo in range(0, len(x), 10_000)])
         x, y = x[here], y[here]
-        return np.minimum(li[x], ri[y]), np.maximum(li[x], ri[y]), d[x, y]
+    return x, y, d[x, y]
 
-    def out():
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in pairs()], names=["a", "b", "d"])
 
+def _groups(batches, columns: int):
+    """Of sorted (key, left block, right block, side, ...) rows each group with its two sides."""
+    group, sides = None, ([], [])
     for batch in batches:
-        for key, i, j, side, *member in zip(*(batch.column(c).to_pylist() for c in range(8)), strict=True):
-            if group != (key, i, j):
-                yield out()
-                group, sides = (key, i, j), ([], [])
-            sides[side].append(member)
-    yield out()
+        for part in steps(batch, "text") if "text" in batch.schema.names else (batch,):
+            for key, i, j, side, *member in zip(*(part.column(c).to_pylist() for c in range(columns)), strict=True):
+                if group != (key, i, j):
+                    if group and sides[0] and (sides[1] or group[1] == group[2]):
+                        yield group, sides[0], sides[1] if sides[1] else sides[0]
+                    group, sides = (key, i, j), ([], [])
+                sides[side].append(member)
+    if group and sides[0] and (sides[1] or group[1] == group[2]):
+        yield group, sides[0], sides[1] if sides[1] else sides[0]
+
+
+def _nearest(batches, percent: int, most: int):
+    """Each member's nearest partner in another component: (a, b, differing coordinates)."""
+    for group, left, right in _groups(batches, 8):
+        x, y, d = _near(left, right, group[0], percent, most, True)
+        a, b = np.array([r[0] for r in left])[x], np.array([r[0] for r in right])[y]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, b])), pa.array(np.concatenate([b, a])), pa.array(np.concatenate([d, d]))], names=["a", "b", "d"])
+
+
+def _taking_part(batches, percent: int, most: int):
+    """Members of each group that have a partner there."""
+    for (key, i, j), left, right in _groups(batches, 8):
+        x, y, _ = _near(left, right, key, percent, most, False)
+        rows = [(side, r) for side, members, at in ((0, left, x), (int(i != j), right, y)) for r in (members[k] for k in np.unique(at))]
+        if i == j:
+            rows = [(0, r) for r in {r[0]: r for _, r in rows}.values()]
+        cols = [[key] * len(rows), [i] * len(rows), [j] * len(rows), [s for s, _ in rows], *([r[c] for _, r in rows] for c in range(4))]
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["key", "i", "j", "side", "id", "comp", "n", "sig"])
+
+
+def _exact(batches, percent: int, most: int, k: int):
+    """Links (u, v) between components of each group, confirmed on full sets; only such as still join two."""
+    for group, left, right in _groups(batches, 9):
+        x, y, _ = _near(left, right, group[0], percent, most, False)
+        own, other = shingle_sets(pa.array([r[4] for r in left], pa.string()), k), None
+        other = own if left is right else shingle_sets(pa.array([r[4] for r in right], pa.string()), k)
+        root: dict[int, int] = {}
+
+        def find(c, root=root):
+            while (up := root.get(c, c)) != c:
+                c = up
+            return c
+
+        us, vs = [], []
+        for a in np.unique(x).tolist():
+            at = [b for b in y[x == a].tolist() if find(right[b][1]) != find(left[a][1])]
+            for lo in range(0, len(at), 256):
+                some = at[lo : lo + 256]
+                h = np.concatenate([other[b] for b in some])
+                begin = np.cumsum([0, *(len(other[b]) for b in some[:-1])])
+                place = np.minimum(np.searchsorted(own[a], h), len(own[a]) - 1)
+                inter = np.add.reduceat(own[a][place] == h, begin, dtype=np.int64)
+                for b, n in zip(some, inter.tolist(), strict=True):
+                    if 100 * n >= percent * (len(own[a]) + len(other[b]) - n) and (p := find(left[a][1])) != (q := find(right[b][1])):
+                        root[max(p, q)] = min(p, q)
+                        us.append(left[a][0])
+                        vs.append(right[b][0])
+        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
 
 def _mixed(inside: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -211,7 +257,7 @@ def near_groups(docs: DataFrame, percent: int, doc_id: str = "doc_id", text: str
     tested, inside = best, shared.select("key", "id")
     while True:
         placed, inside = _mixed(inside, labels)
-        near = _blocks(placed, members).mapInArrow(lambda b: _across(b, percent, most, True), "a long, b long, d long")
+        near = _blocks(placed, members).mapInArrow(lambda b: _nearest(b, percent, most), "a long, b long, d long")
         near = near.groupBy("a").agg(F.min(F.struct("d", "b")).alias("x")).select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b")).distinct()
         near = written(near.join(tested, ["a", "b"], "left_anti"), "nearest")
         more = written(confirmed(near, texts, percent, k), "confirmed")
@@ -220,8 +266,9 @@ def near_groups(docs: DataFrame, percent: int, doc_id: str = "doc_id", text: str
             break
         links = links.unionByName(more)
         labels = written(components(links), "labels")
-    rest = _blocks(placed, members).mapInArrow(lambda b: _across(b, percent, most, False), "a long, b long, d long").select("a", "b")
-    more = written(confirmed(rest.join(tested, ["a", "b"], "left_anti"), texts, percent, k), "confirmed")
+    rest = _blocks(placed, members).mapInArrow(lambda b: _taking_part(b, percent, most), "key long, i int, j int, side int, id long, comp long, n long, sig binary")
+    rest = rest.join(texts, "id").select("key", "i", "j", "side", "id", "comp", "n", "sig", "text").repartition(partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    more = written(rest.mapInArrow(lambda b: _exact(b, percent, most, k), "u long, v long"), "confirmed")
     if not more.isEmpty():
         labels = written(components(links.unionByName(more)), "labels")
 

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, partitions, steps, work_folder
+from .common import STEP_BYTES, documents, partitions, steps, work_folder
 from .tokenize import default_tokenizer, encoder
 
 SHARD_IDS = 1 << 20
@@ -183,7 +183,7 @@ def write_store(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([before], pa.int64()), pa.array([len(n)], pa.int64()), pa.array([size], pa.int64()), pa.array([blob], pa.binary())], names=["part", "shard", "ids_before", "docs", "ids", "grammar"])
 
         for batch in batches:
-            for step in steps(batch, "text"):
+            for step in steps(batch, "text", min(STEP_BYTES, 4 * shard_ids)):
                 ids, begin = enc.encode(step.column(1))
                 ended = np.full(len(ids) + len(begin) - 1, end_id, np.uint32)
                 ended[np.arange(len(ids)) + np.repeat(np.arange(len(begin) - 1), np.diff(begin))] = ids
@@ -203,7 +203,7 @@ def write_store(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, ids) of every document of a store; ``start`` counts the ids of all documents before it."""
-    return _decoded(spark, path, "ids array<int>", lambda ids: {"ids": ids})
+    return _decoded(spark, path, "ids array<int>", lambda ids: {"ids": pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))})
 
 
 def _decoded(spark: SparkSession, path: str, schema: str, of_ids) -> DataFrame:
