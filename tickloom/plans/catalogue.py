@@ -1 +1,10 @@
+"""All queries of the library by name, and their SQL."""
+
+from __future__ import annotations
+
+from . import factor_queries
+
 QUERIES, ORACLE = {}, {}
+for _part in (factor_queries,):
+    QUERIES |= _part.QUERIES
+    ORACLE |= _part.ORACLE
