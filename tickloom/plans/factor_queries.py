@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.expressions import Sql, over
+from ..functions.kernels import KERNEL
+from ..functions.liquidity import LIQUIDITY
 from ..functions.factors import MINUTE, TICK, compute, ts_corr, ts_mean, ts_std
 from .tables import BAR_COLUMNS, BARS_SQL, BOOK_COLUMNS, CONTRACT, ORDER, TICKS_SQL, bars, nested, ticks
 
@@ -152,8 +154,28 @@ def below(s: Sql) -> str:
 
 PRIMITIVE["here"] = lambda s: "x"
 for _name, _digits in (
-    ("roll_mean_mp", _many(7, "mean_10", "mean_10_5", "sum_10_1")), ("roll_std", _many(4, "std_20_5", "var_20_5")), ("roll_skew_kurt", _many(5, "skew_20_10", "kurt_20_10")), ("roll_minmax", _many(4, "max_14_1", "min_14_1", "median_10_5")),
+    ("roll_mean_mp", _many(7, "mean_10", "mean_10_5", "sum_10_1")), ("roll_std", {"std_20_5": 5, "var_20_5": 2}), ("roll_skew_kurt", _many(5, "skew_20_10", "kurt_20_10")), ("roll_minmax", _many(4, "max_14_1", "min_14_1", "median_10_5")),
     ("roll_quantile_mp", _many(5, "q05_30_10", "q95_30_10")), ("roll_corr_guarded", _many(6, "corr_20_10")), ("ffill_shift_diff", _many(6, "filled", "lag_5", "lead_3", "diff_10", "pct_5")), ("expanding", _many(5, "sum_so_far", "max_so_far")),
     ("vwma", _many(5, "vwma_10", "clipped")), ("ts_mean_std_corr", _many(5, "ts_mean", "ts_std", "ts_corr")), ("ts_rank", _many(7, "rank_30_5")),
 ):
     add(_name, PRIMITIVE, _digits, DAY)
+
+
+def book(name: str, names: dict[str, int], keys=CONTRACT):
+    add(name, LIQUIDITY, names, keys)
+
+
+book("wbas", _many(5, "wbas", *[f"spread_l{i}" for i in range(1, 6)]), DAY)
+book("sweep_cost", _many(5, "sweep_last_a", "sweep_last_b", "sweep_penalty_a", "sweep_penalty_b", "sweep_linear_a", "sweep_linear_b"), DAY)
+book("weighted_price_robust", _many(5, "sweep_robust_a", "sweep_robust_b"), DAY)
+book("active_flow_matrix", _many(5, *[f"{side}_{a}_{p}" for side in ("buy", "sell") for a in ("lee_ready", "bvc", "proportional") for p in ("mid", "last", "atp")]))
+book("order_flow_demand", _many(5, "flow_total", "demand_buy", "demand_sell"))
+book("volume_outliers", _many(4, *[f"av{i}_{kind}" for i in range(1, 6) for kind in ("trunc", "neighbour", "median", "zero")]))
+book("dssp_depth", _many(6, "dssp_ask", "dssp_bid"))
+book("depth_change", _many(3, "depth_change_ask", "depth_change_bid", "depth_change_ask_5", "depth_change_bid_5", "aligned_change_ask", "aligned_change_bid"), DAY)
+book("resilience", _many(6, "refill_ask", "refill_bid", "resilience_ask", "resilience_bid"))
+book("final_spread", _many(5, "final_spread", "final_spread_adjusted", "impact_skew", "final_spread_flows", "final_spread_120", "dssp_spread", "cost_bps"))
+book("amihud_ticks", {"amihud_240": 9})
+book("vwap_labels", _many(4, *[f"vwap_label{x}_{k}" for x in ("", "_ask", "_bid") for k in (120, 600, 1800)], "vwap_60_label"))
+for _name, _digits in (("quad_regression", _many(4, "regression_factor_10", "regression_factor_30", "regr_r2_ret_10", "regr_r2_ret_30")), ("hurst_rs", _many(5, "hurst_10", "hurst_30")), ("amplitude", _many(7, "amplitude_10", "amplitude_30")), ("struct_rev", _many(5, "struct_rev_10", "struct_rev_30"))):
+    add(_name, KERNEL, _digits, minute=True)
