@@ -13,8 +13,9 @@ many tasks): each member's nearest is confirmed, components grow, and so on whil
 the members that still have a partner within the signature-distance threshold in another component come
 together with their texts, and all such pairs are confirmed in place; only links leave the task.
 
-Null and empty texts have no set: each stays alone and is kept.  Rows that repeat a doc_id get the same
-answer; a row without doc_id joins the group of its text but is never the one that stays.
+Null and empty texts have no set: each stays alone and is kept.  Rows that repeat a doc_id are
+documents of their own (equal ones get the same answer); a row without doc_id joins the group of its text
+but is never the one that stays.
 """
 
 from __future__ import annotations
@@ -232,11 +233,15 @@ def _blocks(placed: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, percent: int, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
+    """(doc_id, n_shingles, component_id, kept, text_crc32) of every row of ``docs``."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    sets = written(map_text(docs, "text", "n_shingles bigint, d1 bigint, d2 bigint, sig binary", lambda part: _signatures(part, "text", k), keep=["doc_id"]), "sets")
-    members = written(sets.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n"), F.min("sig").alias("sig")), "members")
+    docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).withColumn("t", F.crc32("text"))
+    sets = written(map_text(docs, "text", "n_shingles bigint, d1 bigint, d2 bigint, sig binary", lambda part: _signatures(part, "text", k), keep=["doc_id", "t"]), "sets")
+    members = sets.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "t")).alias("x"), F.min("n_shingles").alias("n"), F.min("sig").alias("sig")).select("d1", "d2", "x.*", "n", "sig")
+    # a member goes by its smallest doc_id; where texts of one doc_id differ, by a number of its set below all ids
+    several = members.groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("several"))
+    number = F.when(F.col("several"), F.lit(-1) - F.shiftrightunsigned(F.xxhash64("d1", "d2"), 2)).otherwise(F.col("doc_id"))
+    members = written(members.join(several, "doc_id", "left").withColumn("id", number).drop("several"), "members")
     keys = members.select("id", "n", "sig").mapInArrow(_explode_keys, "key long, id long, n long")
 
     # each bucket's members meet its smallest member
@@ -245,7 +250,8 @@ def near_groups(docs: DataFrame, percent: int, doc_id: str = "doc_id", text: str
     stars = shared.where((F.col("id") != F.col("first.id")) & _size_fits(F.col("n"), F.col("first.n"), percent)).groupBy(F.col("first.id").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("times"))
     stars = written(stars, "stars")
     candidates = shared.select("id").distinct()
-    texts = written(docs.withColumnRenamed("doc_id", "id").join(candidates, "id").dropDuplicates(["id"]), "texts")
+    wanted = members.select("id", "doc_id", "t").join(candidates, "id")
+    texts = written(docs.join(wanted, ["doc_id", "t"]).select("id", "text").dropDuplicates(["id"]), "texts")
     best = stars.groupBy("b").agg(F.max(F.struct("times", (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), "b")
     links = written(confirmed(best, texts, percent, k), "confirmed")
     labels = written(components(links), "labels")
@@ -272,16 +278,21 @@ def near_groups(docs: DataFrame, percent: int, doc_id: str = "doc_id", text: str
     if not more.isEmpty():
         labels = written(components(links.unionByName(more)), "labels")
 
-    of_set = members.select("d1", "d2", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component"))
-    rows = sets.select("doc_id", "n_shingles", "d1", "d2").join(of_set, ["d1", "d2"], "left")
+    of_set = members.select("d1", "d2", "id", "doc_id").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id"))
+    of_set = of_set.join(of_set.groupBy("label").agg(F.min("doc_id").alias("component_")), "label").select("d1", "d2", F.col("component_").alias("component"))
+    rows = sets.select("doc_id", "t", "n_shingles", "d1", "d2").join(of_set, ["d1", "d2"], "left")
     of_doc = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", "n_shingles", of_doc.alias("component_id"), (F.col("doc_id").eqNullSafe(of_doc) & (F.col("doc_id").isNotNull() | (F.col("n_shingles") == 0))).alias("kept"))
+    return rows.select("doc_id", "n_shingles", of_doc.alias("component_id"), (F.col("doc_id").eqNullSafe(of_doc) & (F.col("doc_id").isNotNull() | (F.col("n_shingles") == 0))).alias("kept"), F.col("t").alias("text_crc32"))
 
 
 def one_of_each_group(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that their near-duplicate group keeps, in the columns of ``docs``."""
-    gone = near_groups(docs, percent, doc_id, text).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
+    groups = written(near_groups(docs, percent, doc_id, text), "groups")
+    gone = groups.where("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_crc32").alias("_crc")).distinct()
+    crc = F.crc32(docs[text].cast("string"))
+    left = docs.join(gone, docs[doc_id].cast("long").eqNullSafe(gone["_gone"]) & crc.eqNullSafe(gone["_crc"]), "left_anti")
+    again = groups.where("kept and n_shingles > 0").groupBy("doc_id", "text_crc32").count().where("count > 1")
+    return left if again.isEmpty() else left.dropDuplicates([doc_id, text])
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
