@@ -24,6 +24,7 @@ PER_LANGUAGE, LANDMARKS, RIDGE, SHARPNESS = 500, 96, 1e-3, 8.0
 #: Places for n-grams of 1, 2, 3 and 4 bytes, as powers of two.
 PLACES = (8, 12, 14, 14)
 BATCH = 48
+GROUPS = 256
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
@@ -64,8 +65,11 @@ def _has_letter(column: pa.Array) -> np.ndarray:
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """(lang, text) of at most ``per_language`` labelled texts of each language that are not held out."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~_held_out(F.col("doc_id"))).select("doc_id", "lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select("doc_id", "lang", "k")
+    # the first by hash of each of many groups of a language, then of the language: no task reads a share of all rows
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    some = known.withColumn("group", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(GROUPS)))
+    some = some.withColumn("k", F.row_number().over(Window.partitionBy("lang", "group").orderBy(*order))).where(F.col("k") <= per_language).drop("k")
+    chosen = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("k") <= per_language).select("doc_id", "lang", "k")
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("lang", "k", "text")
 
 
