@@ -108,3 +108,8 @@ def mixup(df: DataFrame, columns: list[str], keys: list[str], seed: int = 0) ->
 def corrupted(df: DataFrame, columns: list[str], noise: float, seed: int = 0) -> DataFrame:
     """Gaussian noise on the columns."""
     return df.withColumns({c: F.col(c) + noise * F.randn(seed + i) for i, c in enumerate(columns)})
+
+
+def vol_regime(forecast: Column, limit: float = 0.00085) -> Column:
+    """hv where the forecast volatility is over the limit, lv up to it, NULL without one."""
+    return F.when(forecast > limit, "hv").when(forecast <= limit, "lv")

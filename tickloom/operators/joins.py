@@ -57,3 +57,14 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], time: str, columns
     b = right.select(*keys, time, F.struct(*columns).alias("_from")).withColumn("_side", F.lit(0))
     w = Window.partitionBy(*keys).orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0)
     return a.unionByName(b, allowMissingColumns=True).withColumn("_last", F.last("_from", ignorenulls=True).over(w)).where("_side = 1").select(*left.columns, *[F.col(f"_last.{c}").alias(f"{c}_asof") for c in columns])
+
+
+def back_adjusted(days: DataFrame, keys: list[str], day: str, close: str = "close", presettle: str = "presettle") -> DataFrame:
+    """``days`` (a row a day of the stitched main contract) with factor: the product of later days' presettle over the close before.
+
+    Multiplying a day's prices by its factor takes the jumps of rolls out of the series; the last day has 1.
+    """
+    w = Window.partitionBy(*keys).orderBy(day)
+    rows = days.withColumn("_r", F.ln(F.try_divide(F.col(presettle), F.lag(close).over(w))))
+    later = Window.partitionBy(*keys).orderBy(day).rowsBetween(1, Window.unboundedFollowing)
+    return rows.withColumn("factor", F.exp(F.coalesce(F.sum("_r").over(later), F.lit(0.0)))).drop("_r")

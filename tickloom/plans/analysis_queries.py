@@ -618,3 +618,61 @@ def gbt_importance(spark, sf_dir):
 @query("model_scoring", f"SELECT l_orderkey, l_linenumber, round(l_quantity * 0.5 - l_discount * 2, 6) + 0.0 AS prediction FROM ({MATRIX})")
 def model_scoring(spark, sf_dir):
     return ml.score(matrix(spark, sf_dir), _FACTORS[:2], lambda x: x[:, 0] * 0.5 - x[:, 1] * 2).select("l_orderkey", "l_linenumber", r("prediction").alias("prediction"))
+
+
+@query(
+    "ewma_vol_forecast",
+    f"""WITH RECURSIVE d AS MATERIALIZED (SELECT day, abs(ret) AS x, CAST(year(day) AS INTEGER) AS y, row_number() OVER (PARTITION BY year(day) ORDER BY day) AS n FROM ({_DAYS}) WHERE ret IS NOT NULL),
+m(y, n, day, e) AS (SELECT y, n, day, x FROM d WHERE n = 1 UNION ALL SELECT d.y, d.n, d.day, 2.0 / 11 * d.x + 9.0 / 11 * m.e FROM m JOIN d ON d.y = m.y AND d.n = m.n + 1)
+SELECT day, round(lag(e) OVER w, 8) AS forecast, CASE WHEN lag(e) OVER w > 0.6 THEN 'hv' WHEN lag(e) OVER w <= 0.6 THEN 'lv' END AS regime FROM m WINDOW w AS (PARTITION BY y ORDER BY n)""",
+)
+def ewma_vol_forecast(spark, sf_dir):
+    d = days(spark, sf_dir).where("ret IS NOT NULL").select("day", F.abs("ret").alias("x"), F.year("day").alias("y"))
+    e = recursive.per_key(d, ["y"], ["day"], {"e": lambda rows: recursive.ewm_mean(rows["x"].to_numpy(), 2 / 11, adjust=False)})
+    f = F.expr("lag(e) OVER (PARTITION BY y ORDER BY day)")
+    return e.select("day", F.round(f, 8).alias("forecast"), dataset.vol_regime(f, 0.6).alias("regime"))
+
+
+@query(
+    "back_adjustment",
+    f"""WITH d AS (SELECT contract, trade_day, max_by(last, (ts, event_id)) AS close, min_by(last, (ts, event_id)) AS presettle FROM ({TICKS_SQL}) GROUP BY 1, 2), r AS (SELECT *, ln(presettle / lag(close) OVER (PARTITION BY contract ORDER BY trade_day)) AS r FROM d)
+SELECT contract, trade_day, round(exp(coalesce(sum(r) OVER (PARTITION BY contract ORDER BY trade_day ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0)), 7) AS factor FROM r""",
+)
+def back_adjustment(spark, sf_dir):
+    d = ticks(spark, sf_dir).groupBy(*DAY).agg(F.max_by("last", F.struct(*ORDER)).alias("close"), F.min_by("last", F.struct(*ORDER)).alias("presettle"))
+    return joins.back_adjusted(d, ["contract"], "trade_day").select(*DAY, F.round("factor", 7).alias("factor"))
+
+
+@query("hurst_slope")
+def hurst_slope(spark, sf_dir):
+    """One slope a contract, repeated on its rows; segments of up to 100 ticks."""
+    t = ticks(spark, sf_dir).select("contract", "ts", "event_id", "last")
+    out = recursive.per_key(t, ["contract"], ORDER, {"hurst": lambda rows: [recursive.hurst_slope(rows["last"].to_numpy())] * len(rows)})
+    return out.groupBy("contract").agg(F.round(F.first("hurst"), 6).alias("hurst"), F.count("*").alias("n"))
+
+
+@query("ts_beta", f"SELECT l_returnflag, round(coalesce(regr_slope(label, l_quantity), 0), 7) AS beta FROM ({MATRIX}) GROUP BY 1")
+def ts_beta(spark, sf_dir):
+    return matrix(spark, sf_dir).groupBy("l_returnflag").agg(F.round(F.coalesce(F.regr_slope("label", "l_quantity"), F.lit(0.0)), 7).alias("beta"))
+
+
+@query("scored_sweep")
+def scored_sweep(spark, sf_dir):
+    """Scoring of sampled rolling features and a threshold sweep of the predictions, as one plan."""
+    from .pipelines import scored, swept
+
+    t = features(spark, sf_dir).withColumn("y", F.expr("(lead(last, 5) OVER (PARTITION BY contract, trade_day ORDER BY ts, event_id) - last) / 1000"))
+    p = scored(t, ["order_imbalance", "spread"], lambda x: x[:, 0] * 3, window=10, stride=2)
+    return swept(p, "y", 0.05, _GRID[:10]).select("threshold", "signals", F.round("dq", 4).alias("dq"), F.round("dqr", 6).alias("dqr"))
+
+
+@query("main_second_liquidity")
+def main_second_liquidity(spark, sf_dir):
+    """Two contracts at equal hours: liquidity of each, the second scaled by the day before's volumes."""
+    from .pipelines import main_and_second
+
+    def hourly(c):
+        t = ticks(spark, sf_dir).where(F.col("contract") == c).withColumn("ts", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
+        return t.groupBy("trade_day", "ts").agg(F.max_by(F.struct(*[x for x in t.columns if x not in ("trade_day", "ts")]), "event_id").alias("x")).select("trade_day", "ts", "x.*")
+
+    return main_and_second(hourly("click"), hourly("view")).select("trade_day", "ts", *[F.round(c, 4).alias(c) for c in ("final_spread_main", "final_spread_second", "scaled_spread_second")])
