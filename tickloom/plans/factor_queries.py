@@ -15,7 +15,7 @@ QUERIES, ORACLE = {}, {}
 
 
 def rounded(names: dict[str, int]) -> list[str]:
-    return [f"round({n}, {d}) + 0.0 AS {n}" if d is not None else f"{n} AS {n}" for n, d in names.items()]
+    return [f"CAST(round({n}, {d}) + 0.0 AS DOUBLE) AS {n}" for n, d in names.items()]
 
 
 def add(name: str, book: dict, names: dict[str, int], keys=CONTRACT, minute: bool = False):
