@@ -9,7 +9,7 @@ full shingle sets before they count as linked.
 Texts with equal sets are one member from the start.  Within a bucket, first every member is confirmed
 against the bucket's smallest member.  Buckets that then still hold several components compare their
 members across components (in blocks, by set size and signature, so that a hot bucket is dealt out over
-many tasks): each member's nearest is confirmed, components grow, and so on while that finds links.  Then
+many tasks): each member's nearest is confirmed, components grow, and so on while one in ten is a link.  Then
 the members that still have a partner within the signature-distance threshold in another component come
 together with their texts, and all such pairs are confirmed in place; only links leave the task.
 
@@ -35,6 +35,8 @@ CHUNKS, WIDTH = 11, 6
 #: Members of a bucket's block, and partners of one pivot in a group.
 BLOCK = 512
 PARTNERS = 128
+#: Another round of nearest partners follows one in which at least one in so many was a link.
+WORTHWHILE = 10
 _rng = np.random.default_rng(10)
 _A = _rng.integers(0, 1 << 63, CHUNKS * WIDTH, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, CHUNKS * WIDTH, np.int64).astype(np.uint64)
@@ -268,10 +270,14 @@ def near_groups(docs: DataFrame, percent: int, doc_id: str = "doc_id", text: str
         near = written(near.join(tested, ["a", "b"], "left_anti"), "nearest")
         more = written(confirmed(near, texts, percent, k), "confirmed")
         tested = tested.unionByName(near)
-        if more.isEmpty():
+        tried, found = near.count(), more.count()
+        if found:
+            links = links.unionByName(more)
+            labels = written(components(links), "labels")
+        if found * WORTHWHILE <= tried:
             break
-        links = links.unionByName(more)
-        labels = written(components(links), "labels")
+    if found:
+        placed, _ = _mixed(inside, labels)
     rest = _blocks(placed, members).mapInArrow(lambda b: _taking_part(b, percent, most), "key long, i int, j int, side int, id long, comp long, n long, sig binary")
     rest = rest.join(texts, "id").select("key", "i", "j", "side", "id", "comp", "n", "sig", "text").repartition(partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
     more = written(rest.mapInArrow(lambda b: _exact(b, percent, most, k), "u long, v long"), "confirmed")
