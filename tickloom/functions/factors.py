@@ -270,7 +270,7 @@ for k in (10, 30):
             f"cls_abs_var_{k}": lambda s, k=k: f"CASE WHEN price_mean_{k} IS NOT NULL THEN " + s.fold(s.each(f"prices_{k}", f"abs(x - price_mean_{k})")) + f" / {k} END",
             f"dollars_{k}": lambda s, k=k: s.array("dollar", k),
             f"dollar_sum_{k}": lambda s, k=k: s.sum("dollar", k, k // 2),
-            f"entropy_vol_{k}": lambda s, k=k: f"-{s.fold(s.each(f'dollars_{k}', f'(x / nullif(dollar_sum_{k}, 0)) * ln(x / nullif(dollar_sum_{k}, 0))'))}",
+            f"entropy_vol_{k}": lambda s, k=k: f"CASE WHEN dollar_sum_{k} IS NOT NULL THEN -{s.fold(s.each(f'dollars_{k}', f'CASE WHEN x / nullif(dollar_sum_{k}, 0) > 0 THEN (x / nullif(dollar_sum_{k}, 0)) * ln(x / nullif(dollar_sum_{k}, 0)) ELSE 0 END'))} END",
             f"trend_{k}": lambda s, k=k: s.div(s.div(s.sum("CASE WHEN vol > vol_threshold THEN price * vol ELSE 0 END", k, k), s.sum("CASE WHEN vol > vol_threshold THEN vol ELSE 0 END", k, k)), s.div(s.sum("price * vol", k), s.sum("vol", k))) + " - 1",
             f"q80_{k}": lambda s, k=k: s.quantile("price", 0.8, k),
             f"q20_{k}": lambda s, k=k: s.quantile("price", 0.2, k),

@@ -456,11 +456,11 @@ def backtest_day(spark, sf_dir):
 
 @query(
     "equity_stats",
-    f"WITH d AS (SELECT day, coalesce(ret, 0) / 10 AS x, CAST(year(day) AS INTEGER) AS y FROM ({_DAYS})), e AS (SELECT *, exp(sum(ln(1 + x)) OVER w) AS equity FROM d WINDOW w AS (PARTITION BY y ORDER BY day ROWS UNBOUNDED PRECEDING)), p AS (SELECT *, max(equity) OVER (PARTITION BY y ORDER BY day ROWS UNBOUNDED PRECEDING) AS peak FROM e) SELECT day, round(equity, 7) AS equity, round(peak, 7) AS peak, round(equity / peak - 1, 7) + 0.0 AS drawdown FROM p",
+    f"WITH d AS (SELECT day, coalesce(ret, 0) / 10 AS x, CAST(year(day) AS INTEGER) AS y FROM ({_DAYS})), e AS (SELECT *, exp(sum(ln(1 + x)) OVER w) AS equity FROM d WINDOW w AS (PARTITION BY y ORDER BY day ROWS UNBOUNDED PRECEDING)), p AS (SELECT *, max(equity) OVER (PARTITION BY y ORDER BY day ROWS UNBOUNDED PRECEDING) AS peak FROM e) SELECT day, round(equity, 2) AS equity, round(peak, 2) AS peak, round(equity / peak - 1, 7) + 0.0 AS drawdown FROM p",
 )
 def equity_stats(spark, sf_dir):
     d = days(spark, sf_dir).select("day", F.year("day").alias("y"), (F.coalesce("ret", F.lit(0.0)) / 10).alias("x"))
-    return backtest.equity(d, ["y"], "day", "x").select("day", F.round("equity", 7).alias("equity"), F.round("peak", 7).alias("peak"), r("drawdown", 7).alias("drawdown"))
+    return backtest.equity(d, ["y"], "day", "x").select("day", F.round("equity", 2).alias("equity"), F.round("peak", 2).alias("peak"), r("drawdown", 7).alias("drawdown"))
 
 
 @query(
