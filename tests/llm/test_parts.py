@@ -74,6 +74,33 @@ def test_secret_costs():
     assert secret_scan.find_secrets("the secret is out, and the token of time: nothing") == []
 
 
+@pytest.mark.parametrize("size", (6, 256, 400, 100_000))
+def test_secrets_of_any_length(size):
+    rng = random.Random(size)
+    value = "".join(rng.choice("abcdefXYZ0123456789#%") for _ in range(size - 1)) + "Q"
+    text = f"pwd: {value} end"
+    assert (5, 3, 5 + size) in secret_scan.find_secrets(text, 20)
+
+
+@pytest.mark.parametrize("text", ("Authorization: Bearer {}", "auth: Basic {}", "pwd = {}", "password is {}", "login: none, pwd: {}.", "token: Bearer: {}", "x pwd:{}", "pwd=login: {}"))
+@pytest.mark.parametrize("value", ("x9$Kq2!vBz", "qXkJvBzMwPfHtRgY", "KdjfhGHskdlfPQ"))
+def test_secrets_behind_schemes_and_of_letters(text, value):
+    at = text.index("{")
+    assert (at, 3, at + len(value)) in secret_scan.find_secrets(text.format(value))
+
+
+def test_words_are_no_secrets():
+    words = "required everything administrator unfortunately Authentication UNAUTHORIZED incorrect straightforward temporarily management bearer abcdefghijklm qwertyuiop 漢字かなの文章がここに続いているので"
+    assert secret_scan.find_secrets(" ".join(f"the password is {w}." for w in words.split())) == []
+    assert secret_scan.find_secrets("pwd: " + "n" * 200_000) == []
+
+
+def test_guesses_beyond_base_spans():
+    text = "password=abcdefgh!x9$Kq2!vBz"
+    assert secret_scan.find_secrets(text) == [(0, 0, 17), (9, 3, len(text))]
+    assert [k for _, k, _ in secret_scan.find_secrets("password=x9Kq2vBzLm7TtR")] == [0]
+
+
 def test_redact_keeps_the_rest(spark, docs):
     out = secret_scan.redact(docs)
     assert out.columns == docs.columns and out.count() == docs.count()

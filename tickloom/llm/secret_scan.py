@@ -1,16 +1,22 @@
 """Secret scans: fixed patterns, and credential values by the guesses that they would take.
 
 Three patterns find assignments, access keys and long hex strings.  Beyond them, values in a credential's
-place (``CONTEXT``) are judged by how hard they are to guess: dynamic programming finds the cheapest
-segmentation into dictionary words, dates, repeats, keyboard walks and brute-force spans, and values over
-``LEAST_BITS`` bits count as secrets (kind ``guess``).  ``changeme2019`` or ``qwerty`` are no secrets.
+place (``CONTEXT``, a scheme such as Bearer may stand between) are judged by how hard they are to guess:
+dynamic programming finds the cheapest segmentation into dictionary words, dates, repeats, keyboard walks
+and brute-force spans, and values over ``LEAST_BITS`` bits count as secrets (kind ``guess``).
+``changeme2019`` or ``qwerty`` are no secrets.  Values are of any length from 6 characters on and judged
+whole.  For values of Latin letters alone the words are those of the tokenizer's vocabulary; of letters
+with any of another script, for which there are no words, none is a secret.  A guess span stands beside base spans
+unless they cover it.
 
 Null and empty texts have no spans.  Whole texts are scanned; positions are code points, ends exclusive.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import json
 import math
 import re
 
@@ -19,14 +25,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, map_text
+from .tokenize import default_tokenizer
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
+#: Up to where a value of at least 6 characters begins.
 CONTEXT = re.compile(
-    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|auth(?:orization)?|credentials?|private[_-]?key|bearer|login)["']?\s{0,3}(?:[:=]|=>|->|\bis\b|(?<=bearer)\s)\s{0,3}["']?([^\s"'<>,;]{6,256})""", re.IGNORECASE
+    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|auth(?:orization)?|credentials?|private[_-]?key|bearer|login)["']?\s{0,3}(?:[:=]|=>|->|\bis\b|(?<=bearer)\s)\s{0,3}["']?(?:(?:bearer|basic|digest|negotiate|token|oauth|apikey|key)\s{1,3}["']?)?(?=[^\s"'<>,;]{6})""",
+    re.IGNORECASE,
 )
+VALUE_END = re.compile(r"""[\s"'<>,;]""")
 CUES = ("pass", "pwd", "secret", "token", "api", "auth", "credential", "private", "bearer", "login")
 #: Words that guessers try first, commonest first.
 WORDS = """password pass admin welcome letmein login master secret changeme default root user test guest hello dragon monkey shadow
@@ -41,42 +51,79 @@ _DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0?[1-9]|1[0-2])(?:[-/._]?(?:0?[1-
 _BEGIN = 1.0  # bits for where a segment ends and which kind it is
 
 
+@functools.cache
+def language_words() -> dict[str, int]:
+    """Ranks of the words and word parts of three letters and more in the tokenizer's vocabulary, commonest first, after ``WORDS``."""
+    with open(default_tokenizer(), encoding="utf-8") as f:
+        vocab = json.load(f)["model"]["vocab"]
+    raw = {chr(b): b for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
+    raw |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if chr(b) not in raw)}
+    out = dict(_RANK)
+    for token in sorted(vocab, key=vocab.get):
+        word = bytes(raw.get(c, 0) for c in token).decode("utf-8", "replace").removeprefix(" ").lower()
+        if len(word) >= 3 and word.isalpha():
+            out.setdefault(word, len(out) + 1)
+    return out
+
+
+def _latin(value: str) -> bool:
+    return all(c < "\u0250" or "\u1e00" <= c < "\u1f00" for c in value)
+
+
 def _char_bits(value: str) -> float:
     size = 26 * any(c.islower() for c in value) + 26 * any(c.isupper() for c in value) + 10 * any(c.isdigit() for c in value) + 33 * any(not c.isalnum() for c in value)
     return math.log2(max(size, 10))
 
 
-def guess_bits(value: str) -> float:
-    """Base-2 logarithm of the guesses of the cheapest segmentation."""
+def guess_bits(value: str, words: dict[str, int] = _RANK, most: float = math.inf) -> float:
+    """Base-2 logarithm of the guesses of the cheapest segmentation, or ``most`` where it is not below that."""
     n = len(value)
     low = value.lower()
     plain = low.translate(LEET)
     each = _char_bits(value)
-    longest = max(map(len, WORDS))
+    longest = max(map(len, words))
     best = [0.0] + [math.inf] * n
+    brute, far = math.inf, 0  # the cheapest way that ends in a brute-force span here; how far ways under ``most`` go
+    run_ends = [0] * 9
     for i in range(n):
+        best[i] = min(best[i], brute)
+        if best[i] >= most:
+            if far <= i:
+                return most
+            brute = math.inf
+            continue
         base = best[i] + _BEGIN
+        brute = min(brute, base) + each
+        if brute < most:
+            far = max(far, i + 1)
 
         def reach(j: int, bits: float, base=base):
-            if base + bits < best[j]:
+            nonlocal far
+            if base + bits < min(best[j], most):
                 best[j] = base + bits
+                far = max(far, j)
 
-        for j in range(i + 1, n + 1):  # brute force
-            reach(j, each * (j - i))
         for j in range(i + 3, min(n, i + longest) + 1):  # words, with capitals and look-alikes
-            if (rank := _RANK.get(plain[i:j])) is not None:
+            if (rank := words.get(plain[i:j])) is not None:
                 capitals = sum(c.isupper() for c in value[i:j])
                 reach(j, math.log2(rank) + min(capitals, 1) + math.log2(1 + math.comb(j - i, min(capitals, j - i - capitals))) + sum(a != b for a, b in zip(low[i:j], plain[i:j], strict=True)))
         if value[i].isdigit() and (m := _DATE.match(value, i)):
             for j in {m.end(), *([i + 4] if value[i : i + 2] in ("19", "20") else [])}:
                 reach(j, math.log2(120) + (math.log2(366) if j - i > 5 else 0))
-        for size in range(1, 9):  # repeats of a unit
-            unit, j = value[i : i + size], i + size
-            while len(unit) == size and value.startswith(unit, j):
-                j += size
-                reach(j, min(each, math.log2(95)) * size + math.log2((j - i) // size))
+        for size in range(1, 9):  # repeats of a unit; of long ones the first ends and the last
+            unit = min(each, math.log2(95)) * size
+            if base + unit >= most:
+                break
+            if i > run_ends[size] - size:
+                j = i + size
+                while j < n and value[j] == value[j - size]:
+                    j += 1
+                run_ends[size] = j
+            times = (run_ends[size] - i) // size
+            for k in (*range(2, min(times, 64) + 1), *range(max(65, times - 7), times + 1)):
+                reach(i + k * size, unit + math.log2(k))
         j, step, turns = i + 1, None, 0  # walks over neighbouring keys, and runs of neighbouring characters
-        while j < n and low[j - 1] in _AT and low[j] in _AT:
+        while j < n and base + 3 * turns < most and low[j - 1] in _AT and low[j] in _AT:
             (r, k), (r2, k2) = _AT[low[j - 1]], _AT[low[j]]
             if abs(r - r2) > 1 or abs(k - k2) > 1 or low[j] == low[j - 1]:
                 break
@@ -91,7 +138,14 @@ def guess_bits(value: str) -> float:
                 j += 1
                 if j - i >= 3:
                     reach(j, math.log2(36) + 1 + math.log2(j - i))
-    return best[n] if n else 0.0
+    return min(best[n], brute, most) if n else 0.0
+
+
+def is_secret(value: str, least_bits: float = LEAST_BITS) -> bool:
+    """Whether a value in a credential's place takes ``least_bits`` or more."""
+    if not value.isalpha():
+        return bool(value) and guess_bits(value, most=least_bits) >= least_bits
+    return _latin(value) and guess_bits(value, language_words(), least_bits) >= least_bits
 
 
 def find_secrets(text: str | None, least_bits: float = LEAST_BITS) -> list[tuple[int, int, int]]:
@@ -107,11 +161,20 @@ def find_secrets(text: str | None, least_bits: float = LEAST_BITS) -> list[tuple
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     if any(c in low for c in CUES):
         base = sorted((a, b) for a, _, b in found)
-        for m in CONTEXT.finditer(text):
-            a, b = m.span(1)
-            value = text[a:b].rstrip(".:!?)")
-            if value and not value.isalpha() and all(b <= x or y <= a for x, y in base) and guess_bits(value) >= least_bits:
-                found.append((a, 3, a + len(value)))
+        at = judged = 0
+        while m := CONTEXT.search(text, at):
+            a = at = m.end()
+            if a < judged:  # inside a value that is no secret
+                continue
+            judged = end.start() if (end := VALUE_END.search(text, a)) else len(text)
+            value = text[a:judged].rstrip(".:!?)")
+            if is_secret(value, least_bits):
+                at, bare = judged, a
+                for x, y in base:
+                    if x <= bare < y:
+                        bare = y
+                if bare < a + len(value):
+                    found.append((a, 3, a + len(value)))
     return sorted(found)
 
 
