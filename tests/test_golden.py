@@ -274,3 +274,22 @@ def test_streamed_state(spark, tmp_path):
     assert len(out) == 30 and out["_batch"].nunique() == 3
     seen = out.sort_values(["_batch", "n"])
     same(seen.ema, pd.Series(seen.v.to_numpy()).ewm(span=5, adjust=False).mean())
+
+
+def test_hurst_slopes_in_blocks(spark):
+    """Segments over days of uneven length, with constant ones, gaps and short keys; no task gets over a block of rows."""
+    rng, out = np.random.default_rng(8), []
+    for c, n in (("a", 2345), ("b", 100), ("c", 15), ("d", 7)):
+        last = 5000 + np.cumsum(rng.integers(-3, 4, n)).astype(float)
+        last[20:45] = 1.0
+        days = np.sort(rng.integers(1, 9, n))
+        out.append(pd.DataFrame({"contract": c, "day": [pd.Timestamp(2025, 8, d).date() for d in days], "ts": pd.DatetimeIndex([pd.Timestamp(2025, 8, d) for d in days]) + pd.to_timedelta(np.arange(n), "s"), "event_id": np.arange(n), "last": last}))
+    rows = pd.concat(out, ignore_index=True)
+    df = spark.createDataFrame(rows).withColumn("last", F.when(F.col("event_id") % 997 != 996, F.col("last")))
+    rows["last"] = rows["last"].where(rows["event_id"] % 997 != 996)
+    got = {r.contract: (r.hurst, r.n) for r in recursive.hurst_slopes(df.repartition(3), "contract", "day", ORDER, "last").collect()}
+    for c, x in rows.groupby("contract"):
+        want = recursive.hurst_slope(x["last"].to_numpy())
+        assert got[c][1] == len(x) and (got[c][0] is None if math.isnan(want) else math.isclose(got[c][0], want, rel_tol=1e-9))
+    plan = recursive.hurst_slopes(df, "contract", "day", ORDER, "last")._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "MapInArrow" in plan

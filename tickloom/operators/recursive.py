@@ -6,11 +6,14 @@ They cannot be said with frames, so each key's rows (one contract and day, so a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -95,13 +98,17 @@ def elasticity(price: np.ndarray, depth: np.ndarray, alpha: float = 0.2) -> np.n
     return np.where(np.isfinite(out), out, np.nan)
 
 
+def rescaled_ranges(x: np.ndarray, size: int) -> list[float]:
+    """R/S of each whole segment that is not constant."""
+    parts = [x[i : i + size] for i in range(0, len(x) - size + 1, size)]
+    return [np.ptp(np.cumsum(p - p.mean())) / p.std() for p in parts if p.std() > 0]
+
+
 def hurst_slope(x: np.ndarray, sizes=(10, 20, 50, 100)) -> float:
     """Slope of log mean R/S over log size, by segments."""
     logs = []
     for n in sizes:
-        parts = [x[i : i + n] for i in range(0, len(x) - n + 1, n)]
-        rs = [np.ptp(np.cumsum(p - p.mean())) / p.std() for p in parts if p.std() > 0]
-        if rs:
+        if rs := rescaled_ranges(x, n):
             logs.append((np.log(n), np.log(np.mean(rs))))
     return float(np.polyfit(*zip(*logs, strict=True), 1)[0]) if len(logs) > 1 else float("nan")
 
@@ -118,6 +125,37 @@ def per_key(df: DataFrame, keys: list[str], order: list[str], made: dict[str, Ca
     return df.groupBy(*keys).applyInPandas(run, schema)
 
 
+def hurst_slopes(df: DataFrame, key: str, day: str, order: list[str], value: str, sizes=(10, 20, 50, 100)) -> DataFrame:
+    """(key, hurst, n): ``hurst_slope`` of each key's rows over all days, whose segments may span days.
+
+    A row's number is its place in its day and the rows of the days before (``order`` has to run with the
+    day).  Rows go on in blocks that hold whole segments of each size; means and slope are Spark's.
+    """
+    block = math.lcm(*sizes)
+    last = [F.col(c).asc_nulls_last() for c in order]
+    rows = df.select(key, day, *order, value)
+    days = rows.groupBy(F.col(key).alias("_key"), F.col(day).alias("_day")).agg(F.count("*").alias("_count"))
+    days = days.select("_key", "_day", F.sum("_count").over(Window.partitionBy("_key").orderBy(F.col("_day").asc_nulls_last())).alias("_upto"), "_count")
+    place = F.row_number().over(Window.partitionBy(key, day).orderBy(*last)) - 1
+    numbered = rows.withColumn("_place", place).join(days, F.col(key).eqNullSafe(F.col("_key")) & F.col(day).eqNullSafe(F.col("_day")))
+    numbered = numbered.select(key, (F.col("_place") + F.col("_upto") - F.col("_count")).alias("_at"), F.col(value).cast("double").alias("_value"))
+    blocks = numbered.groupBy(key, F.floor(F.col("_at") / block).alias("_block")).agg(F.sort_array(F.collect_list(F.struct("_at", "_value"))).alias("_rows")).select(key, F.col("_rows._value").alias("_values"))
+
+    def run(batches):
+        for b in batches:
+            x = [np.asarray(v, float) for v in b.column(1).to_pylist()]
+            rs = [[rescaled_ranges(v, n) for n in sizes] for v in x]
+            kinds = pa.list_(pa.struct([("size", pa.int64()), ("total", pa.float64()), ("parts", pa.int64())]))
+            of = pa.array([[{"size": n, "total": float(sum(p)), "parts": len(p)} for n, p in zip(sizes, r, strict=True)] for r in rs], kinds)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(v) for v in x], pa.int64()), of], names=[key, "_n", "_of"])
+
+    schema = T.StructType([df.schema[key], *T._parse_datatype_string("_n long, _of array<struct<size: long, total: double, parts: long>>").fields])
+    sums = blocks.mapInArrow(run, schema).select(key, "_n", F.inline("_of")).groupBy(key, "size").agg(F.sum("_n").alias("_n"), F.sum("total").alias("total"), F.sum("parts").alias("parts"))
+    mean = F.when(F.col("parts") > 0, F.log(F.col("total") / F.col("parts")))
+    slope = F.when(F.count(mean) > 1, F.regr_slope(mean, F.log(F.col("size").cast("double"))))
+    return sums.groupBy(key).agg(slope.alias("hurst"), F.max("_n").alias("n"))
+
+
 def day_machine(signal, ask, bid, threshold: float, commission: float = 0.0) -> tuple[float, int, int]:
     """PnL and trades of one day: in beyond the threshold, out when the signal turns, flat at the end."""
     position, pnl, entry, trades = 0, 0.0, 0.0, [0, 0]

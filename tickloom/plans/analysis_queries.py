@@ -645,10 +645,9 @@ def back_adjustment(spark, sf_dir):
 
 @query("hurst_slope")
 def hurst_slope(spark, sf_dir):
-    """One slope a contract, repeated on its rows; segments of up to 100 ticks."""
-    t = ticks(spark, sf_dir).select("contract", "ts", "event_id", "last")
-    out = recursive.per_key(t, ["contract"], ORDER, {"hurst": lambda rows: [recursive.hurst_slope(rows["last"].to_numpy())] * len(rows)})
-    return out.groupBy("contract").agg(F.round(F.first("hurst"), 6).alias("hurst"), F.count("*").alias("n"))
+    """One slope a contract; segments of up to 100 ticks."""
+    out = recursive.hurst_slopes(ticks(spark, sf_dir), "contract", "trade_day", ORDER, "last")
+    return out.select("contract", F.round("hurst", 6).alias("hurst"), "n")
 
 
 @query("ts_beta", f"SELECT l_returnflag, round(coalesce(regr_slope(label, l_quantity), 0), 7) AS beta FROM ({MATRIX}) GROUP BY 1")
