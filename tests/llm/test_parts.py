@@ -162,6 +162,20 @@ def test_one_id_with_two_texts(spark):
     assert sorted(r.doc_id for r in minhash.one_of_each_group(twice, 85).collect()) == [1, 2, 3, 9]
 
 
+def test_texts_without_ids(spark):
+    """Of each group one text stays, though no row of it has an id; with an id, that row stays."""
+    rng = random.Random(4)
+    alone, copied, near, known = (prose(rng, 90).strip() for _ in range(4))
+    edited = near + " more"
+    rows = [(None, alone), (None, copied), (None, copied), (None, copied.upper()), (None, near), (None, edited), (None, known), (None, known + " more"), (8, known), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = [(r.doc_id, r.text) for r in minhash.one_of_each_group(df, 85).collect()]
+    assert len(left) == 5 and {(None, alone), (8, known), (None, "")} <= set(left)
+    assert sum(t in (copied, copied.upper()) for _, t in left) == sum(t in (near, edited) for _, t in left) == 1
+    groups = minhash.near_groups(df, 85).where("n_shingles > 0").collect()
+    assert {(r.component_id, r.kept) for r in groups if r.doc_id is None} == {(None, True), (None, False), (8, False)}
+
+
 def test_blocks_of_test_texts(spark, docs):
     bench = spark.createDataFrame([(k, f"item {k} one two of it") for k in range(30)] + [(90, "one two")], "item_id long, text string")
     whole = decontaminate.contamination(docs, bench).select("doc_id", "hit_items", "n_words", "longest_words")

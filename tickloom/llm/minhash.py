@@ -15,7 +15,7 @@ together with their texts, and all such pairs are confirmed in place; only links
 
 Null and empty texts have no set: each stays alone and is kept.  Rows that repeat a doc_id are
 documents of their own (equal ones get the same answer); a row without doc_id joins the group of its text
-but is never the one that stays.
+and stays only where the whole group has no doc_id: then one text of it is kept, and component_id is null.
 """
 
 from __future__ import annotations
@@ -236,14 +236,22 @@ def _blocks(placed: DataFrame, members: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame, percent: int, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, text_crc32) of every row of ``docs``."""
+    return _near_groups(docs, percent, doc_id, text, k).drop("t")
+
+
+def _near_groups(docs: DataFrame, percent: int, doc_id: str, text: str, k: int = SHINGLE) -> DataFrame:
+    """``near_groups`` with the text's 64-bit hash as t."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).withColumn("t", F.crc32("text"))
-    sets = written(map_text(docs, "text", "n_shingles bigint, d1 bigint, d2 bigint, sig binary", lambda part: _signatures(part, "text", k), keep=["doc_id", "t"]), "sets")
-    members = sets.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "t")).alias("x"), F.min("n_shingles").alias("n"), F.min("sig").alias("sig")).select("d1", "d2", "x.*", "n", "sig")
-    # a member goes by its smallest doc_id; where texts of one doc_id differ, by a number of its set below all ids
-    several = members.groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("several"))
-    number = F.when(F.col("several"), F.lit(-1) - F.shiftrightunsigned(F.xxhash64("d1", "d2"), 2)).otherwise(F.col("doc_id"))
-    members = written(members.join(several, "doc_id", "left").withColumn("id", number).drop("several"), "members")
+    docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
+    hashed = docs.withColumn("text_crc32", F.crc32("text"))
+    sets = written(map_text(hashed, "text", "n_shingles bigint, d1 bigint, d2 bigint, sig binary", lambda part: _signatures(part, "text", k), keep=["doc_id", "t", "text_crc32"]), "sets")
+    of_id = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "t")))
+    members = sets.where("n_shingles > 0").groupBy("d1", "d2").agg(of_id.alias("x"), F.min("t").alias("least"), F.min("n_shingles").alias("n"), F.min("sig").alias("sig"))
+    # a member goes by its smallest doc_id; where texts of one doc_id differ, or none has an id, by a number of its set below all ids
+    number = F.lit(-1) - F.shiftrightunsigned(F.xxhash64("d1", "d2"), 2)
+    members = members.select("d1", "d2", F.col("x.doc_id").alias("doc_id"), F.coalesce("x.t", "least").alias("t"), "n", "sig").withColumn("name", F.coalesce("doc_id", number))
+    several = members.groupBy("name").count().where("count > 1").select("name", F.lit(True).alias("several"))
+    members = written(members.join(several, "name", "left").withColumn("id", F.when(F.col("several"), number).otherwise(F.col("name"))).drop("several", "name"), "members")
     keys = members.select("id", "n", "sig").mapInArrow(_explode_keys, "key long, id long, n long")
 
     # each bucket's members meet its smallest member
@@ -253,7 +261,8 @@ def near_groups(docs: DataFrame, percent: int, doc_id: str = "doc_id", text: str
     stars = written(stars, "stars")
     candidates = shared.select("id").distinct()
     wanted = members.select("id", "doc_id", "t").join(candidates, "id")
-    texts = written(docs.join(wanted, ["doc_id", "t"]).select("id", "text").dropDuplicates(["id"]), "texts")
+    of_member = docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["t"] == wanted["t"])
+    texts = written(docs.join(wanted, of_member).select("id", "text").dropDuplicates(["id"]), "texts")
     best = stars.groupBy("b").agg(F.max(F.struct("times", (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), "b")
     links = written(confirmed(best, texts, percent, k), "confirmed")
     labels = written(components(links), "labels")
@@ -284,20 +293,23 @@ def near_groups(docs: DataFrame, percent: int, doc_id: str = "doc_id", text: str
     if not more.isEmpty():
         labels = written(components(links.unionByName(more)), "labels")
 
-    of_set = members.select("d1", "d2", "id", "doc_id").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id"))
-    of_set = of_set.join(of_set.groupBy("label").agg(F.min("doc_id").alias("component_")), "label").select("d1", "d2", F.col("component_").alias("component"))
-    rows = sets.select("doc_id", "t", "n_shingles", "d1", "d2").join(of_set, ["d1", "d2"], "left")
-    of_doc = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", "n_shingles", of_doc.alias("component_id"), (F.col("doc_id").eqNullSafe(of_doc) & (F.col("doc_id").isNotNull() | (F.col("n_shingles") == 0))).alias("kept"), F.col("t").alias("text_crc32"))
+    of_set = members.select("d1", "d2", "id", "doc_id", "t").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id"))
+    of_set = of_set.join(of_set.groupBy("label").agg(F.min("doc_id").alias("component_")), "label")
+    # a group without any id keeps the text of its first member
+    stays = F.when(F.col("component_").isNull() & (F.col("id") == F.col("label")), F.col("t"))
+    of_set = of_set.select("d1", "d2", F.col("component_").alias("component"), stays.alias("stays"))
+    rows = sets.select("doc_id", "t", "text_crc32", "n_shingles", "d1", "d2").join(of_set, ["d1", "d2"], "left")
+    full = F.col("n_shingles") > 0
+    kept = F.when(full, F.coalesce(F.col("doc_id") == F.col("component"), F.col("t") == F.col("stays"), F.lit(False))).otherwise(True)
+    return rows.select("doc_id", "n_shingles", F.when(full, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), kept.alias("kept"), "text_crc32", "t")
 
 
 def one_of_each_group(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that their near-duplicate group keeps, in the columns of ``docs``."""
-    groups = written(near_groups(docs, percent, doc_id, text), "groups")
-    gone = groups.where("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_crc32").alias("_crc")).distinct()
-    crc = F.crc32(docs[text].cast("string"))
-    left = docs.join(gone, docs[doc_id].cast("long").eqNullSafe(gone["_gone"]) & crc.eqNullSafe(gone["_crc"]), "left_anti")
-    again = groups.where("kept and n_shingles > 0").groupBy("doc_id", "text_crc32").count().where("count > 1")
+    groups = written(_near_groups(docs, percent, doc_id, text), "groups")
+    gone = groups.where("not kept").select(F.col("doc_id").alias("_gone"), F.col("t").alias("_t")).distinct()
+    left = docs.join(gone, docs[doc_id].cast("long").eqNullSafe(gone["_gone"]) & (F.xxhash64(docs[text].cast("string")) == gone["_t"]), "left_anti")
+    again = groups.where("kept and n_shingles > 0").groupBy("doc_id", "t").count().where("count > 1")
     return left if again.isEmpty() else left.dropDuplicates([doc_id, text])
 
 
