@@ -12,11 +12,16 @@ texts share is dealt out over many tasks).  A shard sorts all suffixes of its co
 doubling, in which only groups that are not yet settled are refined (Larsson and Sadakane), and takes
 the common prefixes of neighbours by Kasai's rule (a suffix shares at least one byte less than the one
 before it).  Where a gram has several shards, each cuts its sorted list of distinct windows by binary
-search at the limits of digest ranges; the pieces of one range are merged and searched for each other.
-
-Null texts count as empty; texts shorter than the length lose nothing.  Repeated rows are documents of
-their own, so their long texts go entirely.  Matches never cross documents, overlaps count, and
-everything is judged on the input.
+search at the limits of ranges; the lists of one range are merged in pairs, the shorter searched for in
+the longer.  Contexts and windows that meet across tasks are equal where their 128-bit blake2b digests
+are; inside a shard their bytes are compared.  Joins by gram are dealt out by ``SALTS`` hashes of the
+context as well, those by context by hashes of the document, so neither a common passage nor a large
+group of copies is one task.
+
+Null texts count as empty; texts shorter than the length lose nothing; an empty table gives an empty
+result.  Repeated rows are documents of their own, so their long texts go entirely.  Matches never cross
+documents, overlaps count, and everything is judged on the input.  Null and repeated ids keep their rows.
+Other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE2, documents, map_text, partitions, prefix_hash, span_hash, steps, utf8, written
+from .common import documents, map_text, partitions, prefix_hash, span_hash, steps, utf8, written
 
 LENGTH = 400
 GRAM = 128
@@ -36,8 +41,15 @@ GRAM = 128
 RUN = 1024
 SHARD = 512
 SORT_BYTES = 1 << 20
+#: Into how many parts the rows of one gram, or of one context, are dealt for joins.
+SALTS = 16
 DEPTH = 7  # bytes in a word of the first sorting
 _PLACE = np.uint64(0xFFFFFF)
+_NO_ID = -(1 << 62)
+
+
+def _digest(data) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
 
 
 def _sliding_min(h: np.ndarray, width: int) -> np.ndarray:
@@ -85,10 +97,11 @@ def _runs(batches, length: int, gram: int):
             first, left = np.repeat(first, pieces) + k * RUN, np.repeat(n, pieces) - k * RUN
             n = np.minimum(left, RUN)
             s = starts[first]
-            digest = span_hash(prefix, s, s + n + length - 1)
+            data = memoryview(raw)
+            digest = [_digest(data[a:b]) for a, b in zip(s.tolist(), (s + n + length - 1).tolist(), strict=True)]
             d = doc[first]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(m[first].view(np.int64)), pa.array(digest.view(np.int64)), part.column(0).take(pa.array(d)), part.column(1).take(pa.array(d)), pa.array((s - offs[d]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(own)], names=names
+                [pa.array(m[first].view(np.int64)), pa.array(digest, pa.binary()), part.column(0).take(pa.array(d)), part.column(1).take(pa.array(d)), pa.array((s - offs[d]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(own)], names=names
             )
 
 
@@ -200,7 +213,8 @@ def _shard_repeats(batches, length: int, ranges: int):
     """Spans of windows that repeat inside a shard, and per digest range the distinct windows of shared grams."""
     for rows in _sorted_shards(batches, length):
         sizes = np.array([len(r[7]) + 1 for r in rows])
-        text = np.frombuffer(b"\0".join(r[7] for r in rows) + b"\0", np.uint8).astype(np.int64) + 1
+        data = b"\0".join(r[7] for r in rows) + b"\0"
+        text = np.frombuffer(data, np.uint8).astype(np.int64) + 1
         begin = np.cumsum(sizes) - sizes
         text[begin + sizes - 1] = 0
         order, _, word = suffix_array(text, length)
@@ -217,7 +231,7 @@ def _shard_repeats(batches, length: int, ranges: int):
         tied &= is_window[order]
         after = np.append(tied[1:], False)
         local = (tied | after)[place[valid]]
-        doc = np.array([r[3] if r[3] is not None else -(1 << 62) for r in rows], np.int64)
+        doc = np.array([r[3] for r in rows], np.int64)
         t = np.array([r[4] for r in rows], np.int64)
         lo = np.array([r[5] for r in rows], np.int64)
         out = {"doc_id": [], "t": [], "lo": [], "hi": [], "part": [], "windows": []}
@@ -228,13 +242,12 @@ def _shard_repeats(batches, length: int, ranges: int):
         one = np.flatnonzero(several & ~tied[place[valid]])  # the first of each set of equal windows
         if len(one):
             at = valid[one]
-            prefix, prefix2 = prefix_hash(text), prefix_hash(text, BASE2)
             w = np.zeros(len(one), _WINDOW)
-            w["a"], w["b"] = span_hash(prefix, at, at + length), span_hash(prefix2, at, at + length, BASE2)
+            w["digest"] = [_digest(data[x : x + length]) for x in at.tolist()]
             w["doc"], w["t"], w["start"], w["known"] = doc[row[one]], t[row[one]], lo[row[one]] + start[one], local[one]
-            w = np.sort(w, order="a")
-            limits = (np.arange(1, ranges, dtype=object) * (1 << 64) // ranges).astype(np.uint64)
-            for k, piece in enumerate(np.split(w, np.searchsorted(w["a"], limits))):
+            w = np.sort(w, order="digest")
+            limits = np.array([(k * (1 << 64) // ranges).to_bytes(8, "big") for k in range(1, ranges)], "S16")
+            for k, piece in enumerate(np.split(w, np.searchsorted(w["digest"], limits))):
                 if len(piece):
                     for c in ("doc_id", "t", "lo", "hi"):
                         out[c].append(None)
@@ -243,7 +256,8 @@ def _shard_repeats(batches, length: int, ranges: int):
         yield _table(out)
 
 
-_WINDOW = np.dtype([("a", "u8"), ("b", "u8"), ("doc", "i8"), ("t", "i8"), ("start", "i4"), ("known", "?")])
+# digests are of one length, so that the end zeros which this type does not show are no matter
+_WINDOW = np.dtype([("digest", "S16"), ("doc", "i8"), ("t", "i8"), ("start", "i4"), ("known", "?")])
 _SPAN = "doc_id long, t long, lo int, hi int"
 
 
@@ -255,11 +269,24 @@ def _table(out: dict) -> pa.RecordBatch:
 def _merged_ranges(batches, length: int):
     """Spans of windows that stand in several shards; the rows of a digest range follow each other."""
 
+    def merge(x, y, found):
+        """Both sorted lists as one; windows of both are found, and stay once."""
+        if len(x) < len(y):
+            x, y = y, x
+        at = np.searchsorted(x["digest"], y["digest"])
+        near = np.minimum(at, len(x) - 1)
+        same = x["digest"][near] == y["digest"]
+        found += [x[near[same]], y[same]]
+        x = x.copy()
+        x["known"][near[same]] = True
+        return np.insert(x, at[~same], y[~same])
+
     def spans(pieces):
-        w = np.concatenate([np.frombuffer(p, _WINDOW) for p in pieces])
-        w = w[np.lexsort((w["b"], w["a"]))]
-        same = (w["a"][1:] == w["a"][:-1]) & (w["b"][1:] == w["b"][:-1])
-        w = w[(np.append(same, False) | np.insert(same, 0, False)) & ~w["known"]]
+        lists, found = [np.frombuffer(p, _WINDOW) for p in pieces], []
+        while len(lists) > 1:
+            lists = [merge(*lists[i : i + 2], found) if i + 1 < len(lists) else lists[i] for i in range(0, len(lists), 2)]
+        w = np.concatenate([np.zeros(0, _WINDOW), *found])
+        w = w[~w["known"]]
         out = {"doc_id": [], "t": [], "lo": [], "hi": []}
         _merge_starts(w["doc"], w["t"], w["start"].astype(np.int64), length, out)
         return _table(out)
@@ -295,26 +322,33 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     gram = min(GRAM, max(1, length // 2))
     n = partitions(spark)
-    docs = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(-(1 << 62))).alias("doc_id"), F.crc32(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias("t"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    runs = written(docs.where(F.octet_length("text") >= length).mapInArrow(lambda b: _runs(b, length, gram), "m long, digest long, doc_id long, t long, lo int, n int, own boolean"), "runs")
-    known = runs.groupBy("m").agg(F.count("*").alias("c"), F.max("own").alias("own")).where("c > 1 or own").select("m")
-    repeats = written(runs.join(known, "m", "left_semi"), "repeats")
+    texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    # equal texts have equal spans, so a text's hash tells rows of one id apart
+    texts = texts.select("id", F.coalesce("id", F.lit(_NO_ID)).alias("doc_id"), F.xxhash64("text").alias("t"), "text")
+    by_context = F.pmod(F.xxhash64("digest"), F.lit(SALTS)).alias("salt")
+    by_row = F.pmod(F.xxhash64("doc_id", "t", "lo"), F.lit(SALTS)).alias("salt")
+    every_salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")).alias("salt")
+    runs = written(texts.where(F.octet_length("text") >= length).select("doc_id", "t", "text").mapInArrow(lambda b: _runs(b, length, gram), "m long, digest binary, doc_id long, t long, lo int, n int, own boolean"), "runs")
+    known = runs.groupBy("m").agg(F.count("*").alias("c"), F.max("own").alias("own")).where("c > 1 or own").select("m", every_salt)
+    repeats = written(runs.select("*", by_context).join(known, ["m", "salt"], "left_semi").drop("salt"), "repeats")
     contexts = repeats.groupBy("m", "digest").agg(F.count("*").alias("copies"), F.max("own").alias("own"), F.min(F.struct("doc_id", "t", "lo", "n")).alias("x"))
     contexts = written(contexts, "contexts")
     mixed = contexts.groupBy("m").agg(F.count("*").alias("c"), F.max("own").alias("own")).where("c > 1 or own").select("m", (1 + F.floor(F.col("c") / SHARD)).cast("int").alias("shards"))
-    wanted = contexts.join(mixed, "m").select("m", "shards", F.pmod(F.xxhash64("digest"), F.col("shards")).cast("int").alias("sub"), "x.*")
+    wanted = contexts.select("*", by_context).join(mixed.select("*", every_salt), ["m", "salt"]).select("m", "shards", F.pmod(F.xxhash64("digest"), F.col("shards")).cast("int").alias("sub"), "x.*")
     wanted = written(wanted, "wanted")
     windows = wanted.where("shards > 1").agg(F.sum("n")).first()[0] or 0
     ranges = max(n, int(windows // 500_000) + 1)
     per_doc = wanted.groupBy("doc_id", "t").agg(F.collect_list(F.struct("m", "sub", "shards", "lo", "n")).alias("wanted"))
-    cut = docs.join(per_doc, ["doc_id", "t"]).select("doc_id", "t", "text", "wanted").mapInArrow(lambda b: _cut_contexts(b, length), "m long, sub int, shards int, doc_id long, t long, lo int, n int, bytes binary")
+    # copies of a row are cut once: contexts are of one of them, but their key is that of all
+    cut = texts.join(per_doc, ["doc_id", "t"]).dropDuplicates(["doc_id", "t"]).select("doc_id", "t", "text", "wanted").mapInArrow(lambda b: _cut_contexts(b, length), "m long, sub int, shards int, doc_id long, t long, lo int, n int, bytes binary")
     shards = cut.repartition(n, "m", "sub").sortWithinPartitions("m", "sub")
     found = written(shards.mapInArrow(lambda b: _shard_repeats(b, length, ranges), f"{_SPAN}, part int, windows binary"), "found")
     merged = found.where("part is not null").select("part", "windows").repartition(n, "part").sortWithinPartitions("part").mapInArrow(lambda b: _merged_ranges(b, length), _SPAN)
-    copies = repeats.join(contexts.where("copies > 1").select("m", "digest"), ["m", "digest"], "left_semi").select("doc_id", "t", "lo", (F.col("lo") + F.col("n") + (length - 1)).alias("hi"))
+    several = contexts.where("copies > 1").select("m", "digest", every_salt)
+    copies = repeats.select("*", by_row).join(several, ["m", "digest", "salt"], "left_semi").select("doc_id", "t", "lo", (F.col("lo") + F.col("n") + (length - 1)).alias("hi"))
     spans = copies.unionByName(found.where("part is null").select("doc_id", "t", "lo", "hi")).unionByName(merged)
-    per_doc = spans.groupBy("doc_id", "t").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    return docs.join(per_doc, ["doc_id", "t"], "left").select(F.when(F.col("doc_id") != -(1 << 62), F.col("doc_id")).alias("doc_id"), "text", "spans")
+    per_doc = spans.groupBy("doc_id", "t").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    return texts.join(per_doc, ["doc_id", "t"], "left").select(F.col("id").alias("doc_id"), "text", "spans")
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
