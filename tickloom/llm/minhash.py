@@ -235,7 +235,7 @@ def _blocks(placed: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, percent: int, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, text_crc32) of every row of ``docs``."""
+    """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
     return _near_groups(docs, percent, doc_id, text, k).drop("t")
 
 
@@ -243,8 +243,7 @@ def _near_groups(docs: DataFrame, percent: int, doc_id: str, text: str, k: int =
     """``near_groups`` with the text's 64-bit hash as t."""
     spark = docs.sparkSession
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
-    hashed = docs.withColumn("text_crc32", F.crc32("text"))
-    sets = written(map_text(hashed, "text", "n_shingles bigint, d1 bigint, d2 bigint, sig binary", lambda part: _signatures(part, "text", k), keep=["doc_id", "t", "text_crc32"]), "sets")
+    sets = written(map_text(docs, "text", "n_shingles bigint, d1 bigint, d2 bigint, sig binary", lambda part: _signatures(part, "text", k), keep=["doc_id", "t"]), "sets")
     of_id = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "t")))
     members = sets.where("n_shingles > 0").groupBy("d1", "d2").agg(of_id.alias("x"), F.min("t").alias("least"), F.min("n_shingles").alias("n"), F.min("sig").alias("sig"))
     # a member goes by its smallest doc_id; where texts of one doc_id differ, or none has an id, by a number of its set below all ids
@@ -298,10 +297,10 @@ def _near_groups(docs: DataFrame, percent: int, doc_id: str, text: str, k: int =
     # a group without any id keeps the text of its first member
     stays = F.when(F.col("component_").isNull() & (F.col("id") == F.col("label")), F.col("t"))
     of_set = of_set.select("d1", "d2", F.col("component_").alias("component"), stays.alias("stays"))
-    rows = sets.select("doc_id", "t", "text_crc32", "n_shingles", "d1", "d2").join(of_set, ["d1", "d2"], "left")
+    rows = sets.select("doc_id", "t", "n_shingles", "d1", "d2").join(of_set, ["d1", "d2"], "left")
     full = F.col("n_shingles") > 0
     kept = F.when(full, F.coalesce(F.col("doc_id") == F.col("component"), F.col("t") == F.col("stays"), F.lit(False))).otherwise(True)
-    return rows.select("doc_id", "n_shingles", F.when(full, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), kept.alias("kept"), "text_crc32", "t")
+    return rows.select("doc_id", "n_shingles", F.when(full, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), kept.alias("kept"), "t")
 
 
 def one_of_each_group(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
