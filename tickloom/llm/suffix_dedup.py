@@ -40,7 +40,9 @@ GRAM = 128
 #: Longest run of starts, contexts of one gram in a shard, and bytes of contexts that are sorted together.
 RUN = 1024
 SHARD = 512
-SORT_BYTES = 1 << 20
+SORT_BYTES = 1 << 19
+#: Bytes of texts whose grams are hashed together (or one longer text); a step takes some hundred times as much.
+SCAN_BYTES = 1 << 19
 #: Into how many parts the rows of one gram, or of one context, are dealt for joins.
 SALTS = 16
 DEPTH = 7  # bytes in a word of the first sorting
@@ -65,7 +67,7 @@ def _runs(batches, length: int, gram: int):
     """Runs of window starts with the same smallest gram: gram hash, context digest, row, first start, starts."""
     names = ["m", "digest", "doc_id", "t", "lo", "n", "own"]
     for batch in batches:
-        for part in steps(batch, "text"):
+        for part in steps(batch, "text", SCAN_BYTES):
             raw, offs = utf8(part.column(2))
             if len(raw) < length:
                 continue
