@@ -1,23 +1,27 @@
 """Document fingerprints: Merkle trees over the paragraphs and sections of a text.
 
-Leaves are stretches of a paragraph that end after a word whose hash says so (about every 16th word), so a
-change moves no other leaf.  A paragraph ends at a line end, a section after a paragraph whose digest says
-so.  Digests are blake2b: of a leaf's bytes, of a paragraph's leaves, of a section's paragraphs, and the
-root of all sections and the text's size.
-
-A fingerprint is ``root/section/section...`` with a section as ``digest:paragraph;paragraph`` and a
-paragraph as its leaves, each 8 hex digits and the leaf's bytes in hex.  Equal texts have equal
-fingerprints, equal roots mean equal texts, and ``differing`` walks down unequal branches to the spans
-that were edited.  ``likeness`` is the share of bytes in common leaves (0 to 1; two empty texts: 1).
-
-Null texts count as empty.  Rows that repeat a doc_id follow each other in the order of their texts; null
-doc_ids come last.  An empty table gives an empty result.
+Leaves are stretches of a paragraph that end after a word whose hash says so (about every 16th word; in
+texts of few words more of them; inside of very long words after bytes whose hash says so), so a change
+moves no other leaf.  A paragraph ends at a line end, a section after a paragraph whose digest says so.
+Digests are 64 bits of blake2b: of a leaf's bytes, of a paragraph's leaves, of a section's paragraphs; the
+root has 128, of all sections and the text's size.
+
+A fingerprint is ``root/section/section...`` with a section as ``digest:paragraph;paragraph``, a paragraph as
+``digest=leaf,leaf`` and a leaf as its digest (16 hex digits) and its bytes in hex.  Equal texts have equal
+fingerprints, equal roots mean equal texts.  Two trees are compared from the root down: branches of one
+digest are equal, only branches that have no equal in the other tree are entered.  ``differing`` gives the
+spans that are left, ``likeness`` the share of bytes in equal branches (0 to 1; two empty texts: 1).
+
+Null texts count as empty; texts of any length are taken whole.  Rows that repeat a doc_id follow each other
+in the order of their texts; null doc_ids come last (with rows of the least long, if there are any).  An
+empty table gives an empty result.  Other columns stay as they are, one named like the result is replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+import math
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +31,11 @@ from pyspark.sql import functions as F
 from .common import documents, map_text, partitions, prefix_hash, span_hash, steps, utf8, word_spans
 from .minhash import NOT_SPACE
 
-LEAF_BITS, SECTION_BITS = 15, 7
+#: A leaf ends where these bits of a word's hash are 0, by the number of words of the text up to which that holds.
+LEAF_BITS = ((16, 0), (32, 1), (64, 3), (128, 7), (1 << 62, 15))
+SECTION_BITS = 7
+#: Words of more bytes are cut inside, where these bits of the hash of the last bytes are 0.
+LONG_WORD, LAST_BYTES, BYTE_BITS = 64, 8, 31
 
 
 def _digest(data: bytes, size: int = 8) -> bytes:
@@ -36,20 +44,26 @@ def _digest(data: bytes, size: int = 8) -> bytes:
 
 def leaf_ends(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Ends of all leaves of all texts, one after the other."""
-    start, end, _ = word_spans(raw, offs, NOT_SPACE)
-    h = span_hash(prefix_hash(raw), start, end)
-    return np.unique(np.concatenate([end[(h & np.uint64(LEAF_BITS)) == 0], np.flatnonzero(raw == 10) + 1, offs[1:]]))
-
-
-def trees(column: pa.Array) -> list[tuple[str, Counter]]:
-    """Of each text its fingerprint and its leaves' bytes by leaf."""
+    start, end, before = word_spans(raw, offs, NOT_SPACE)
+    prefix = prefix_hash(raw)
+    words = np.diff(before)
+    upto, bits = (np.array(x) for x in zip(*LEAF_BITS, strict=True))
+    mask = np.repeat(bits[np.searchsorted(upto, words)], words).astype(np.uint64)
+    cuts = [end[(span_hash(prefix, start, end) & mask) == 0], np.flatnonzero(raw == 10) + 1, offs[1:]]
+    for a, b in zip(start[(long := end - start > LONG_WORD)].tolist(), end[long].tolist(), strict=True):
+        at = np.arange(a + LAST_BYTES, b)
+        cuts.append(at[(span_hash(prefix, at - LAST_BYTES, at) & np.uint64(BYTE_BITS)) == 0])
+    return np.unique(np.concatenate(cuts))
+
+
+def trees(column: pa.Array) -> list[tuple[str, int]]:
+    """Of each text its fingerprint and its bytes."""
     raw, offs = utf8(column)
     ends = leaf_ends(raw, offs).tolist()
     data = raw.tobytes()
     out, k = [], 0
     for lo, hi in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
         sections, section, paragraph, nodes = [], [], [], []
-        leaves: Counter = Counter()
         digests, top = b"", b""
         at = lo
         while k < len(ends) and ends[k] <= lo:
@@ -58,14 +72,12 @@ def trees(column: pa.Array) -> list[tuple[str, Counter]]:
             end = ends[k]
             k += 1
             d = _digest(data[at:end])
-            leaf = f"{d.hex()[:8]}{end - at:x}"
-            leaves[leaf] += end - at
-            paragraph.append(leaf)
+            paragraph.append(f"{d.hex()}{end - at:x}")
             digests += d
             if data[end - 1] == 10 or end == hi:
                 node = _digest(digests)
                 nodes.append(node)
-                section.append(",".join(paragraph))
+                section.append(f"{node.hex()}={','.join(paragraph)}")
                 paragraph, digests = [], b""
                 if node[0] & SECTION_BITS == 0 or end == hi:
                     s = _digest(b"".join(nodes))
@@ -74,47 +86,64 @@ def trees(column: pa.Array) -> list[tuple[str, Counter]]:
                     section, nodes = [], []
             at = end
         root = _digest(top + (hi - lo).to_bytes(8, "little"), 16).hex()
-        out.append(("/".join([root, *sections]), leaves))
+        out.append(("/".join([root, *sections]), hi - lo))
     return out
 
 
-def leaves_of(fingerprint: str) -> Counter:
-    out: Counter = Counter()
-    for section in fingerprint.split("/")[1:]:
-        for paragraph in section.split(":", 1)[1].split(";"):
-            for leaf in paragraph.split(","):
-                out[leaf] += int(leaf[8:], 16)
-    return out
+def _unmatched(a: list, b: list, digest) -> tuple[list, list]:
+    """Branches of each side, with their places, that have no equal one on the other, each of which counts once."""
+    left = Counter(digest(x) for _, x in b)
+    only_a = []
+    for at, x in a:
+        if left[d := digest(x)] > 0:
+            left[d] -= 1
+        else:
+            only_a.append((at, x))
+    only_b = []
+    for at, x in reversed(b):
+        if left[d := digest(x)] > 0:
+            left[d] -= 1
+            only_b.append((at, x))
+    return only_a, only_b[::-1]
+
+
+def _children(branches: list, mark: str, split: str) -> list:
+    return [((at, k), x) for at, branch in branches for k, x in enumerate(branch.split(mark, 1)[1].split(split))]
+
+
+def differing_leaves(a: str, b: str) -> tuple[list, list]:
+    """Leaves (place, leaf) of both trees that no equal branch of the other holds; only unequal branches are entered."""
+    if a == b or a.split("/", 1)[0] == b.split("/", 1)[0]:
+        return [], []
+    sides = [list(enumerate(x.split("/")[1:])) for x in (a, b)]
+    sides = _unmatched(*sides, lambda s: s[:16])
+    sides = _unmatched(*(_children(s, ":", ";") for s in sides), lambda p: p[:16])
+    return _unmatched(*(_children(s, "=", ",") for s in sides), lambda leaf: leaf)
 
 
-def shared_bytes(a: Counter, b: Counter) -> float:
-    if len(b) < len(a):
-        a, b = b, a
-    both = sum(min(n, b[leaf]) for leaf, n in a.items() if leaf in b)
-    total = sum(a.values()) + sum(b.values())
-    return 2 * both / total if total else 1.0
+def text_bytes(fingerprint: str) -> int:
+    """Bytes of the text: the sizes of all its leaves."""
+    return sum(int(leaf[16:], 16) for s in fingerprint.split("/")[1:] for p in s.split(":", 1)[1].split(";") for leaf in p.split("=", 1)[1].split(","))
 
 
-def likeness(a: str, b: str) -> float:
-    """How alike two texts are, from their fingerprints alone."""
-    return 1.0 if a.split("/", 1)[0] == b.split("/", 1)[0] else shared_bytes(leaves_of(a), leaves_of(b))
+def likeness(a: str, b: str, both: int | None = None) -> float:
+    """How alike two texts are, from their fingerprints alone; ``both``: the bytes of the two, where they are known."""
+    apart = sum(int(leaf[16:], 16) for leaves in differing_leaves(a, b) for _, leaf in leaves)
+    return 1 - apart / (text_bytes(a) + text_bytes(b) if both is None else both) if apart else 1.0
 
 
 def differing(a: str, b: str) -> list[tuple[int, int]]:
-    """Byte spans of a's text whose branches b's tree does not have; equal branches are not entered."""
-    if a.split("/", 1)[0] == b.split("/", 1)[0]:
-        return []
-    sections = {s.split(":", 1)[0] for s in b.split("/")[1:]}
-    paragraphs = {p for s in b.split("/")[1:] for p in s.split(":", 1)[1].split(";")}
-    leaves = leaves_of(b)
+    """Byte spans of a's text whose branches b's tree does not have."""
+    wanted = defaultdict(set)
+    for ((section, paragraph), leaf), _ in differing_leaves(a, b)[0]:
+        wanted[section, paragraph].add(leaf)
     out: list[tuple[int, int]] = []
     at = 0
-    for s in a.split("/")[1:]:
-        head, body = s.split(":", 1)
-        for p in body.split(";"):
-            for leaf in p.split(","):
-                end = at + int(leaf[8:], 16)
-                if head not in sections and p not in paragraphs and leaf not in leaves:
+    for i, s in enumerate(a.split("/")[1:]):
+        for j, p in enumerate(s.split(":", 1)[1].split(";")):
+            for k, leaf in enumerate(p.split("=", 1)[1].split(",")):
+                end = at + int(leaf[16:], 16)
+                if k in wanted.get((i, j), ()):
                     if out and out[-1][1] == at:
                         out[-1] = out[-1][0], end
                     else:
@@ -125,7 +154,7 @@ def differing(a: str, b: str) -> list[tuple[int, int]]:
 
 def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fingerprint") -> DataFrame:
     """``docs`` with the fingerprint of each text."""
-    return map_text(docs, text, f"`{name}` string", lambda part: {name: pa.array([f for f, _ in trees(part.column(part.schema.get_field_index(text)))])})
+    return map_text(docs, text, f"`{name}` string", lambda part: {name: pa.array([f for f, _ in trees(part.column(part.schema.get_field_index(text)))], pa.string())})
 
 
 def followed(docs: DataFrame) -> DataFrame:
@@ -138,15 +167,25 @@ def followed(docs: DataFrame) -> DataFrame:
     n = 4 * partitions(spark)
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
     cuts = docs.select(key.alias("k")).agg(F.percentile_approx("k", [i / n for i in range(1, n)], 10 * n).alias("q")).first().q or []
-    cuts = F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<bigint>")
-    placed = docs.select("doc_id", "text", key.alias("k")).withColumn("place", F.size(F.filter(cuts, lambda c: c >= F.col("k"))))
+    cuts = sorted(set(cuts), reverse=True)
+    # a row's place is the number of cuts that are not below it, counted in groups of about the root of their number
+    width = max(1, math.isqrt(len(cuts)))
+    groups = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+    longs = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<bigint>")
+    above = lambda xs: F.size(F.filter(xs, lambda c: c >= F.col("k")))
+    whole = above(longs([g[-1] for g in groups]))
+    inner = F.get(F.array(*[longs(g) for g in groups]), whole) if groups else longs([])
+    placed = docs.select("doc_id", "text", key.alias("k")).withColumn("whole", whole)
+    placed = placed.select("doc_id", "text", "k", (F.col("whole") * width + F.when(F.col("whole") < len(groups), above(inner)).otherwise(0)).alias("place"))
     heads = sorted((r.place, r.k) for r in placed.groupBy("place").agg(F.max("k").alias("k")).collect())
     if not heads:
         return placed.withColumn("ghost", F.lit(False))
-    before = F.create_map(*[F.lit(x) for (_, k), (p, _) in zip(heads, heads[-1:] + heads[:-1], strict=True) for x in (k, p)])
+    head, before = {p: k for p, k in heads}, {p: q for (p, _), (q, _) in zip(heads, heads[-1:] + heads[:-1], strict=True)}
+    places = range(heads[-1][0] + 1)
+    is_head = F.col("k") == F.get(longs([head.get(p) for p in places]), F.col("place"))
     own = F.struct("place", F.lit(False).alias("ghost"))
-    ghost = F.struct(F.try_element_at(before, F.col("k")).alias("place"), F.lit(True).alias("ghost"))
-    rows = placed.select("doc_id", "text", "k", F.explode(F.when(F.try_element_at(before, F.col("k")).isNotNull(), F.array(own, ghost)).otherwise(F.array(own))).alias("x")).select("doc_id", "text", "k", "x.place", "x.ghost")
+    ghost = F.struct(F.get(longs([before.get(p) for p in places]), F.col("place")).cast("int").alias("place"), F.lit(True).alias("ghost"))
+    rows = placed.select("doc_id", "text", "k", F.explode(F.when(is_head, F.array(own, ghost)).otherwise(F.array(own))).alias("x")).select("doc_id", "text", "k", "x.place", "x.ghost")
     return rows.repartition(partitions(spark), "place").sortWithinPartitions("place", "ghost", F.desc("k"), "text")
 
 
@@ -171,8 +210,8 @@ def _compare(batches):
                     pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited]),
                     pa.array([own[i][0] for i in at]),
                     pa.array([f for f, _ in new]),
-                    pa.array([shared_bytes(own[i][1], leaves) for i, (_, leaves) in zip(at, new, strict=True)]),
-                    pa.array([shared_bytes(own[i][1], own[i + 1][1]) for i in at]),
+                    pa.array([likeness(own[i][0], f, own[i][1] + n) for i, (f, n) in zip(at, new, strict=True)]),
+                    pa.array([likeness(own[i][0], own[i + 1][0], own[i][1] + own[i + 1][1]) for i in at]),
                 ],
                 names=names,
             )
