@@ -1,13 +1,16 @@
 """Best-fit packing of token sequences in rounds.
 
-Each partition packs its pieces by best fit, largest first, and emits the bins that are nearly full.  The
+Each partition packs its pieces by best fit, largest first, and emits the bins that are nearly full.  All
 others go on as single items; a round's partitions are an ``FAN``-th of those before, so underfull bins
-meet those of other partitions and are packed by best fit again, until one partition is left.  A
-partition passes on at most ``CARRY`` bins (its emptiest), so the last one gets a bounded number; what it
-doesn't pass on stays as packed.  No piece is dropped.
-
-Null texts are empty documents, which hold the end id alone.  Repeated rows are packed as often as they
-stand; a null doc_id is kept.  An empty table gives an empty result.
+meet those of other partitions and are packed by best fit again, until one partition is left.  Where more
+than ``CHUNK`` underfull bins are left for a partition, a round has as many partitions as bound them, and
+deals them anew; rounds end as well when one of them saves less than ``LEAST_SAVED`` of its bins, which
+then stay as packed.  No piece is dropped.
+
+Null texts are empty documents, which hold the end id alone; texts of any length are taken whole.  Repeated
+rows are packed as often as they stand; a null doc_id is kept; pieces of equal length are packed in the
+order in which they come.  An empty table gives an empty result.  ``pack`` keeps other columns, and replaces
+those named like its own.
 """
 
 from __future__ import annotations
@@ -26,8 +29,8 @@ from .tokenize import default_tokenizer, encoder
 CAPACITY = 2048
 NEARLY = 0.99
 FAN = 8
-CARRY = 2048
-#: Pieces that are packed together in the first round.
+LEAST_SAVED = 0.002
+#: Pieces, and later underfull bins, that are packed together.
 CHUNK = 200_000
 
 
@@ -84,6 +87,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity
 def pack(items: DataFrame, capacity: int = CAPACITY, nearly: float = NEARLY, length: str = "length") -> DataFrame:
     """``items`` with sequence_id and offset: none over ``capacity``, gapless from offset 0."""
     spark = items.sparkSession
+    items = items.drop("sequence_id", "offset", "done")
     columns = items.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema) + ", sequence_id long, offset long, done boolean"
 
@@ -103,7 +107,6 @@ def pack(items: DataFrame, capacity: int = CAPACITY, nearly: float = NEARLY, len
                     item, sizes = np.arange(len(n)), n
                 bins, place, fill = best_fit(sizes, capacity)
                 under = np.flatnonzero(fill < nearly * capacity) if not final else np.zeros(0, np.int64)
-                under = under[np.argsort(fill[under], kind="stable")[:CARRY]]
                 done = np.ones(len(fill), bool)
                 done[under] = False
                 ids = (level << 58) | (part << 34) | (made + np.arange(len(fill)))
@@ -125,15 +128,20 @@ def pack(items: DataFrame, capacity: int = CAPACITY, nearly: float = NEARLY, len
 
         return run
 
-    n, level, finished = partitions(spark), 0, []
+    n, level, finished, bins = partitions(spark), 0, [], None
     todo = items.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long")).repartition(n)
     while True:
         out = written(todo.mapInArrow(round_of(level, n == 1), schema), f"round{level}")
         finished.append(out.where("done").drop("done"))
         if n == 1:
             break
-        n, level = -(-n // FAN), level + 1
-        todo = out.where("not done").drop("done").repartition(n, "sequence_id")
+        rest, before = out.where("not done").drop("done"), bins
+        bins = rest.where("offset = 0").count()
+        if before is not None and bins > (1 - LEAST_SAVED) * before:
+            finished.append(rest)
+            break
+        n, level = max(-(-n // FAN), -(-bins // CHUNK)), level + 1
+        todo = rest.repartition(n, "sequence_id")
     whole = finished[0]
     for f in finished[1:]:
         whole = whole.unionByName(f)
