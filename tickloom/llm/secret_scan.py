@@ -5,11 +5,13 @@ place (``CONTEXT``, a scheme such as Bearer may stand between) are judged by how
 dynamic programming finds the cheapest segmentation into dictionary words, dates, repeats, keyboard walks
 and brute-force spans, and values over ``LEAST_BITS`` bits count as secrets (kind ``guess``).
 ``changeme2019`` or ``qwerty`` are no secrets.  Values are of any length from 6 characters on and judged
-whole.  For values of Latin letters alone the words are those of the tokenizer's vocabulary; of letters
-with any of another script, for which there are no words, none is a secret.  A guess span stands beside base spans
-unless they cover it.
+whole.  The words are ``WORDS``, which guessers try first, and behind them the words and word parts of the
+tokenizer's vocabulary, commonest first.  Values of letters with any of another script than Latin, for which
+there are no words, are no secrets.  A guess span stands beside base spans unless they cover it.
 
-Null and empty texts have no spans.  Whole texts are scanned; positions are code points, ends exclusive.
+Null and empty texts have no spans.  Whole texts of any length are scanned; positions are code points, ends
+exclusive.  Spans that begin at one place go in the order of ``KINDS``.  Rows that repeat are scanned each;
+an empty table gives an empty result; other columns stay as they are, one named like the result is replaced.
 """
 
 from __future__ import annotations
@@ -42,11 +44,18 @@ CUES = ("pass", "pwd", "secret", "token", "api", "auth", "credential", "private"
 WORDS = """password pass admin welcome letmein login master secret changeme default root user test guest hello dragon monkey shadow
 sunshine princess football baseball superman batman trustno love summer winter spring autumn monday friday january march april june july
 august october november december server backup system access public private example sample demo token key company office internet""".split()
-KEYBOARD = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
+#: Rows of keys, as they stand above each other.
+KEYBOARDS = (
+    ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./"),
+    ("1234567890", "qwertzuiopü+", "asdfghjklöä", "yxcvbnm,.-"),
+    ("1234567890", "azertyuiop", "qsdfghjklmù", "wxcvbn,;:!"),
+    ("1234567890[]", "',.pyfgcrl/=", "aoeuidhtns-", ";qjkxbmwvz"),
+    ("789", "456", "123", "0"),
+)
 LEET = str.maketrans("4@310$5!7", "aaeiossit")
 LEAST_BITS = 34.0
 _RANK = {w: k + 1 for k, w in enumerate(WORDS)}
-_AT = {c: (r, k) for r, row in enumerate(KEYBOARD) for k, c in enumerate(row)}
+_AT = [{c: (r, k) for r, row in enumerate(rows) for k, c in enumerate(row)} for rows in KEYBOARDS]
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0?[1-9]|1[0-2])(?:[-/._]?(?:0?[1-9]|[12]\d|3[01]))?)?|(?:0?[1-9]|[12]\d|3[01])[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:19|20)\d\d")
 _BEGIN = 1.0  # bits for where a segment ends and which kind it is
 
@@ -75,6 +84,25 @@ def _char_bits(value: str) -> float:
     return math.log2(max(size, 10))
 
 
+def word_bits(rank: int, capitals: int, n: int, replaced: int) -> float:
+    """A word by its rank, which of its letters are capital, and how many stand as look-alikes."""
+    return math.log2(rank) + min(capitals, 1) + math.log2(1 + math.comb(n, min(capitals, n - capitals))) + replaced
+
+
+def date_bits(n: int) -> float:
+    """A year of 120, and a day of it where there is one."""
+    return math.log2(120) + (math.log2(366) if n > 5 else 0)
+
+
+def walk_bits(n: int, turns: int) -> float:
+    """A walk by its first key, its keyboard, its length and its turns."""
+    return math.log2(47 * len(KEYBOARDS)) + math.log2(n) + 3 * (1 + turns)
+
+
+def run_bits(n: int) -> float:
+    return math.log2(36) + 1 + math.log2(n)
+
+
 def guess_bits(value: str, words: dict[str, int] = _RANK, most: float = math.inf) -> float:
     """Base-2 logarithm of the guesses of the cheapest segmentation, or ``most`` where it is not below that."""
     n = len(value)
@@ -106,10 +134,10 @@ def guess_bits(value: str, words: dict[str, int] = _RANK, most: float = math.inf
         for j in range(i + 3, min(n, i + longest) + 1):  # words, with capitals and look-alikes
             if (rank := words.get(plain[i:j])) is not None:
                 capitals = sum(c.isupper() for c in value[i:j])
-                reach(j, math.log2(rank) + min(capitals, 1) + math.log2(1 + math.comb(j - i, min(capitals, j - i - capitals))) + sum(a != b for a, b in zip(low[i:j], plain[i:j], strict=True)))
+                reach(j, word_bits(rank, capitals, j - i, sum(a != b for a, b in zip(low[i:j], plain[i:j], strict=True))))
         if value[i].isdigit() and (m := _DATE.match(value, i)):
             for j in {m.end(), *([i + 4] if value[i : i + 2] in ("19", "20") else [])}:
-                reach(j, math.log2(120) + (math.log2(366) if j - i > 5 else 0))
+                reach(j, date_bits(j - i))
         for size in range(1, 9):  # repeats of a unit; of long ones the first ends and the last
             unit = min(each, math.log2(95)) * size
             if base + unit >= most:
@@ -122,30 +150,29 @@ def guess_bits(value: str, words: dict[str, int] = _RANK, most: float = math.inf
             times = (run_ends[size] - i) // size
             for k in (*range(2, min(times, 64) + 1), *range(max(65, times - 7), times + 1)):
                 reach(i + k * size, unit + math.log2(k))
-        j, step, turns = i + 1, None, 0  # walks over neighbouring keys, and runs of neighbouring characters
-        while j < n and base + 3 * turns < most and low[j - 1] in _AT and low[j] in _AT:
-            (r, k), (r2, k2) = _AT[low[j - 1]], _AT[low[j]]
-            if abs(r - r2) > 1 or abs(k - k2) > 1 or low[j] == low[j - 1]:
-                break
-            turns += step not in (None, (r2 - r, k2 - k))
-            step = r2 - r, k2 - k
-            j += 1
-            if j - i >= 3:
-                reach(j, math.log2(47) + math.log2(j - i) + 3 * (1 + turns))
-        for step in (1, -1):
+        for at in _AT:  # walks over neighbouring keys of one keyboard
+            j, step, turns = i + 1, None, 0
+            while j < n and base + 3 * turns < most and low[j - 1] in at and low[j] in at:
+                (r, k), (r2, k2) = at[low[j - 1]], at[low[j]]
+                if abs(r - r2) > 1 or abs(k - k2) > 1 or low[j] == low[j - 1]:
+                    break
+                turns += step not in (None, (r2 - r, k2 - k))
+                step = r2 - r, k2 - k
+                j += 1
+                if j - i >= 3:
+                    reach(j, walk_bits(j - i, turns))
+        for step in (1, -1):  # runs of neighbouring characters
             j = i + 1
             while j < n and ord(low[j]) - ord(low[j - 1]) == step:
                 j += 1
                 if j - i >= 3:
-                    reach(j, math.log2(36) + 1 + math.log2(j - i))
+                    reach(j, run_bits(j - i))
     return min(best[n], brute, most) if n else 0.0
 
 
 def is_secret(value: str, least_bits: float = LEAST_BITS) -> bool:
     """Whether a value in a credential's place takes ``least_bits`` or more."""
-    if not value.isalpha():
-        return bool(value) and guess_bits(value, most=least_bits) >= least_bits
-    return _latin(value) and guess_bits(value, language_words(), least_bits) >= least_bits
+    return bool(value) and (not value.isalpha() or _latin(value)) and guess_bits(value, language_words(), least_bits) >= least_bits
 
 
 def find_secrets(text: str | None, least_bits: float = LEAST_BITS) -> list[tuple[int, int, int]]:
