@@ -2,12 +2,17 @@
 
 A text's spectrum is the set of its n-grams of 1 to 4 bytes (letters lowered, everything that is no letter
 a blank), hashed to fixed places; the kernel of two texts is the cosine of their presence vectors.  A
-bounded sample of labelled texts (``PER_LANGUAGE`` of each language, by a hash of the id) trains a kernel
+bounded sample of labelled texts (of each language ``PER_GROUP`` of each of ``GROUPS`` groups, by hashes of
+the id: 512 at most) trains a kernel
 ridge regression, one language against the rest, on Nyström features of ``LANDMARKS`` landmark texts.
 Landmarks and weights fold into one matrix each, so texts are scored by two matrix products a batch.
 
+Longer grams share places (``PLACES``), so the kernel is that of hashed spectra: two texts have a few grams
+more in common than their own ones, about the shares of places that each fills.
+
 A text that is null or has no letter is ``und`` with score 0.  Texts are taken whole; rows that repeat are
-judged each; null languages are not learned.  Without any labelled text all are ``und``.
+judged each; null languages are not learned.  Without any labelled text all are ``und``; of equal scores
+the first language by name counts.  An empty table gives an empty result; other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -20,11 +25,10 @@ from pyspark.sql import functions as F
 from .common import documents, map_text, utf8
 from .quality import _held_out
 
-PER_LANGUAGE, LANDMARKS, RIDGE, SHARPNESS = 500, 96, 1e-3, 8.0
+GROUPS, PER_GROUP, LANDMARKS, RIDGE, SHARPNESS = 128, 4, 96, 1e-3, 8.0
 #: Places for n-grams of 1, 2, 3 and 4 bytes, as powers of two.
 PLACES = (8, 12, 14, 14)
 BATCH = 48
-GROUPS = 256
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
@@ -62,15 +66,15 @@ def _has_letter(column: pa.Array) -> np.ndarray:
     return out
 
 
-def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """(lang, text) of at most ``per_language`` labelled texts of each language that are not held out."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~_held_out(F.col("doc_id"))).select("doc_id", "lang")
-    # the first by hash of each of many groups of a language, then of the language: no task reads a share of all rows
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    some = known.withColumn("group", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(GROUPS)))
-    some = some.withColumn("k", F.row_number().over(Window.partitionBy("lang", "group").orderBy(*order))).where(F.col("k") <= per_language).drop("k")
-    chosen = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("k") <= per_language).select("doc_id", "lang", "k")
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("lang", "k", "text")
+def sample(docs: DataFrame, per_group: int = PER_GROUP, groups: int = GROUPS) -> DataFrame:
+    """(lang, k, text) of a bounded number of labelled texts of each language that are not held out."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~_held_out(F.col("doc_id"))).select("doc_id", "lang", F.xxhash64("text").alias("t"))
+    # a language's rows are dealt out over groups, so that no task reads a share of all rows
+    grouped = known.withColumn("group", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(groups)))
+    first = F.row_number().over(Window.partitionBy("lang", "group").orderBy(F.xxhash64("doc_id"), "doc_id", "t"))
+    chosen = grouped.withColumn("k", first).where(F.col("k") <= per_group).select("doc_id", "t", "lang", (F.col("k") * groups + F.col("group")).alias("k"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("t"), "lang", "text").join(F.broadcast(chosen), ["doc_id", "t", "lang"])
+    return texts.dropDuplicates(["lang", "k"]).select("lang", "k", "text")
 
 
 def fit(rows: DataFrame, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> dict:
