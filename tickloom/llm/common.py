@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,13 +20,17 @@ STEP_BYTES = 2 << 20
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which all executors share.
+    """A new folder under ``spark.checkpoint.dir``, which all executors share and whose owner clears it.
 
-    Only where that setting is unset (tests, one machine) a temporary folder stands in for it.
+    Where that setting is unset and all of Spark is one process (tests), a temporary folder stands in for
+    it, which goes with the process; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tickloom-")
+        atexit.register(shutil.rmtree, base, True)
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tickloom-{uuid.uuid4().hex}"
 
