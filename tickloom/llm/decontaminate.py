@@ -195,8 +195,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` without any occurrence of a test window, in the columns of ``docs``."""
-    return contamination(docs, benchmark, text, window).where(F.size("hit_spans") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` without any occurrence of a test window, in the columns of ``docs``, whatever their names."""
+    places = {c: f"_{k}" for k, c in enumerate(docs.columns)}
+    found = contamination(docs.toDF(*places.values()), benchmark, places[text], window)
+    return found.where(F.size("hit_spans") == 0).select(*[F.col(p).alias(c) for c, p in places.items()])
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
