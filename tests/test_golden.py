@@ -30,6 +30,7 @@ def walk():
         for i in range(1, 6):
             rows[f"ap{i}"], rows[f"bp{i}"] = last + i, last - i
             rows[f"av{i}"], rows[f"bv{i}"] = rng.integers(1, 40, 260).astype(float), rng.integers(1, 40, 260).astype(float)
+        rows["ordercnt_bid1"], rows["ordercnt_ask1"] = 3.0, 4.0
         rows["volume"], rows["turnover"], rows["openinterest"] = np.cumsum(dv).astype(float), np.cumsum(dv * last), 1000.0 + rng.integers(0, 50, 260)
         rows.loc[[5, 90], "ap1"], rows.loc[[7, 91], "bp1"], rows.loc[9, ["ap1", "bp1"]] = 0, 0, 0
         out.append(rows)
@@ -90,7 +91,7 @@ def test_every_factor_runs_on_few_rows(book):
     few = book.where("event_id % 1000 < 12")
     assert compute(few, TICK, TICK, KEYS, ORDER).count() == 24
     assert compute(few.withColumns({c: F.lit(5.0) for c in ("last", "ap1", "bp1")}), LIQUIDITY, LIQUIDITY, KEYS, ORDER).count() == 24
-    bars = few.selectExpr("contract", "ts", "event_id", "last AS price", "last + 2 AS high", "last - 2 AS low", "last AS open", "bv1 AS vol", "turnover AS dollar_volume", "openinterest", "av1 AS depth", "bv2 - av2 AS net_inflow", "1.0D AS bigorder_vol", "2.0D AS buy_vol", "1.0D AS sell_vol", "0.0D AS bigbuy_vol", "0.0D AS bigsell_vol", "ap1", "bp1", "av1", "bv1")
+    bars = few.selectExpr("contract", "ts", "event_id", "last AS price", "last + 2 AS high", "last - 2 AS low", "last AS open", "bv1 AS vol", "turnover AS dollar_volume", "turnover / volume AS vwap", "0.1D AS elasticity", "turnover AS delta_turnover", "volume", "trade_day", "15.0D AS mean_vol", "openinterest", "av1 AS depth", "bv2 - av2 AS net_inflow", "1.0D AS bigorder_vol", "2.0D AS buy_vol", "1.0D AS sell_vol", "0.0D AS bigbuy_vol", "0.0D AS bigsell_vol", "ap1", "bp1", "av1", "bv1")
     assert compute(bars, MINUTE, MINUTE, KEYS, ORDER).count() == 24
     flat = bars.withColumns({c: F.lit(5.0) for c in ("price", "high", "low", "open", "vol")})
     assert compute(flat, KERNEL, KERNEL, KEYS, ORDER).count() == 24

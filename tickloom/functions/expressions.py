@@ -2,12 +2,14 @@
 
 Frames are row counts; a rolling value is NULL until ``least`` rows of the frame hold a value (the whole
 frame by default).  Divisions by zero are NULL.  ``{P}`` stands for the partition and order, which the
-caller of ``compute`` chooses.  The same text is run by DuckDB in the checks; the few functions that the
-two name differently go through methods of ``Sql``.
+caller of ``compute`` chooses.
 """
 
 from __future__ import annotations
 
+import math
+import zlib
+
 
 def over(k: int, back: int = 0) -> str:
     """The last k rows up to the current one (or up to ``back`` rows before it)."""
@@ -19,10 +21,7 @@ SO_FAR = "OVER ({P} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
 
 class Sql:
-    """Builds expressions; ``duckdb`` picks that engine's names."""
-
-    def __init__(self, duckdb: bool = False):
-        self.duckdb = duckdb
+    """Builds expressions over frames as they stand."""
 
     def div(self, a: str, b: str) -> str:
         return f"(({a}) / nullif({b}, 0))"
@@ -52,13 +51,12 @@ class Sql:
         """Bias-corrected; NULL on a constant frame."""
         n, v, least = f"count({x}) {over(k)}", f"skewness({x}) {over(k)}", max(3, k if least is None else least)
         flat = f"max({x}) {over(k)} = min({x}) {over(k)}"
-        value = v if self.duckdb else f"sqrt({n} * ({n} - 1.0D)) / ({n} - 2) * {v}"
-        return f"(CASE WHEN {n} >= {least} AND NOT ({flat}) THEN {value} END)"
+        return f"(CASE WHEN {n} >= {least} AND NOT ({flat}) THEN sqrt({n} * ({n} - 1.0D)) / ({n} - 2) * {v} END)"
 
     def kurt(self, x, k, least=None):
         n, v, least = f"count({x}) {over(k)}", f"kurtosis({x}) {over(k)}", max(4, k if least is None else least)
         flat = f"max({x}) {over(k)} = min({x}) {over(k)}"
-        value = v if self.duckdb else f"({n} - 1.0D) / (({n} - 2.0D) * ({n} - 3.0D)) * (({n} + 1.0D) * {v} + 6)"
+        value = f"({n} - 1.0D) / (({n} - 2.0D) * ({n} - 3.0D)) * (({n} + 1.0D) * {v} + 6)"
         return f"(CASE WHEN {n} >= {least} AND NOT ({flat}) THEN {value} END)"
 
     def corr(self, x, y, k, least=None):
@@ -69,8 +67,7 @@ class Sql:
         return f"(CASE WHEN count({a}) {over(k)} >= {max(2, k if least is None else least)} AND NOT ({flat}) THEN {value} END)"
 
     def quantile(self, x, q, k, least=None):
-        f = f"quantile_cont({x}, {q})" if self.duckdb else f"percentile({x}, {q}D)"
-        return f"(CASE WHEN count({x}) {over(k)} >= {k if least is None else least} THEN {f} {over(k)} END)"
+        return f"(CASE WHEN count({x}) {over(k)} >= {k if least is None else least} THEN percentile({x}, {q}D) {over(k)} END)"
 
     def median(self, x):
         return f"median({x})"
@@ -88,7 +85,7 @@ class Sql:
         return f"({self.div(x, self.lag(x, n))} - 1)"
 
     def ffill(self, x):
-        return f"last_value({x} IGNORE NULLS) {SO_FAR}" if self.duckdb else f"last_value({x}) IGNORE NULLS {SO_FAR}"
+        return f"last_value({x}) IGNORE NULLS {SO_FAR}"
 
     def clip(self, x, low, high):
         return f"(CASE WHEN {x} IS NULL THEN NULL ELSE greatest(least({x}, {high}), {low}) END)"
@@ -98,26 +95,159 @@ class Sql:
 
     def array(self, x, k):
         """The frame's values as an array, NULLs left out."""
-        return f"list({x}) FILTER ({x} IS NOT NULL) {over(k)}" if self.duckdb else f"collect_list({x}) {over(k)}"
+        return f"collect_list({x}) {over(k)}"
 
     # arrays: f is a text with x for the element
     def each(self, a, f):
-        return f"list_transform({a}, lambda x: {f})" if self.duckdb else f"transform({a}, x -> {f})"
+        return f"transform({a}, x -> {f})"
 
     def only(self, a, f):
-        return f"list_filter({a}, lambda x: {f})" if self.duckdb else f"filter({a}, x -> {f})"
+        return f"filter({a}, x -> {f})"
 
     def fold(self, a):
         """Sum of an array, from the left; 0 if empty."""
-        return f"list_reduce(list_prepend(0.0::DOUBLE, {a}), lambda p, q: p + q)" if self.duckdb else f"aggregate({a}, 0.0D, (p, q) -> p + q)"
+        return f"aggregate({a}, 0.0D, (p, q) -> p + q)"
+
+    def array_of(self, cond, k, **fields):
+        """The frame's rows that meet a condition, as structs."""
+        pack = ", ".join(f"'{n}', {v}" for n, v in fields.items())
+        return f"collect_list(CASE WHEN {cond} THEN named_struct({pack}) END) {over(k)}"
+
+    def item(self, a, i):
+        return f"get({a}, {i - 1})"
+
+    def roll_back(self, x, k):
+        """Mean of the k rows before the current one."""
+        return f"(CASE WHEN count({x}) {over(k, 1)} = {k} THEN avg({x}) {over(k, 1)} END)"
+
+    def turns(self, a):
+        """Values of an array that are above, or below, both neighbours, in order."""
+        return f"filter({a}, (x, i) -> i > 0 AND i < size({a}) - 1 AND ((x > get({a}, i - 1) AND x > get({a}, i + 1)) OR (x < get({a}, i - 1) AND x < get({a}, i + 1))))"
+
+    def range_of_sums(self, a, mean):
+        """Largest less smallest running sum of an array's deviations from ``mean``."""
+        low, high = "CAST('-Infinity' AS DOUBLE)", "CAST('Infinity' AS DOUBLE)"
+        step = f"named_struct('s', p.s + x - {mean}, 'hi', greatest(p.hi, p.s + x - {mean}), 'lo', least(p.lo, p.s + x - {mean}))"
+        return f"aggregate({a}, named_struct('s', 0.0D, 'hi', {low}, 'lo', {high}), (p, x) -> {step}, p -> p.hi - p.lo)"
+
+    def _decayed(self, x, span, result):
+        """Exponential weights over the frame in which they are above 1e-16; NULLs keep their places."""
+        q, k = (span - 1) / (span + 1), math.ceil(-16 * math.log(10) / math.log((span - 1) / (span + 1)))
+        rest = f"'w', p.w * {q!r}D, 'w2', p.w2 * {q * q!r}D, 's', p.s * {q!r}D, 't', p.t * {q!r}D"
+        more = f"'w', p.w * {q!r}D + 1, 'w2', p.w2 * {q * q!r}D + 1, 's', p.s * {q!r}D + x.v, 't', p.t * {q!r}D + x.v * x.v"
+        zero = "named_struct('w', 0.0D, 'w2', 0.0D, 's', 0.0D, 't', 0.0D)"
+        return k, f"aggregate(collect_list(named_struct('v', {x})) {over(k)}, {zero}, (p, x) -> CASE WHEN x.v IS NULL THEN named_struct({rest}) ELSE named_struct({more}) END, p -> {result})"
+
+    def decayed_mean(self, x, span, least=1):
+        k, value = self._decayed(x, span, "p.s / nullif(p.w, 0)")
+        return f"(CASE WHEN count({x}) {over(k)} >= {least} THEN {value} END)"
+
+    def decayed_std(self, x, span, least=2):
+        k, value = self._decayed(x, span, "sqrt(greatest(p.t / p.w - power(p.s / p.w, 2), 0) * p.w * p.w / nullif(p.w * p.w - p.w2, 0))")
+        return f"(CASE WHEN count({x}) {over(k)} >= {max(2, least)} THEN {value} END)"
 
     def size(self, a):
-        return f"len({a})" if self.duckdb else f"size({a})"
+        return f"size({a})"
 
     def array_quantile(self, a, q):
         """Linear interpolation over the sorted array."""
-        s, n = (f"list_sort({a})", f"len({a})") if self.duckdb else (f"array_sort({a})", f"size({a})")
-        at = f"(({n} - 1) * {q}D)" if not self.duckdb else f"(({n} - 1) * {q}::DOUBLE)"
+        s, n = f"array_sort({a})", f"size({a})"
+        at = f"(({n} - 1) * {q}D)"
         lo = f"cast(floor({at}) AS INT)"
-        low, high = f"{s}[{lo} + 1]" if self.duckdb else f"get({s}, {lo})", f"{s}[least({lo} + 2, {n})]" if self.duckdb else f"get({s}, least({lo} + 1, {n} - 1))"
+        low, high = f"get({s}, {lo})", f"get({s}, least({lo} + 1, {n} - 1))"
         return f"({low} + ({high} - {low}) * ({at} - {lo}))"
+
+
+class Spark(Sql):
+    """Expressions whose work per row does not grow with the frame.
+
+    From ``FAR`` rows on, moments are differences of running sums of values less the partition's first one, and
+    extremes are those of short frames at some distances.  ``extra`` holds the columns that this needs, to be
+    worked out before.  A frame of equal values is told by the place of the last change.
+    """
+
+    FAR = 60
+
+    def __init__(self):
+        self.extra: dict[str, str] = {}
+
+    def column(self, text: str) -> str:
+        name = f"_r{zlib.crc32(text.encode()):08x}{len(text):x}"
+        self.extra[name] = text
+        return name
+
+    def ahead(self, name: str, k: int) -> str:
+        """A running column's growth over the frame."""
+        return f"({name} - coalesce(lag({name}, {k}) OVER ({{P}}), 0))"
+
+    def following(self, x: str, k: int, skip: int = 0) -> str:
+        """Sum of the k rows after the current one, or of those of them behind the first ``skip``."""
+        name = self.running(x)
+        return f"(lead({name}, {k}) OVER ({{P}}) - {f'lead({name}, {skip}) OVER ({{P}})' if skip else name})"
+
+    def running(self, x: str) -> str:
+        return self.column(f"coalesce(sum({x}) {SO_FAR}, 0)")
+
+    def held(self, x: str) -> str:
+        return self.column(f"count({x}) {SO_FAR}")
+
+    def powers(self, x: str, k: int, n: int) -> tuple[str, list[str]]:
+        """How many values the frame holds, and its sums of the first n powers of (value - first value)."""
+        first = self.column(f"first_value({x}) IGNORE NULLS OVER ({{P}} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
+        d = self.column(f"CAST({x} AS DOUBLE) - {first}")
+        return self.ahead(self.held(x), k), [self.ahead(self.running(" * ".join([d] * p)), k) for p in range(1, n + 1)]
+
+    def flat(self, x: str, k: int) -> str:
+        held = self.held(x)
+        before = self.column(f"last_value({x}) IGNORE NULLS OVER ({{P}} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+        change = self.column(f"CASE WHEN {x} <> {before} THEN {held} - 1 END")
+        last = self.column(f"coalesce(max({change}) {SO_FAR}, 0)")
+        return f"{last} <= coalesce(lag({held}, {k}) OVER ({{P}}), 0)"
+
+    def roll(self, f, x, k, least=None):
+        if k < self.FAR:
+            return super().roll(f, x, k, least)
+        n, least = self.ahead(self.held(x), k), k if least is None else least
+        if f in ("max", "min"):
+            short = math.isqrt(k)
+            m = self.column(f"{f}({x}) {over(short)}")
+            places = sorted({*range(short, k - short + 1, short), k - short})
+            value = f"{'greatest' if f == 'max' else 'least'}({m}, {', '.join(f'lag({m}, {p}) OVER ({{P}})' for p in places)})"
+        elif f in ("sum", "avg"):
+            value = self.ahead(self.running(f"CAST({x} AS DOUBLE)"), k) + (f" / nullif({n}, 0)" if f == "avg" else "")
+        else:
+            n, (s1, s2) = self.powers(x, k, 2)
+            value = f"greatest({s2} - {s1} * {s1} / {n}, 0) / nullif({n} - 1, 0)"
+            value = f"CASE WHEN {self.flat(x, k)} THEN 0.0D ELSE {value} END"
+            value = f"sqrt({value})" if f == "stddev_samp" else value
+        return f"(CASE WHEN {n} >= {least} THEN {value} END)"
+
+    def skew(self, x, k, least=None):
+        if k < self.FAR:
+            return super().skew(x, k, least)
+        n, (s1, s2, s3) = self.powers(x, k, 3)
+        m = f"({s1} / {n})"
+        third = f"({s3} / {n} - 3 * {m} * {s2} / {n} + 2 * power({m}, 3))"
+        value = f"sqrt({n} * ({n} - 1.0D)) / ({n} - 2) * {third} / nullif(power(greatest({s2} / {n} - {m} * {m}, 0), 1.5), 0)"
+        return f"(CASE WHEN {n} >= {max(3, k if least is None else least)} AND NOT ({self.flat(x, k)}) THEN {value} END)"
+
+    def kurt(self, x, k, least=None):
+        if k < self.FAR:
+            return super().kurt(x, k, least)
+        n, (s1, s2, s3, s4) = self.powers(x, k, 4)
+        m = f"({s1} / {n})"
+        fourth = f"({s4} / {n} - 4 * {m} * {s3} / {n} + 6 * {m} * {m} * {s2} / {n} - 3 * power({m}, 4))"
+        excess = f"({fourth} / nullif(power(greatest({s2} / {n} - {m} * {m}, 0), 2), 0) - 3)"
+        value = f"({n} - 1.0D) / (({n} - 2.0D) * ({n} - 3.0D)) * (({n} + 1.0D) * {excess} + 6)"
+        return f"(CASE WHEN {n} >= {max(4, k if least is None else least)} AND NOT ({self.flat(x, k)}) THEN {value} END)"
+
+    def corr(self, x, y, k, least=None):
+        if k < self.FAR:
+            return super().corr(x, y, k, least)
+        a, b = self.column(f"CASE WHEN {y} IS NOT NULL THEN {x} END"), self.column(f"CASE WHEN {x} IS NOT NULL THEN {y} END")
+        n, (sa, saa) = self.powers(a, k, 2)
+        _, (sb, sbb) = self.powers(b, k, 2)
+        da, db = (self.column(f"CAST({c} AS DOUBLE) - {self.column(f'first_value({c}) IGNORE NULLS OVER ({{P}} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)')}") for c in (a, b))
+        sab = self.ahead(self.running(f"{da} * {db}"), k)
+        value = f"({n} * {sab} - {sa} * {sb}) / nullif(sqrt(greatest({n} * {saa} - {sa} * {sa}, 0)) * sqrt(greatest({n} * {sbb} - {sb} * {sb}, 0)), 0)"
+        return f"(CASE WHEN {n} >= {max(2, k if least is None else least)} AND NOT ({self.flat(a, k)} OR {self.flat(b, k)}) THEN greatest(least({value}, 1), -1) END)"

@@ -29,29 +29,28 @@ def quadratic(s: Sql, x: str, k: int) -> tuple[str, str]:
 
 
 KERNEL: dict[str, Callable[[Sql], str]] = dict(MINUTE) | {"amp": lambda s: "high / low - 1"}
+for k in (10, 30, 60):
+    KERNEL |= {
+        # R/S: range of the running sums of deviations over the deviation
+        f"rs_prices_{k}": lambda s, k=k: s.array("price", k),
+        f"rs_mean_{k}": lambda s, k=k: s.mean("price", k),
+        f"rs_sd_{k}": lambda s, k=k: f"stddev_pop(price) {over(k)}",
+        f"rs_range_{k}": lambda s, k=k: s.range_of_sums(f"rs_prices_{k}", f"rs_mean_{k}"),
+        f"hurst_{k}": lambda s, k=k: f"(CASE WHEN rs_mean_{k} IS NULL THEN NULL WHEN rs_sd_{k} < 1e-9 THEN 0.5 ELSE rs_range_{k} / nullif(rs_sd_{k}, 0) END)",
+    }
 for k in (10, 30):
     KERNEL |= {
         f"quad_slope_{k}": lambda s, k=k: quadratic(s, "price", k)[0],
         f"quad_r2_{k}": lambda s, k=k: quadratic(s, "price", k)[1],
         f"regression_factor_{k}": lambda s, k=k: f"quad_slope_{k} * quad_r2_{k}",
         f"regr_r2_ret_{k}": lambda s, k=k: f"coalesce({quadratic(s, 'ret_min', k)[1]}, 0)",
-        # R/S: range of the running sums of deviations over the deviation
-        f"rs_prices_{k}": lambda s, k=k: s.array("price", k),
-        f"rs_mean_{k}": lambda s, k=k: s.mean("price", k),
-        f"rs_sd_{k}": lambda s, k=k: f"stddev_pop(price) {over(k)}",
-        f"rs_sums_{k}": lambda s, k=k: (
-            f"list_transform(range(1, len(rs_prices_{k}) + 1), lambda i: list_sum(list_transform(rs_prices_{k}[1:i], lambda x: x - rs_mean_{k})))"
-            if s.duckdb
-            else f"transform(sequence(1, size(rs_prices_{k})), i -> aggregate(slice(rs_prices_{k}, 1, i), 0.0D, (p, x) -> p + (x - rs_mean_{k})))"
-        ),
-        f"hurst_{k}": lambda s, k=k: f"(CASE WHEN rs_mean_{k} IS NULL THEN NULL WHEN rs_sd_{k} < 1e-9 THEN 0.5 ELSE ({'list_max' if s.duckdb else 'array_max'}(rs_sums_{k}) - {'list_min' if s.duckdb else 'array_min'}(rs_sums_{k})) / nullif(rs_sd_{k}, 0) END)",
         # amplitude of the frame's dear rows less that of its cheap rows
         f"dear_cut_{k}": lambda s, k=k: s.quantile("price", 0.2, k),
         f"cheap_cut_{k}": lambda s, k=k: s.quantile("price", 0.8, k),
-        f"amp_pairs_{k}": lambda s, k=k: f"list(struct_pack(p := price, a := amp)) {over(k)}" if s.duckdb else f"collect_list(named_struct('p', price, 'a', amp)) {over(k)}",
+        f"amp_pairs_{k}": lambda s, k=k: f"collect_list(named_struct('p', price, 'a', amp)) {over(k)}",
         f"amplitude_{k}": lambda s, k=k: f"(CASE WHEN count(amp) {over(k)} = {k} THEN {_mean_where(s, f'amp_pairs_{k}', f'x.p >= dear_cut_{k}', 'x.a')} - {_mean_where(s, f'amp_pairs_{k}', f'x.p <= cheap_cut_{k}', 'x.a')} END)",
         # log returns of heavy rows, weighted by volume, less those of light rows, weighted by its inverse
-        f"pairs_{k}": lambda s, k=k: f"list(struct_pack(v := vol, r := ln(greatest(ret_min, 1e-9)))) FILTER (ret_min IS NOT NULL AND vol IS NOT NULL) {over(k)}" if s.duckdb else f"collect_list(CASE WHEN ret_min IS NOT NULL AND vol IS NOT NULL THEN named_struct('v', vol, 'r', ln(greatest(ret_min, 1e-9D))) END) {over(k)}",
+        f"pairs_{k}": lambda s, k=k: s.array_of("ret_min IS NOT NULL AND vol IS NOT NULL", k, v="vol", r="ln(greatest(ret_min, 1e-9D))"),
         f"vol_cut_{k}": lambda s, k=k: s.quantile("CASE WHEN ret_min IS NOT NULL THEN vol END", 0.8, k, 5),
         f"struct_rev_{k}": lambda s, k=k: f"(CASE WHEN row_number() OVER ({{P}}) >= {k} AND {s.size(f'pairs_{k}')} >= 5 THEN {_weighted_mean(s, f'pairs_{k}', f'x.v > vol_cut_{k}', 'x.v')} - {_weighted_mean(s, f'pairs_{k}', f'x.v <= vol_cut_{k}', '1 / x.v')} END)",
     }

@@ -59,13 +59,11 @@ def buy_share(s: Sql, price: str, algorithm: str, window: int = 60) -> str:
 
 
 def depth_change(s: Sql, side: str, levels=(1,)) -> str:
-    """Change of depth by price: same price, the difference; worse, all gone; better, all new. 0 on the first row."""
+    """Change of the levels' depth by the best price: same, the difference; worse, all gone; better, all new. 0 on the first row."""
     better, worse = ("<", ">") if side == "a" else (">", "<")
-    each = []
-    for i in levels:
-        p, v = f"{side}p{i}", f"{side}v{i}"
-        each.append(f"(CASE WHEN {p} = {s.lag(p)} THEN {s.diff(v)} WHEN {p} {worse} {s.lag(p)} THEN -{s.lag(v)} WHEN {p} {better} {s.lag(p)} THEN {v} ELSE 0 END)")
-    return "(" + " + ".join(each) + ")"
+    p, now = f"{side}p1", "(" + " + ".join(f"{side}v{i}" for i in levels) + ")"
+    before = "(" + " + ".join(s.lag(f"{side}v{i}") for i in levels) + ")"
+    return f"(CASE WHEN {p} = {s.lag(p)} THEN {now} - {before} WHEN {p} {worse} {s.lag(p)} THEN -{before} WHEN {p} {better} {s.lag(p)} THEN {now} ELSE 0 END)"
 
 
 def aligned_depth_change(s: Sql, side: str, tick: float = 1.0, jump: int = 5) -> str:
@@ -85,17 +83,13 @@ def outlier(side: str, i: int, kind: str, flow: str = "coalesce(flow_total, 0)",
     if kind == "trunc":
         return f"(CASE WHEN {is_huge} THEN {huge} WHEN {is_large} THEN {limit} ELSE {v} END)"
     near = {1: f"{side}v2", 5: f"{side}v4"}.get(i) or f"(({side}v{i - 1} + {side}v{i + 1}) / 2)"
-    row = [f"{side}v{j}" for j in LEVELS]
-    # the middle of five: the third smallest
-    rank = lambda x: "(" + " + ".join(f"(CASE WHEN {y} < {x} THEN 1 ELSE 0 END)" for y in row) + ")"
-    ties = lambda x: "(" + " + ".join(f"(CASE WHEN {y} <= {x} THEN 1 ELSE 0 END)" for y in row) + ")"
-    middle = "coalesce(" + ", ".join(f"(CASE WHEN {rank(x)} <= 2 AND {ties(x)} >= 3 THEN {x} END)" for x in row) + ")"
+    middle = f"get(array_sort(array({', '.join(f'{side}v{j}' for j in LEVELS)})), 2)"
     return f"(CASE WHEN {is_huge} OR {is_large} THEN {({'neighbour': near, 'median': middle, 'zero': '0'})[kind]} ELSE {v} END)"
 
 
-def effective_depth(side: str, decay: float = 0.1, cut: float = 0.2, large: str = "2 * coalesce(flow_total, 0)") -> str:
-    """Depth that counts: each level by exp(-decay * (level - 1)), less ``cut`` where a level is large."""
-    return "(" + " + ".join(f"{side}v{i} * exp(-{decay} * {i - 1}) * (CASE WHEN {side}v{i} > {large} THEN {1 - cut} ELSE 1 END)" for i in LEVELS) + ")"
+def effective_depth(side: str, decay: float = 0.1, cut: float = 0.2, huge: float = 500, large: float = 100) -> str:
+    """Depth that counts: each level by exp(-decay * (level - 1)), less ``cut`` where it is huge, or large and twice the flow."""
+    return "(" + " + ".join(f"{side}v{i} * exp(-{decay} * {i - 1}) * (CASE WHEN {side}v{i} >= {huge} OR ({side}v{i} >= {large} AND {side}v{i} > 2 * coalesce(flow_total, 0)) THEN {1 - cut} ELSE 1 END)" for i in LEVELS) + ")"
 
 
 def _wbas(s: Sql) -> str:
@@ -103,6 +97,12 @@ def _wbas(s: Sql) -> str:
     return f"{side('a')} - {side('b')}"
 
 
+OUTLIERS = ("trunc", "neighbour", "median", "zero")
+SIDES, MODES = (("ask", "buy"), ("bid", "sell")), ("", "_5", "_aligned")
+#: What a lot holds, by which turnover over volume is a price.
+MULTIPLIER = 1
+COUNTED = "({side}v{i} * exp(-0.1 * ({i} - 1)) * (CASE WHEN {side}v{i} >= 500 OR ({side}v{i} >= 100 AND {side}v{i} > 2 * coalesce(flow_total, 0)) THEN 0.8 ELSE 1 END))"
+
 LIQUIDITY: dict[str, Callable[[Sql], str]] = dict(TICK) | {
     "wbas": _wbas,
     **{f"spread_l{i}": lambda s, i=i: f"ap{i} - bp{i}" for i in LEVELS},
@@ -114,7 +114,13 @@ LIQUIDITY: dict[str, Callable[[Sql], str]] = dict(TICK) | {
     **{f"sell_{a}_{p}": lambda s, a=a, p=p: f"delta_volume - buy_{a}_{p}" for a in ("lee_ready", "bvc", "proportional") for p in ("mid", "last", "atp")},
     "demand_buy": lambda s: f"coalesce({s.sum('buy_lee_ready_last', 60)}, 0) / 60 * 2",
     "demand_sell": lambda s: f"coalesce({s.sum('sell_lee_ready_last', 60)}, 0) / 60 * 2",
-    **{f"av{i}_{kind}": lambda s, i=i, kind=kind: outlier("a", i, kind, huge=35, large=20, flow="flow_total / 2") for i in LEVELS for kind in ("trunc", "neighbour", "median", "zero")},
+    "demand_buy_6": lambda s: "demand_buy * 3",
+    "demand_sell_6": lambda s: "demand_sell * 3",
+    **{f"{side}v{i}_{kind}": lambda s, side=side, i=i, kind=kind: outlier(side, i, kind, huge=35, large=20, flow="flow_total / 2") for side in "ab" for i in LEVELS for kind in OUTLIERS},
+    # spreads of a sweep over the corrected volumes
+    **{f"outlier_spread_{kind}": lambda s, kind=kind: f"{sweep_price('a', 'flow_total', volumes='{side}v{i}_' + kind)} - {sweep_price('b', 'flow_total', volumes='{side}v{i}_' + kind)}" for kind in OUTLIERS},
+    **{f"sweep_20_{side}": lambda s, side=side: sweep_price(side, "20", "last") for side in "ab"},
+    **{f"sweep_penalty_02_{side}": lambda s, side=side: sweep_price(side, "50", "penalty", penalty=0.2) for side in "ab"},
     "dssp_ask": lambda s: effective_depth("a"),
     "dssp_bid": lambda s: effective_depth("b"),
     "depth_change_ask": lambda s: depth_change(s, "a"),
@@ -123,11 +129,10 @@ LIQUIDITY: dict[str, Callable[[Sql], str]] = dict(TICK) | {
     "depth_change_bid_5": lambda s: depth_change(s, "b", LEVELS),
     "aligned_change_ask": lambda s: aligned_depth_change(s, "a"),
     "aligned_change_bid": lambda s: aligned_depth_change(s, "b"),
-    "refill_ask": lambda s: s.mean("depth_change_ask + buy_lee_ready_last", 60, 1),
-    "refill_bid": lambda s: s.mean("depth_change_bid + sell_lee_ready_last", 60, 1),
-    "refill_scale": lambda s: "coalesce(nullif(avg(delta_volume) OVER ({P} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) * 5, 0), 1)",
-    "resilience_ask": lambda s: "tanh(refill_ask / refill_scale) * 0.5",
-    "resilience_bid": lambda s: "tanh(refill_bid / refill_scale) * 0.5",
+    **{f"refill_{side}": lambda s, side=side, flow=flow: s.mean(f"depth_change_{side} + {flow}_lee_ready_last", 60, 1) for side, flow in SIDES},
+    **{f"refill_{side}_5": lambda s, side=side, flow=flow: s.mean(f"depth_change_{side}_5 + {flow}_lee_ready_last", 60, 1) for side, flow in SIDES},
+    "refill_scale": lambda s: f"coalesce(nullif({s.mean('volume_step', 60, 1)}, 0), 1) * 5",
+    **{f"resilience_{side}{m}": lambda s, side=side, m=m: f"tanh(refill_{side}{m} / refill_scale) * 0.3" for side, _ in SIDES for m in ("", "_5")},
     # plain; impacts scaled; flows scaled
     "robust_ask": lambda s: sweep_price("a", "demand_buy"),
     "robust_bid": lambda s: sweep_price("b", "demand_sell"),
@@ -140,16 +145,31 @@ LIQUIDITY: dict[str, Callable[[Sql], str]] = dict(TICK) | {
     "scaled_sell": lambda s: "demand_sell * (1 - resilience_bid)",
     "final_spread_flows": lambda s: f"{sweep_price('a', 'scaled_buy')} - {sweep_price('b', 'scaled_sell')}",
     "final_spread_120": lambda s: s.mean("final_spread", 120, 1),
-    "dssp_spread": lambda s: f"{sweep_price('a', 'demand_buy', volumes='(0.9 * {side}v{i})')} - {sweep_price('b', 'demand_sell', volumes='(0.9 * {side}v{i})')}",
+    # depth by distance and size
+    "dssp_spread": lambda s: f"{sweep_price('a', 'demand_buy', volumes=COUNTED)} - {sweep_price('b', 'demand_sell', volumes=COUNTED)}",
+    # flows scaled by the resilience of the best level or of all five, or of depth aligned by ticks; their sweep and skew
+    **{f"refill_{side}_aligned": lambda s, side=side, flow=flow: s.mean(f"aligned_change_{side} + {flow}_lee_ready_last", 60, 1) for side, flow in SIDES},
+    **{f"resilience_{side}_aligned": lambda s, side=side: f"tanh(refill_{side}_aligned / refill_scale) * 0.3" for side, _ in SIDES},
+    **{f"rolling_{flow}{m}": lambda s, side=side, flow=flow, m=m: f"greatest(demand_{flow} * (1 - resilience_{side}{m}), 0)" for side, flow in SIDES for m in MODES},
+    **{f"rolling_ask{m}": lambda s, m=m: sweep_price("a", f"rolling_buy{m}") for m in MODES},
+    **{f"rolling_bid{m}": lambda s, m=m: sweep_price("b", f"rolling_sell{m}") for m in MODES},
+    **{f"rolling_spread{m}": lambda s, m=m: f"rolling_ask{m} - rolling_bid{m}" for m in MODES},
+    **{f"rolling_skew{m}": lambda s, m=m: f"(rolling_ask{m} - ap1) - (bp1 - rolling_bid{m})" for m in MODES},
+    **{f"rolling_spread_mean{m}": lambda s, m=m: s.mean(f"rolling_spread{m}", 240) for m in MODES},
+    "spread_mean": lambda s: s.mean("ap1 - bp1", 240),
+    "deep_spread_mean": lambda s: s.mean("wbas", 240),
     "cost_bps": lambda s: s.div("final_spread", "mid") + " * 1e4",
     "amihud_term": lambda s: f"abs(ln({s.div('mid', s.lag('mid'))})) / (delta_turnover / 15 + 1e-8)",
-    "amihud_240": lambda s: s.sum("amihud_term", 240, 1),
+    "amihud_240": lambda s: s.sum("amihud_term", 240),
     # forward volume-weighted prices
-    **{f"vwap_forward_{k}": lambda s, k=k: s.div(f"{s.lead('turnover', k)} - turnover", f"{s.lead('volume', k)} - volume") for k in (120, 600, 1800)},
-    **{f"vwap_label_{k}": lambda s, k=k: f"vwap_forward_{k} - mid" for k in (120, 600, 1800)},
+    **{f"vwap_forward_{k}": lambda s, k=k: s.div(s.following("delta_turnover", k), f"{s.following('delta_volume', k)} * {MULTIPLIER}") for k in (120, 600, 1800)},
+    **{f"vwap_label_dir_{k}": lambda s, k=k: f"vwap_forward_{k} - mid" for k in (120, 600, 1800)},
+    **{f"vwap_label_{k}": lambda s, k=k: f"abs(vwap_label_dir_{k})" for k in (120, 600, 1800)},
     **{f"vwap_label_ask_{k}": lambda s, k=k: f"vwap_forward_{k} - ap1" for k in (120, 600, 1800)},
     **{f"vwap_label_bid_{k}": lambda s, k=k: f"bp1 - vwap_forward_{k}" for k in (120, 600, 1800)},
-    "vwap_60_label": lambda s: s.div(s.lead("vwap", 60), "vwap") + " - 1",
+    # from 60 to 900 seconds ahead, less the first 60 seconds
+    "vwap_60_900": lambda s: s.div(s.following("delta_turnover", 1800, 120), f"{s.following('delta_volume', 1800, 120)} * {MULTIPLIER}"),
+    "vwap_60_label": lambda s: "vwap_60_900 - vwap_forward_120",
 }
 for _p in ("mid", "last", "atp"):
     LIQUIDITY[f"bvc_sigma_{_p}"] = lambda s, _p=_p: s.std(f"step_{_p}", 60)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import session
 from ..functions.factors import TICK, compute
 from ..operators import backtest, dataset, evaluate, joins, ml, recursive
-from .tables import BOOK_COLUMNS, DAILY_SQL, ORDER, TICKS_SQL, daily, nested, ticks, view
+from . import factor_sql
+from .tables import BOOK_COLUMNS, DAILY_SQL, ORDER, TICKS_SQL, daily, levelled, ticks, view
 
 DAY = ["contract", "trade_day"]
 QUERIES, ORACLE = {}, {}
@@ -36,7 +37,7 @@ def features(spark, sf_dir, names=TICK_FACTORS, keys=DAY):
 
 
 def features_sql(names=TICK_FACTORS, keys=DAY):
-    return nested(TICKS_SQL, TICK, names, BOOK_COLUMNS, keys, ORDER)
+    return levelled(TICKS_SQL, factor_sql.TICK, names, BOOK_COLUMNS, keys)
 
 
 @query(

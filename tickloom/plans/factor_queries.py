@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.expressions import Sql, over
+from ..functions.factors import MINUTE, TICK, compute, ts_corr, ts_mean, ts_std
 from ..functions.kernels import KERNEL
 from ..functions.liquidity import LIQUIDITY
-from ..functions.factors import MINUTE, TICK, compute, ts_corr, ts_mean, ts_std
-from .tables import BAR_COLUMNS, BARS_SQL, BOOK_COLUMNS, CONTRACT, ORDER, TICKS_SQL, bars, nested, ticks
+from . import factor_sql
+from .tables import BOOK_COLUMNS, CONTRACT, ORDER, TICKS_SQL, bars, levelled, numbered_ticks, ticks, with_mean_volume
 
 DAY = ["contract", "trade_day"]
 QUERIES, ORACLE = {}, {}
@@ -18,25 +19,32 @@ def rounded(names: dict[str, int]) -> list[str]:
     return [f"CAST(round({n}, {d}) + 0.0 AS DOUBLE) AS {n}" for n, d in names.items()]
 
 
-def add(name: str, book: dict, names: dict[str, int], keys=CONTRACT, minute: bool = False):
+def bars_sql(extra=()) -> str:
+    book = factor_sql.TICK | factor_sql.BAR_PRE | {f"bar_{k}": v for k, v in factor_sql.BAR_SQL_COLUMNS.items()}
+    names = ["bar_no", *(f"bar_{k}" for k in factor_sql.BAR_SQL_COLUMNS), *extra]
+    columns = ", ".join([*(f"bar_{k} AS {k}" for k in factor_sql.BAR_SQL_COLUMNS), *extra])
+    return f"SELECT contract, trade_day, ts, event_id, {columns} FROM ({levelled(TICKS_SQL, book, names, BOOK_COLUMNS, CONTRACT)}) b WHERE bar_no % 10 = 0"
+
+
+def add(name: str, book: dict, sql: dict, names: dict[str, int], keys=CONTRACT, minute: bool = False, extra=(), table=None):
     """A query of factors, each rounded to some digits."""
     keep = ["contract", "event_id"]
 
     def run(spark, sf_dir):
-        table = bars(spark, sf_dir) if minute else ticks(spark, sf_dir)
-        return compute(table, book, names, keys, ORDER).select(*keep, *[F.expr(e) for e in rounded(names)])
+        rows = bars(spark, sf_dir, tuple(extra)) if minute else ticks(spark, sf_dir) if keys == DAY else numbered_ticks(spark, sf_dir)
+        return compute(table(rows) if table else rows, book, [n for n in names if n not in extra], keys, ORDER).select(*keep, *[F.expr(e) for e in rounded(names)])
 
-    have = ["contract", "ts", "event_id", *BAR_COLUMNS] if minute else BOOK_COLUMNS
+    have = ["contract", "trade_day", "ts", "event_id", *factor_sql.BAR_SQL_COLUMNS, *extra] if minute else BOOK_COLUMNS
     QUERIES[name] = run
-    ORACLE[name] = f"SELECT {', '.join([*keep, *rounded(names)])} FROM ({nested(BARS_SQL if minute else TICKS_SQL, book, names, have, keys, ORDER)}) f"
+    ORACLE[name] = f"SELECT {', '.join([*keep, *rounded(names)])} FROM ({levelled(bars_sql(extra) if minute else TICKS_SQL, sql, names, have, keys)}) f"
 
 
 def tick(name: str, names: dict[str, int], keys=CONTRACT):
-    add(name, TICK, names, keys)
+    add(name, TICK, factor_sql.TICK, names, keys)
 
 
-def minute(name: str, names: dict[str, int]):
-    add(name, MINUTE, names, minute=True)
+def minute(name: str, names: dict[str, int], **more):
+    add(name, MINUTE, factor_sql.MINUTE, names, minute=True, **more)
 
 
 _many = lambda d, *names: dict.fromkeys(names, d)
@@ -51,7 +59,7 @@ tick("soir", _many(8, *[f"soir{i}" for i in range(1, 6)], "soir", "soir_weighted
 tick("effective_spread", _many(9, "effective_spread"), DAY)
 tick("market_pressure", _many(8, "market_pressure"), DAY)
 tick("volume_moments", _many(6, "vol_std_120", "vol_std_600", "vol_skew_120", "vol_skew_600"))
-tick("ret_forward_label", _many(9, "tick_ret", "ret_600", "tick100_ret"))
+tick("ret_forward_label", _many(12, "tick_ret", "ret_600", "tick100_ret"))
 tick("vol_mid_corr", _many(6, "vol_mid_corr_120", "vol_mid_corr_600"))
 tick("rp_momentum", _many(0, "rp_momentum_20", "rp_momentum_120", "rp_momentum_600"))
 tick("delta2", _many(5, "delta2_tick", "delta2_10s", "delta2_60s", "delta2_1min", "delta2_5min"))
@@ -61,9 +69,9 @@ tick("bigorder_returns", _many(8, "volweight_bigorder_ret", "mean_bigorder_ret",
 tick("bigorder_flows", _many(3, "bigorder_vol_1min", "buy_vol_1min", "sell_vol_1min", "bigbuy_vol_1min", "bigsell_vol_1min"))
 tick("vwap_roll", _many(4, "vwap", "ab_vol", "effective_depth_min"))
 tick("net_inflow_stats", _many(5, "net_inflow_min", "net_inflow_std", "net_inflow_skew"))
-tick("gate_rv", _many(6, "gate_rv", "gate_downside_ratio", "obi_cum120", "rolling_high", "rolling_low", "rolling_amp"))
-tick("gate_indicators", _many(6, "gate_spread", "gate_depth", "gate_rv_5", "gate_range", "gate_l1_imbalance", "gate_l5_imbalance", "gate_oi_change", "gate_trade_intensity", "gate_rsi", "gate_dist_avg", "gate_trend"))
-tick("delta_vol", _many(2, *[f"delta_vol_{k}" for k in (1, 2, 4, 8, 16)]), DAY)
+tick("gate_rv", _many(6, "gate_rv", "gate_downside_ratio", "obi_cum120", "rolling_high", "rolling_low", "rolling_amp", "gate_rv_log", "gate_range_log"))
+tick("gate_indicators", _many(6, "gate_spread", "gate_depth", "gate_rv_5", "gate_range", "gate_l1_imbalance", "gate_l5_imbalance", "gate_order_imbalance", "gate_oi_change", "gate_trade_intensity", "gate_rsi", "gate_dist_avg", "gate_trend", "gate_session_decay", "gate_open_impulse"))
+minute("delta_vol", _many(2, *[f"delta_vol_{k}" for k in (1, 2, 4, 8, 16)]))
 
 minute("oi_change", _many(8, "oi_change", "ret_min", "ret_5min"))
 minute("realized_vol", _many(6, "realized_vol_10", "realized_vol_30", "realized_vol_60"))
@@ -106,13 +114,19 @@ minute("turnover_minute", _many(1, "turnover_5min", "turnover_10min"))
 minute("entropy_vol", _many(6, "entropy_vol_10", "entropy_vol_30"))
 minute("adl", _many(4, "adl_10", "adl_30"))
 minute("ddi", _many(6, "ddi_10", "ddi_30"))
-minute("emv", _many(-5, "emv_10min", "emv_30min"))
-minute("inflection", _many(0, "inflection"))
+minute("emv", _many(-4, "emv_10min", "emv_30min"), table=with_mean_volume)
+minute("inflection", _many(4, "inflection_count", "inflection_oscillator"))
+minute("cumulative_amplitude", _many(6, "cum_amplitude_10m", "cum_amplitude_30m"))
+minute("weight_buysell", _many(0, "weight_buysell_10", "weight_buysell_30"))
+minute("ewm_vol", _many(6, "ewm_vol_10", "ewm_vol_30"))
+minute("weight_ret_skew", _many(4, "weight_ret_skew_10min", "weight_ret_skew_30min"))
+minute("peak_reversal", _many(6, "peak_reversal_10", "peak_reversal_30"))
+minute("superior_covariance", _many(5, "superior_cov_10", "superior_cov_30"))
 minute("cvar", _many(7, "cvar_10", "cvar_30"))
 minute("trend_fund", _many(7, "vol_threshold", "trend_10", "trend_30"))
 minute("roll_quantile", _many(4, "q80_10", "q20_10", "q80_30", "q20_30"))
-minute("context_set", _many(6, "psy_60", "ret_kurt_120", "amihud_ratio_60", "ret_5min", "ar_10", "lower_bb", "cv_30", "cvar_10"))
-minute("market_set", _many(5, "rs_vol_30", "channel_position", "ret_kurt_120", "amihud_ratio_60", "mfi_30m", "cci_30", "psy_60"))
+minute("context_set", _many(6, "psy_60", "ret_kurt_120", "amihud_ratio_60", "ret_5min", "ar_10", "lower_bb", "cv_30", "cvar_10", "bigorder_pct") | {"rp_momentum_120": 0}, extra=("bigorder_pct", "rp_momentum_120"))
+minute("market_set", _many(5, "rs_vol_30", "channel_position", "ret_kurt_120", "amihud_ratio_60", "mfi_30m", "cci_30", "psy_60") | {"rp_momentum_600": 0}, extra=("rp_momentum_600",))
 
 # frame primitives by themselves
 PRIMITIVE = {
@@ -158,24 +172,25 @@ for _name, _digits in (
     ("roll_quantile_mp", _many(5, "q05_30_10", "q95_30_10")), ("roll_corr_guarded", _many(6, "corr_20_10")), ("ffill_shift_diff", _many(6, "filled", "lag_5", "lead_3", "diff_10", "pct_5")), ("expanding", _many(5, "sum_so_far", "max_so_far")),
     ("vwma", _many(5, "vwma_10", "clipped")), ("ts_mean_std_corr", _many(5, "ts_mean", "ts_std", "ts_corr")), ("ts_rank", _many(7, "rank_30_5")),
 ):
-    add(_name, PRIMITIVE, _digits, DAY)
+    add(_name, PRIMITIVE, factor_sql.PRIMITIVE, _digits, DAY)
 
 
 def book(name: str, names: dict[str, int], keys=CONTRACT):
-    add(name, LIQUIDITY, names, keys)
+    add(name, LIQUIDITY, factor_sql.LIQUIDITY, names, keys)
 
 
 book("wbas", _many(5, "wbas", *[f"spread_l{i}" for i in range(1, 6)]), DAY)
-book("sweep_cost", _many(5, "sweep_last_a", "sweep_last_b", "sweep_penalty_a", "sweep_penalty_b", "sweep_linear_a", "sweep_linear_b"), DAY)
+book("sweep_cost", _many(5, "sweep_last_a", "sweep_last_b", "sweep_penalty_a", "sweep_penalty_b", "sweep_linear_a", "sweep_linear_b", "sweep_20_a", "sweep_20_b", "sweep_penalty_02_a", "sweep_penalty_02_b"), DAY)
 book("weighted_price_robust", _many(5, "sweep_robust_a", "sweep_robust_b"), DAY)
 book("active_flow_matrix", _many(5, *[f"{side}_{a}_{p}" for side in ("buy", "sell") for a in ("lee_ready", "bvc", "proportional") for p in ("mid", "last", "atp")]))
-book("order_flow_demand", _many(5, "flow_total", "demand_buy", "demand_sell"))
-book("volume_outliers", _many(4, *[f"av{i}_{kind}" for i in range(1, 6) for kind in ("trunc", "neighbour", "median", "zero")]))
+book("order_flow_demand", _many(5, "flow_total", "demand_buy", "demand_sell", "demand_buy_6", "demand_sell_6"))
+book("volume_outliers", _many(4, *[f"{side}v{i}_{kind}" for side in "ab" for i in range(1, 6) for kind in ("trunc", "neighbour", "median", "zero")], *[f"outlier_spread_{kind}" for kind in ("trunc", "neighbour", "median", "zero")]))
 book("dssp_depth", _many(6, "dssp_ask", "dssp_bid"))
 book("depth_change", _many(3, "depth_change_ask", "depth_change_bid", "depth_change_ask_5", "depth_change_bid_5", "aligned_change_ask", "aligned_change_bid"), DAY)
-book("resilience", _many(6, "refill_ask", "refill_bid", "resilience_ask", "resilience_bid"))
+book("resilience", _many(6, "refill_ask", "refill_bid", "resilience_ask", "resilience_bid", "refill_ask_5", "refill_bid_5", "resilience_ask_5", "resilience_bid_5"))
 book("final_spread", _many(5, "final_spread", "final_spread_adjusted", "impact_skew", "final_spread_flows", "final_spread_120", "dssp_spread", "cost_bps"))
+book("rolling_spread", _many(5, *[f"rolling_{x}{m}" for x in ("spread", "skew", "spread_mean") for m in ("", "_5", "_aligned")], "spread_mean", "deep_spread_mean"))
 book("amihud_ticks", {"amihud_240": 9})
-book("vwap_labels", _many(4, *[f"vwap_label{x}_{k}" for x in ("", "_ask", "_bid") for k in (120, 600, 1800)], "vwap_60_label"))
-for _name, _digits in (("quad_regression", _many(4, "regression_factor_10", "regression_factor_30", "regr_r2_ret_10", "regr_r2_ret_30")), ("hurst_rs", _many(5, "hurst_10", "hurst_30")), ("amplitude", _many(7, "amplitude_10", "amplitude_30")), ("struct_rev", _many(5, "struct_rev_10", "struct_rev_30"))):
-    add(_name, KERNEL, _digits, minute=True)
+book("vwap_labels", _many(4, *[f"vwap_label{x}_{k}" for x in ("", "_dir", "_ask", "_bid") for k in (120, 600, 1800)], "vwap_60_label"))
+for _name, _digits in (("quad_regression", _many(4, "regression_factor_10", "regression_factor_30", "regr_r2_ret_10", "regr_r2_ret_30")), ("hurst_rs", _many(5, "hurst_10", "hurst_30", "hurst_60")), ("amplitude", _many(7, "amplitude_10", "amplitude_30")), ("struct_rev", _many(5, "struct_rev_10", "struct_rev_30"))):
+    add(_name, KERNEL, factor_sql.KERNEL, _digits, minute=True)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import Sql
-from ..functions.factors import TICK, compute, stages
+from ..functions.factors import TICK, compute, numbered, stages
 
 LEVELS = range(1, 6)
 _BOOK = ", ".join(
@@ -17,7 +17,7 @@ _BOOK = ", ".join(
 )
 _DAY = "PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 TICKS_SQL = f"""SELECT event_type AS contract, CAST(ts AS DATE) AS trade_day, ts, event_id, CAST(last0 AS DOUBLE) AS last, {_BOOK},
-CAST(sum(1 + event_id % 50) OVER ({_DAY}) AS DOUBLE) AS volume, CAST(sum(last0 * (1 + event_id % 50)) OVER ({_DAY}) AS DOUBLE) AS turnover, CAST(1000 + event_id % 97 AS DOUBLE) AS openinterest
+CAST(sum(1 + event_id % 50) OVER ({_DAY}) AS DOUBLE) AS volume, CAST(sum(last0 * (1 + event_id % 50)) OVER ({_DAY}) AS DOUBLE) AS turnover, CAST(1000 + event_id % 97 AS DOUBLE) AS openinterest, CAST(1 + event_id % 9 AS DOUBLE) AS ordercnt_bid1, CAST(1 + event_id % 7 AS DOUBLE) AS ordercnt_ask1
 FROM (SELECT *, 10000 + CAST(round(value * 100) AS BIGINT) AS last0 FROM events)"""
 
 DAILY_SQL = "SELECT o_orderdate AS day, sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS cents, count(*) AS n FROM orders GROUP BY o_orderdate"
@@ -42,12 +42,12 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 # a bar of BAR ticks at every BAR-th tick of a contract
 BAR = 10
 BARS = {
-    "tick_no": lambda s: "row_number() OVER ({P})",
     "bar_high": lambda s: s.max("last", BAR),
     "bar_low": lambda s: s.min("last", BAR),
     "bar_open": lambda s: s.lag("last", BAR - 1),
     "bar_vol": lambda s: s.sum("delta_volume", BAR),
     "bar_turnover": lambda s: s.sum("delta_turnover", BAR),
+    "bar_vwap": lambda s: s.div(s.sum("delta_volume * last", BAR), s.sum("delta_volume", BAR)),
     "bar_depth": lambda s: s.mean("effective_depth", BAR),
     "bar_inflow": lambda s: s.sum("net_inflow", BAR),
     "bar_bigorder": lambda s: s.sum("bigorder_volume", BAR),
@@ -55,27 +55,37 @@ BARS = {
     "bar_sell": lambda s: s.sum("sell_volume", BAR),
     "bar_bigbuy": lambda s: s.sum("is_bigorder * buy_volume", BAR),
     "bar_bigsell": lambda s: s.sum("is_bigorder * sell_volume", BAR),
+    "bar_range_share": lambda s: f"CASE WHEN delta_turnover > 0 THEN {s.div('bar_high - bar_low', 'delta_turnover')} END",
+    "bar_elasticity": lambda s: s.mean("bar_range_share", BAR, 1),
 }
 BAR_COLUMNS = {
-    "price": "last", "high": "bar_high", "low": "bar_low", "open": "bar_open", "vol": "bar_vol", "dollar_volume": "bar_turnover", "openinterest": "openinterest", "depth": "bar_depth", "net_inflow": "bar_inflow",
-    "bigorder_vol": "bar_bigorder", "buy_vol": "bar_buy", "sell_vol": "bar_sell", "bigbuy_vol": "bar_bigbuy", "bigsell_vol": "bar_bigsell", "ap1": "ap1", "bp1": "bp1", "av1": "av1", "bv1": "bv1",
+    "price": "last", "high": "bar_high", "low": "bar_low", "open": "bar_open", "vol": "bar_vol", "dollar_volume": "bar_turnover", "vwap": "bar_vwap", "openinterest": "openinterest", "depth": "bar_depth", "net_inflow": "bar_inflow",
+    "bigorder_vol": "bar_bigorder", "buy_vol": "bar_buy", "sell_vol": "bar_sell", "bigbuy_vol": "bar_bigbuy", "bigsell_vol": "bar_bigsell", "elasticity": "bar_elasticity", "delta_turnover": "delta_turnover", "volume": "volume", "ap1": "ap1", "bp1": "bp1", "av1": "av1", "bv1": "bv1",
 }
 CONTRACT, ORDER = ["contract"], ["ts", "event_id"]
-BOOK_COLUMNS = ["contract", "trade_day", "ts", "event_id", "last", *[f"{c}{i}" for i in LEVELS for c in ("ap", "bp", "av", "bv")], "volume", "turnover", "openinterest"]
+BOOK_COLUMNS = ["contract", "trade_day", "ts", "event_id", "last", *[f"{c}{i}" for i in LEVELS for c in ("ap", "bp", "av", "bv")], "volume", "turnover", "openinterest", "ordercnt_bid1", "ordercnt_ask1"]
 
 
-def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The down-sampled table that minute factors stand on."""
-    wide = compute(ticks(spark, sf_dir), {**TICK, **BARS}, BARS, CONTRACT, ORDER)
-    return wide.where(f"tick_no % {BAR} = 0").select("contract", "ts", "event_id", *[F.col(v).alias(k) for k, v in BAR_COLUMNS.items()])
+def numbered_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks with ``row_at``, each one's number among those of its contract."""
+    return numbered(ticks(spark, sf_dir), CONTRACT, ["trade_day"], ORDER)
 
 
-def nested(sql: str, book: dict, names, have, keys, order, into: str = "t") -> str:
-    """SQL that adds factors to ``sql`` in the same projections as ``compute``."""
-    p = f"PARTITION BY {', '.join(keys)} ORDER BY {', '.join(order)}"
-    for stage in stages(book, names, have, Sql(duckdb=True)):
-        sql = "SELECT *, " + ", ".join(f"{t.replace('{P}', p)} AS {n}" for n, t in stage.items()) + f" FROM ({sql}) {into}"
-    return sql
+def bars(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """The down-sampled table that minute factors stand on, with tick factors as they stand at its rows."""
+    wide = compute(numbered_ticks(spark, sf_dir), {**TICK, **BARS}, [*BARS, "delta_turnover", *extra], CONTRACT, ORDER)
+    kept = wide.where(f"row_at % {BAR} = {BAR - 1}").withColumn("row_at", F.floor(F.col("row_at") / BAR))
+    return kept.select("contract", "trade_day", "ts", "event_id", "row_at", *extra, *[F.col(v).alias(k) for k, v in BAR_COLUMNS.items()])
+
 
+def with_mean_volume(bars: DataFrame) -> DataFrame:
+    """``bars`` with mean_vol, that of a contract's bars (one row a contract, which is joined)."""
+    return bars.join(bars.groupBy("contract").agg(F.avg("vol").alias("mean_vol")), "contract")
 
-BARS_SQL = f"SELECT contract, ts, event_id, {', '.join(f'{v} AS {k}' for k, v in BAR_COLUMNS.items())} FROM ({nested(TICKS_SQL, {**TICK, **BARS}, BARS, BOOK_COLUMNS, CONTRACT, ORDER)}) b WHERE tick_no % {BAR} = 0"
+
+def levelled(sql: str, book: dict[str, str], names, have, keys) -> str:
+    """SQL that adds columns of a book of texts to ``sql``, those that others need first."""
+    p = f"PARTITION BY {', '.join(keys)} ORDER BY {', '.join(ORDER)}"
+    for stage in stages({k: lambda _, v=v: v for k, v in book.items()}, names, have, Sql()):
+        sql = "SELECT *, " + ", ".join(f"{t.replace('{P}', p)} AS {n}" for n, t in stage.items()) + f" FROM ({sql}) t"
+    return sql
