@@ -2,9 +2,12 @@
 
 A store is a Parquet table of one binary grammar per shard of about ``SHARD_IDS`` ids, in ascending order
 of doc_id, written and committed by Spark like any other table.  A grammar replaces frequent pairs of
-neighbouring symbols by new symbols, most frequent ones first, again and again until no pair is frequent;
-pairs never reach over the end of a document.  Each round takes all pairs with at least an eighth of the
-highest count.  Rules are stored with the lengths of their expansions, so one document, or any range of
+neighbouring symbols by new symbols, most frequent ones first, again and again; pairs never reach over the
+end of a document.  Each round takes all pairs with at least a sixteenth of the highest count (of pairs
+that share a slot of its hash table one, another one in the next round).  Rounds end when no pair stands
+``frequent`` times, when there are ``most_rules`` rules (by default as many as keep symbols at 16 bits with
+a vocabulary of 50,000), or after one that saves less than ``least_gain`` of the ids, which costs more time
+than space: the README has the sizes.  Rules are stored with the lengths of their expansions, so one document, or any range of
 ids, is decoded without the rest.
 
 Layout of a grammar, little-endian: magic ``RPG1``, crc32 of what follows, then 64-bit integers (documents,
@@ -12,8 +15,9 @@ symbols, rules, rounds, bytes per symbol, first rule's symbol), then doc ids (8
 where null), ids per document (4), symbols per document (4), rules per round (4), left and right symbols
 of the rules, their expansion lengths (4), and the symbols.
 
-Null texts are empty documents, which hold the end id alone.  Rows that repeat a doc_id stand next to each
-other, ordered by text; null doc_ids come first.  An empty table makes an empty store.
+Null texts are empty documents, which hold the end id alone; texts of any length are taken whole.  Rows that
+repeat a doc_id stand next to each other, ordered by text (rows of one id are dealt out by the beginnings of
+their texts); null doc_ids come first.  An empty table makes an empty store.  Other columns are not stored.
 """
 
 from __future__ import annotations
@@ -38,13 +42,13 @@ MOST_RULES = 15_000
 LEAST_GAIN = 0.002
 
 
-def build_grammar(ids: np.ndarray, last: np.ndarray, first_symbol: int, frequent: int = FREQUENT, most_rules: int = MOST_RULES):
+def build_grammar(ids: np.ndarray, last: np.ndarray, first_symbol: int, frequent: int = FREQUENT, most_rules: int = MOST_RULES, least_gain: float = LEAST_GAIN):
     """Symbols, which of them end a document, rules (left, right) and rules per round."""
     s, last = ids.astype(np.uint32), last.copy()
     left, right, rounds = [], [], []
     n_rules = 0
     while len(s) > 1 and n_rules < most_rules:
-        bits = int(np.clip(len(s).bit_length() - 1, 8, 20))
+        bits = int(np.clip(len(s).bit_length() - 1, 8, 18))
         key = (s[:-1].astype(np.uint64) << np.uint64(32)) | s[1:]
         slot = ((key * np.uint64(0x9E3779B97F4A7C15 + 2 * len(rounds))) >> np.uint64(64 - bits)).astype(np.int32)
         owner = np.zeros(1 << bits, np.uint64)
@@ -54,7 +58,7 @@ def build_grammar(ids: np.ndarray, last: np.ndarray, first_symbol: int, frequent
         most = int(count.max())
         if most < frequent:
             break
-        limit = max(frequent, most // 8)
+        limit = max(frequent, most // 16)
         count[count < limit] = 0
         weight = count[slot] * mine
         # of pairs that overlap the more frequent counts; in a chain of equal ones every second
@@ -85,17 +89,17 @@ def build_grammar(ids: np.ndarray, last: np.ndarray, first_symbol: int, frequent
         keep = np.ones(len(s), bool)
         keep[at + 1] = False
         s, last = s[keep], last[keep]
-        if len(at) < LEAST_GAIN * len(ids):
+        if len(at) < least_gain * len(ids):
             break
     none = np.zeros(0, np.uint32)
     return s, last, np.concatenate([none, *left]), np.concatenate([none, *right]), np.array(rounds, np.uint32)
 
 
-def encode_shard(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, first_symbol: int) -> bytes:
+def encode_shard(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, first_symbol: int, **limits) -> bytes:
     ends = np.cumsum(lengths)
     last = np.zeros(len(ids), bool)
     last[ends[lengths > 0] - 1] = True
-    symbols, last, left, right, rounds = build_grammar(ids, last, first_symbol)
+    symbols, last, left, right, rounds = build_grammar(ids, last, first_symbol, **limits)
     per_doc = np.zeros(len(lengths), np.uint32)
     per_doc[lengths > 0] = np.diff(np.flatnonzero(last), prepend=-1)
     size = np.ones(first_symbol + len(left), np.uint32) if len(left) else np.ones(0, np.uint32)
@@ -165,11 +169,11 @@ class Shard:
         return self._expand(self.symbols[a:b])[skip : skip + n]
 
 
-def write_store(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> None:
-    """Encode all texts, each with ``end_id`` after it, and write the store's shards to ``path``."""
+def write_store(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = END_ID, shard_ids: int = SHARD_IDS, **limits) -> None:
+    """Encode all texts, each with ``end_id`` after it, and write the store's shards to ``path``; ``limits`` of ``build_grammar``."""
     tokenizer = tokenizer or default_tokenizer()
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    rows = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.repartitionByRange(partitions(docs.sparkSession), F.col("doc_id"), F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
 
     def shards(batches):
         enc = encoder(tokenizer)
@@ -179,7 +183,7 @@ def write_store(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
 
         def out():
             n = np.concatenate(lengths)
-            blob = encode_shard(doc_ids, n, np.concatenate(held), first)
+            blob = encode_shard(doc_ids, n, np.concatenate(held), first, **limits)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([before], pa.int64()), pa.array([len(n)], pa.int64()), pa.array([size], pa.int64()), pa.array([blob], pa.binary())], names=["part", "shard", "ids_before", "docs", "ids", "grammar"])
 
         for batch in batches:
