@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import written
 
+SALTS = 8
+
 
 def _state(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -16,16 +18,19 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of ``links`` (u, v); component is the smallest node that it reaches.
 
     Each round is two joins against per-node minima; a star of any size is settled by one round, and the
-    rounds grow with the logarithm of the longest path.  Only a count and a checksum come to the driver.
+    rounds grow with the logarithm of the longest path.  Neighbours of one node are dealt out by ``SALTS``
+    hashes, so a hub is not one task.  Only a count and a checksum come to the driver.
     """
+    every_salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")).alias("salt")
+    salted = lambda df: df.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
     links = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     state = _state(links)
     while state[0]:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = salted(both.where("v > u")).join(low.select("*", every_salt), ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        small = salted(large).join(down.select("*", every_salt), ["u", "salt"]).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         links = written(small.unionByName(down.withColumnRenamed("m", "v")).where("u <> v").distinct(), "links")
         before, state = state, _state(links)
         if state == before:
