@@ -114,9 +114,10 @@ _fill(
 )
 for i in LEVELS:
     TICK[f"soir{i}"] = lambda s, i=i: s.div(f"bv{i} - av{i}", f"bv{i} + av{i}")
+    # where a price is unknown, only the volume's change counts
     TICK[f"ofi{i}"] = lambda s, i=i: (
-        f"(CASE WHEN bp{i} > {s.lag(f'bp{i}')} THEN bv{i} WHEN bp{i} = {s.lag(f'bp{i}')} THEN {s.diff(f'bv{i}')} WHEN bp{i} < {s.lag(f'bp{i}')} THEN -{s.lag(f'bv{i}')} END)"
-        f" - (CASE WHEN ap{i} < {s.lag(f'ap{i}')} THEN av{i} WHEN ap{i} = {s.lag(f'ap{i}')} THEN {s.diff(f'av{i}')} WHEN ap{i} > {s.lag(f'ap{i}')} THEN -{s.lag(f'av{i}')} END)"
+        f"(CASE WHEN bp{i} > {s.lag(f'bp{i}')} THEN bv{i} WHEN bp{i} < {s.lag(f'bp{i}')} THEN -{s.lag(f'bv{i}')} ELSE {s.diff(f'bv{i}')} END)"
+        f" - (CASE WHEN ap{i} < {s.lag(f'ap{i}')} THEN av{i} WHEN ap{i} > {s.lag(f'ap{i}')} THEN -{s.lag(f'av{i}')} ELSE {s.diff(f'av{i}')} END)"
     )
 for k in (10, 60, 120, 300, 600):
     TICK[f"oi_ma_{k}"] = lambda s, k=k: s.mean("order_imbalance", k, 120 if k == 600 else None)
@@ -143,11 +144,14 @@ _fill(
     session_minutes=lambda s: "CASE WHEN clock >= 75600 THEN (clock - 75600) / 60 WHEN clock < 28800 THEN (clock + 10800) / 60 WHEN clock >= 32400 AND clock < 41400 THEN (clock - 32400) / 60 WHEN clock >= 48600 AND clock <= 54000 THEN (clock - 48600) / 60 ELSE 9999 END",
     # unknown values of a gate are 0
     gate_spread=lambda s: "CASE WHEN ap1 = 0 OR bp1 = 0 THEN 0 ELSE coalesce(ap1 - bp1, 0) END",
-    gate_depth=lambda s: "coalesce(ln(1 + bid_depth + ask_depth), 0)",
+    # levels that are not there hold nothing
+    gate_bids=lambda s: _sum("coalesce(bv{i}, 0)"),
+    gate_asks=lambda s: _sum("coalesce(av{i}, 0)"),
+    gate_depth=lambda s: "ln(1 + gate_bids + gate_asks)",
     gate_rv_5=lambda s: f"coalesce({s.std('log_ret_10', 30)}, 0)",
     gate_range=lambda s: f"coalesce({s.div(s.max('mid', 30) + ' - ' + s.min('mid', 30), 'mid')}, 0)",
     gate_l1_imbalance=lambda s: "coalesce((bv1 - av1) / (bv1 + av1 + 1e-6), 0)",
-    gate_l5_imbalance=lambda s: "coalesce((bid_depth - ask_depth) / (bid_depth + ask_depth + 1e-6), 0)",
+    gate_l5_imbalance=lambda s: "(gate_bids - gate_asks) / (gate_bids + gate_asks + 1e-6)",
     gate_order_imbalance=lambda s: "coalesce((ordercnt_bid1 - ordercnt_ask1) / (ordercnt_bid1 + ordercnt_ask1 + 1e-6), 0)",
     gate_oi_change=lambda s: f"coalesce({s.sum('oi_delta', 10)}, 0)",
     gate_trade_intensity=lambda s: f"coalesce(ln(1 + {s.sum('delta_volume', 10)}), 0)",
@@ -179,7 +183,7 @@ _fill(
     volume_cluster=lambda s: f"CASE WHEN vol > 1.5 * {s.mean('vol', 30)} THEN 1 ELSE 0 END",
     relative_spread=lambda s: s.div("ap1 - bp1", "(ap1 + bp1) / 2"),
     spread_volatility=lambda s: s.std("relative_spread", 10),
-    volume_oi_ratio=lambda s: "vol / coalesce(nullif(openinterest, 0), 0.00001)",
+    volume_oi_ratio=lambda s: "vol / (CASE WHEN openinterest = 0 THEN 0.00001 ELSE openinterest END)",
     oi_support=lambda s: f"CASE WHEN openinterest > {s.mean('openinterest', 20)} THEN 1 ELSE 0 END",
     dollar=lambda s: "nullif(price * vol, 0)",
     pvol_oi_ratio=lambda s: s.div("vwap * vol", "(CASE WHEN openinterest > 0 THEN ln(openinterest) END) * rs_vol_30 * 100"),
@@ -412,6 +416,18 @@ def in_blocks(df: DataFrame, row: str, size: int, back: int, ahead: int) -> Data
     return df.withColumn("_copy", F.explode(F.array_compact(copies))).select(*[F.col(f"`{c}`") for c in df.columns], "_copy.*")
 
 
+def over_rows(df: DataFrame, keys: list[str], order: list[str], back: int, ahead: int, fn: Callable[[DataFrame, Window], DataFrame], pieces: Iterable[str] = ("trade_day",)) -> DataFrame:
+    """``fn(rows, window)`` on each key's rows in order, of which it looks ``back`` and ``ahead`` so many rows.
+
+    In blocks, as in ``compute``, unless ``pieces`` are keys or no columns.
+    """
+    keys, order, pieces = list(keys), list(order), list(pieces)
+    if set(pieces) & set(keys) or not set(pieces) <= set(df.columns):
+        return fn(df, Window.partitionBy(*keys).orderBy(*order))
+    rows = in_blocks(numbered(df, keys, pieces, order, "_at"), "_at", max(BLOCK_ROWS, 8 * max(back, ahead)), back, ahead)
+    return fn(rows, Window.partitionBy(*keys, "_block").orderBy("_at")).where("_own").drop("_own", "_block", "_at")
+
+
 def compute(df: DataFrame, book: dict, names: Iterable[str], keys: Iterable[str], order: Iterable[str], pieces: Iterable[str] = ("trade_day",), row: str = "row_at") -> DataFrame:
     """``df`` with the factors ``names`` (and what they need) over windows by ``keys`` in ``order``.
 
@@ -435,4 +451,4 @@ def compute(df: DataFrame, book: dict, names: Iterable[str], keys: Iterable[str]
     return (df.where("_own") if blocked else df).select(*[F.col(f"`{c}`") for c in columns])
 
 
-__all__ = ["MINUTE", "SO_FAR", "TICK", "compute", "stages", "ts_corr", "ts_mean", "ts_std"]
+__all__ = ["MINUTE", "SO_FAR", "TICK", "compute", "numbered", "over_rows", "stages", "ts_corr", "ts_mean", "ts_std"]

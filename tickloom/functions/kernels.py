@@ -52,7 +52,7 @@ for k in (10, 30):
         # log returns of heavy rows, weighted by volume, less those of light rows, weighted by its inverse
         f"pairs_{k}": lambda s, k=k: s.array_of("ret_min IS NOT NULL AND vol IS NOT NULL", k, v="vol", r="ln(greatest(ret_min, 1e-9D))"),
         f"vol_cut_{k}": lambda s, k=k: s.quantile("CASE WHEN ret_min IS NOT NULL THEN vol END", 0.8, k, 5),
-        f"struct_rev_{k}": lambda s, k=k: f"(CASE WHEN row_number() OVER ({{P}}) >= {k} AND {s.size(f'pairs_{k}')} >= 5 THEN {_weighted_mean(s, f'pairs_{k}', f'x.v > vol_cut_{k}', 'x.v')} - {_weighted_mean(s, f'pairs_{k}', f'x.v <= vol_cut_{k}', '1 / x.v')} END)",
+        f"struct_rev_{k}": lambda s, k=k: f"(CASE WHEN row_number() OVER ({{P}}) >= {k} AND {s.size(f'pairs_{k}')} >= 5 THEN {_weighted_mean(s, f'pairs_{k}', f'x.v > vol_cut_{k}', 'x.v')} - {_weighted_mean(s, f'pairs_{k}', f'x.v <= vol_cut_{k}', 'try_divide(1, x.v)')} END)",
     }
 
 
@@ -63,4 +63,5 @@ def _mean_where(s: Sql, a: str, cond: str, value: str) -> str:
 
 def _weighted_mean(s: Sql, a: str, cond: str, weight: str) -> str:
     some = s.only(a, cond)
-    return f"coalesce({s.fold(s.each(some, f'({weight}) * x.r'))} / nullif({s.fold(s.each(some, weight))}, 0), 0)"
+    mean = f"{s.fold(s.each(some, f'({weight}) * x.r'))} / nullif({s.fold(s.each(some, weight))}, 0)"
+    return f"(CASE WHEN exists({some}, x -> x.v = 0) THEN NULL ELSE coalesce({mean}, 0) END)"

@@ -61,14 +61,16 @@ def buy_share(s: Sql, price: str, algorithm: str, window: int = 60) -> str:
 def depth_change(s: Sql, side: str, levels=(1,)) -> str:
     """Change of the levels' depth by the best price: same, the difference; worse, all gone; better, all new. 0 on the first row."""
     better, worse = ("<", ">") if side == "a" else (">", "<")
-    p, now = f"{side}p1", "(" + " + ".join(f"{side}v{i}" for i in levels) + ")"
-    before = "(" + " + ".join(s.lag(f"{side}v{i}") for i in levels) + ")"
+    # of several levels, one that is not there holds nothing
+    held = lambda v: v if len(levels) == 1 else f"coalesce({v}, 0)"
+    p, now = f"{side}p1", "(" + " + ".join(held(f"{side}v{i}") for i in levels) + ")"
+    before = "(" + " + ".join(held(s.lag(f"{side}v{i}")) for i in levels) + ")"
     return f"(CASE WHEN {p} = {s.lag(p)} THEN {now} - {before} WHEN {p} {worse} {s.lag(p)} THEN -{before} WHEN {p} {better} {s.lag(p)} THEN {now} ELSE 0 END)"
 
 
 def aligned_depth_change(s: Sql, side: str, tick: float = 1.0, jump: int = 5) -> str:
     """Change of five-level depth, begun anew where the best price jumps ``jump`` ticks or more."""
-    now = "(" + " + ".join(f"{side}v{i}" for i in LEVELS) + ")"
+    now = "(" + " + ".join(f"coalesce({side}v{i}, 0)" for i in LEVELS) + ")"
     before = "(" + " + ".join(f"coalesce({s.lag(f'{side}v{i}')}, 0)" for i in LEVELS) + ")"
     k = f"coalesce(round({s.diff(f'{side}p1')} / {tick}), 0)"
     gone, fresh = (">=", "<=") if side == "a" else ("<=", ">=")
@@ -89,7 +91,7 @@ def outlier(side: str, i: int, kind: str, flow: str = "coalesce(flow_total, 0)",
 
 def effective_depth(side: str, decay: float = 0.1, cut: float = 0.2, huge: float = 500, large: float = 100) -> str:
     """Depth that counts: each level by exp(-decay * (level - 1)), less ``cut`` where it is huge, or large and twice the flow."""
-    return "(" + " + ".join(f"{side}v{i} * exp(-{decay} * {i - 1}) * (CASE WHEN {side}v{i} >= {huge} OR ({side}v{i} >= {large} AND {side}v{i} > 2 * coalesce(flow_total, 0)) THEN {1 - cut} ELSE 1 END)" for i in LEVELS) + ")"
+    return "(" + " + ".join(f"coalesce({side}v{i}, 0) * exp(-{decay} * {i - 1}) * (CASE WHEN {side}v{i} >= {huge} OR ({side}v{i} >= {large} AND {side}v{i} > 2 * coalesce(flow_total, 0)) THEN {1 - cut} ELSE 1 END)" for i in LEVELS) + ")"
 
 
 def _wbas(s: Sql) -> str:

@@ -5,24 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.factors import over_rows
+
 
 def held_positions(df: DataFrame, keys: list[str], day: str, order: list[str], signal: str = "signal", hold: int = 5, carry_state: bool = True) -> DataFrame:
-    """``df`` with position: the last signal (1 long, 2 short) for ``hold`` rows, flat on a day's last row."""
-    groups = keys if carry_state else [*keys, day]
-    w = Window.partitionBy(*groups).orderBy(day, *order)
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    fired = F.when(F.coalesce(F.col(signal), F.lit(0)) != 0, F.struct(F.row_number().over(w).alias("r"), F.col(signal).alias("s")))
-    rows = df.withColumn("_r", F.row_number().over(w)).withColumn("_fired", fired)
-    rows = rows.withColumn("_last", F.last("_fired", ignorenulls=True).over(so_far))
-    last_row = F.row_number().over(Window.partitionBy(*keys, day).orderBy(*[F.desc(c) for c in order])) == 1
-    side = F.when(F.col("_last.s") == 1, 1).when(F.col("_last.s") == 2, -1).otherwise(0)
-    on = F.col("_last").isNotNull() & (F.col("_r") - F.col("_last.r") < hold)
-    return rows.withColumn("position", F.when(last_row | ~on, 0).otherwise(side)).drop("_r", "_fired", "_last")
+    """``df`` with position: the last signal (1 long, 2 short) for ``hold`` rows, flat on a day's last row.
+
+    With ``carry_state`` a signal holds on over the end of its day.
+    """
+    fired = F.when(F.coalesce(F.col(signal), F.lit(0)) != 0, F.col(signal))
+    ends = F.lead(F.lit(True)).over(Window.partitionBy(*keys, day).orderBy(*order)).isNull()
+    rows = df.withColumns({"_ends": ends, "_fired": fired})
+
+    def held(rows: DataFrame, w) -> DataFrame:
+        return rows.withColumn("_last", F.last("_fired", ignorenulls=True).over(w.rowsBetween(-(hold - 1), 0)))
+
+    rows = over_rows(rows, keys if carry_state else [*keys, day], order, hold, 0, held, [day])
+    side = F.when(F.col("_last") == 1, 1).when(F.col("_last") == 2, -1).otherwise(0)
+    return rows.withColumn("position", F.when(F.col("_ends"), 0).otherwise(side)).drop("_ends", "_fired", "_last")
 
 
 def tick_pnl(df: DataFrame, keys: list[str], order: list[str], tick: float = 0.02, cost_ticks: float = 1.0, aggressive: bool = False) -> DataFrame:
     """``df`` with opened, closed and pnl (in ticks, booked where a position ends).
 
+    Keys are those whose rows begin and end flat: a contract and day.
     Passive by default: longs enter at the bid and leave at the ask; ``aggressive`` the other way round.
     """
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.factors import numbered, over_rows
+
 
 def triple_barrier(price: str, keys: list[str], order: list[str], rows: int = 10, up: float = 0.002, down: float = 0.002) -> Column:
     """1 if the upper barrier is touched first within ``rows`` rows, -1 for the lower, else 0; on one row the upper counts."""
@@ -18,13 +21,16 @@ def triple_barrier(price: str, keys: list[str], order: list[str], rows: int = 10
 
 def dynamic_label(df: DataFrame, price: str, keys: list[str], order: list[str], ahead: int = 10, window: int = 240, least: int = 10) -> DataFrame:
     """``df`` with forward return and label: 1 or -1 beyond the last row's rolling 95 % or 5 % quantile of known returns."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    frame = w.rowsBetween(-(window - 1), 0)
-    rows = df.withColumn("forward", F.try_divide(F.lead(price, ahead).over(w), F.col(price)) - 1).withColumn("_known", F.lag("forward", ahead).over(w))
-    cut = lambda q: F.when(F.count("_known").over(frame) >= least, F.expr(f"percentile(_known, {q}D)").over(frame))
-    rows = rows.withColumn("_hi", cut(0.95)).withColumn("_lo", cut(0.05))
-    rows = rows.withColumn("_hi", F.lag("_hi").over(w)).withColumn("_lo", F.lag("_lo").over(w))
-    return rows.withColumn("label", F.when(F.col("forward") > F.col("_hi"), 1).when(F.col("forward") < F.col("_lo"), -1).otherwise(0)).drop("_known", "_hi", "_lo")
+
+    def labelled(df: DataFrame, w) -> DataFrame:
+        frame = w.rowsBetween(-(window - 1), 0)
+        rows = df.withColumn("forward", F.try_divide(F.lead(price, ahead).over(w), F.col(price)) - 1).withColumn("_known", F.lag("forward", ahead).over(w))
+        cut = lambda q: F.when(F.count("_known").over(frame) >= least, F.expr(f"percentile(_known, {q}D)").over(frame))
+        rows = rows.withColumn("_hi", cut(0.95)).withColumn("_lo", cut(0.05))
+        rows = rows.withColumn("_hi", F.lag("_hi").over(w)).withColumn("_lo", F.lag("_lo").over(w))
+        return rows.withColumn("label", F.when(F.col("forward") > F.col("_hi"), 1).when(F.col("forward") < F.col("_lo"), -1).otherwise(0)).drop("_known", "_hi", "_lo")
+
+    return over_rows(df, keys, order, window + ahead + 1, ahead, labelled)
 
 
 def day_regimes(days: DataFrame, day: str, ret: str, volume: str, window: int = 5, q: float = 0.7) -> DataFrame:
@@ -68,16 +74,23 @@ def context_map(x: Column, most: float = 3.0) -> Column:
     return 1 / (1 + F.exp(-v))
 
 
-def sampled(df: DataFrame, keys: list[str], order: list[str], stride: int = 60, offset: int = 59) -> DataFrame:
+def sampled(df: DataFrame, keys: list[str], order: list[str], stride: int = 60, offset: int = 59, pieces: tuple[str, ...] = ("trade_day",)) -> DataFrame:
     """Every ``stride``-th row of each key from row ``offset`` (counted from 0) on, by place and not by time."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w) - 1).where((F.col("_n") >= offset) & ((F.col("_n") - offset) % stride == 0)).drop("_n")
+    if set(pieces) & set(keys) or not set(pieces) <= set(df.columns):
+        rows = df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+    else:
+        rows = numbered(df, list(keys), list(pieces), list(order), "_n")
+    return rows.where((F.col("_n") >= offset) & ((F.col("_n") - offset) % stride == 0)).drop("_n")
 
 
 def rolling_means(df: DataFrame, columns: list[str], keys: list[str], order: list[str], window: int = 120) -> DataFrame:
-    """``df`` with each column's mean over full frames, all in one window."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(window - 1), 0)
-    return df.withColumns({f"{c}_mean{window}": F.when(F.count(c).over(w) >= window, F.avg(c).over(w)) for c in columns})
+    """``df`` with each column's mean over the last ``window`` rows, NULL before."""
+
+    def means(rows: DataFrame, w) -> DataFrame:
+        frame = w.rowsBetween(-(window - 1), 0)
+        return rows.withColumns({f"{c}_mean{window}": F.when(F.count(c).over(frame) >= window, F.avg(c).over(frame)) for c in columns})
+
+    return over_rows(df, keys, order, window, 0, means)
 
 
 def windows_as_arrays(df: DataFrame, columns: list[str], keys: list[str], order: list[str], length: int, dilation: int = 1, pad: bool = True) -> DataFrame:
@@ -95,12 +108,29 @@ def windows_as_arrays(df: DataFrame, columns: list[str], keys: list[str], order:
     return rows.withColumn("sequence", F.filter(full, lambda _, i: i % dilation == 0)).drop("_w")
 
 
-def mixup(df: DataFrame, columns: list[str], keys: list[str], seed: int = 0) -> DataFrame:
-    """``df`` and as many convex pairs of neighbours in a random order of each key; the share is uniform (Beta(1, 1))."""
-    w = Window.partitionBy(*keys).orderBy(F.rand(seed))
-    share = F.rand(seed + 1)
-    rows = df.withColumn("_share", share)
-    rows = rows.withColumns({f"_n_{c}": F.coalesce(F.lead(c).over(w), F.col(c)) for c in columns})
+def beta_quantiles(shape: float, n: int = 1000) -> list[float]:
+    """Quantiles 0, 1/n, ... 1 of Beta(shape, shape), by its density over equal steps of the angle."""
+    angle = (np.arange(200_000) + 0.5) / 200_000 * np.pi / 2
+    x = np.sin(angle) ** 2
+    mass = np.cumsum((np.sin(angle) * np.cos(angle)) ** (2 * shape - 1))
+    return [0.0, *np.interp(np.arange(1, n) / n, mass / mass[-1], x).tolist(), 1.0]
+
+
+def mixup(df: DataFrame, columns: list[str], keys: list[str], ids: list[str] | None = None, shape: float = 1.0, seed: int = 0, part_rows: int = 100_000) -> DataFrame:
+    """``df`` and as many convex pairs of neighbours in a random order of each key; the share is Beta(shape, shape).
+
+    Order and shares come from hashes of ``ids`` (all columns by default), so a repeated run gives the same pairs; a key's rows are dealt
+    out to parts of about ``part_rows``, and pairs are made inside of a part.
+    """
+    ids = ids or df.columns
+    parts = max(1, -(-df.count() // part_rows))
+    place = F.xxhash64(*ids, F.lit(seed))
+    w = Window.partitionBy(*keys, F.pmod(F.xxhash64(*ids, F.lit(seed + 1)), F.lit(parts))).orderBy(place, *ids)
+    at = F.pmod(F.xxhash64(*ids, F.lit(seed + 2)), F.lit(1 << 50)) / float(1 << 50) * 1000
+    table = F.array(*[F.lit(v) for v in beta_quantiles(shape)])
+    low = F.floor(at).cast("int")
+    share = F.get(table, low) + (F.get(table, low + 1) - F.get(table, low)) * (at - low)
+    rows = df.withColumn("_share", share).withColumns({f"_n_{c}": F.coalesce(F.lead(c).over(w), F.col(c)) for c in columns})
     mixed = rows.select(*[(F.col("_share") * F.col(c) + (1 - F.col("_share")) * F.col(f"_n_{c}")).alias(c) if c in columns else F.col(c) for c in df.columns])
     return df.withColumn("mixed", F.lit(False)).unionByName(mixed.withColumn("mixed", F.lit(True)))
 

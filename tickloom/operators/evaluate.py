@@ -33,22 +33,57 @@ def daily_ic(df: DataFrame, day: str, factor: str, label: str) -> DataFrame:
     return days.agg(F.avg("ic").alias("mean_ic"), F.try_divide(F.avg("ic"), F.stddev_samp("ic")).alias("icir"), F.count("ic").alias("days"))
 
 
-def average_rank(column: str, keys: list[str]) -> Column:
-    """Ranks from 1, ties by their mean."""
-    w = Window.partitionBy(*keys)
-    return F.rank().over(w.orderBy(column)) + (F.count("*").over(Window.partitionBy(*keys, column)) - 1) / 2
+def exact_quantiles(df: DataFrame, column: str, qs: list[float], accuracy: int = 10_000) -> DataFrame:
+    """One row (q0, q1, ...): quantiles by linear interpolation, NULL without values.
+
+    A sketch gives a short stretch of values that holds each; only the values inside (about 4 / ``accuracy`` of
+    the rows) are counted and put in order.  The sketch's bounds and the counts below them, one row, come to
+    the driver.
+    """
+    x = F.col("_x")
+    rows = df.select(F.col(column).cast("double").alias("_x")).where(x.isNotNull())
+    n = rows.count()
+    if not n:
+        return rows.agg(*[F.max("_x").alias(f"q{i}") for i in range(len(qs))])
+    slack = 2 / accuracy + 1 / n
+    bounds = rows.agg(F.percentile_approx("_x", [p for q in qs for p in (max(q - slack, 0.0), min(q + slack, 1.0))], accuracy).alias("p")).first().p
+    pairs = list(zip(bounds[::2], bounds[1::2], strict=True))
+    below = rows.agg(*[F.count_if(x < lo).alias(f"b{i}") for i, (lo, _) in enumerate(pairs)]).first()
+    near = rows.select("_x", F.explode(F.array_compact(F.array(*[F.when(x.between(lo, hi), i) for i, (lo, hi) in enumerate(pairs)]))).alias("_i"))
+    counts = near.groupBy("_i", "_x").agg(F.count("*").alias("_n")).withColumn("_upto", F.sum("_n").over(Window.partitionBy("_i").orderBy("_x")))
+    at = lambda i, rank: F.min(F.when((F.col("_i") == i) & (F.col("_upto") > rank - below[i]), x))
+    out = []
+    for i, q in enumerate(qs):
+        rank = q * (n - 1)
+        low, high = at(i, int(rank)), at(i, min(int(rank) + 1, n - 1))
+        out.append((low + (high - low) * (rank - int(rank))).alias(f"q{i}"))
+    return counts.agg(*out)
+
+
+def value_ranks(df: DataFrame, keys: list[str], column: str, parts: int = 64) -> DataFrame:
+    """(keys, column, rank): the mean rank, from 1, of the rows of each value.
+
+    Values go to ``parts`` stretches of a key, cut by a sketch; ranks add up from the stretches' counts.
+    """
+    counts = df.groupBy(*keys, column).agg(F.count("*").alias("_n"))
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx(column, [i / parts for i in range(1, parts)], 100 * parts).alias("_cuts"))
+    placed = counts.join(cuts, keys).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(column)))).drop("_cuts")
+    sizes = placed.groupBy(*keys, "_part").agg(F.sum("_n").alias("_size"))
+    before = sizes.select(*keys, "_part", (F.sum("_size").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_size")).alias("_before"))
+    upto = F.col("_before") + F.sum("_n").over(Window.partitionBy(*keys, "_part").orderBy(column))
+    return placed.join(before, [*keys, "_part"]).select(*keys, column, (upto - (F.col("_n") - 1) / 2).alias("rank"))
 
 
 def rank_ic(df: DataFrame, keys: list[str], factor: str, label: str) -> DataFrame:
     """Spearman's correlation of each key's rows that hold both."""
-    full = df.where(F.col(factor).isNotNull() & F.col(label).isNotNull())
-    ranked = full.select(*keys, average_rank(factor, keys).alias("_f"), average_rank(label, keys).alias("_l"))
+    full = df.where(F.col(factor).isNotNull() & F.col(label).isNotNull()).select(*keys, F.col(factor).alias("_a"), F.col(label).alias("_b"))
+    ranked = full.join(value_ranks(full, keys, "_a").withColumnRenamed("rank", "_f"), [*keys, "_a"]).join(value_ranks(full, keys, "_b").withColumnRenamed("rank", "_l"), [*keys, "_b"])
     return ranked.groupBy(*keys).agg(guarded_corr("_f", "_l").alias("rank_ic"))
 
 
 def tail_means(df: DataFrame, factor: str, label: str, q: float = 0.05) -> DataFrame:
     """Mean label beyond the upper and lower quantile of the factor, and their difference."""
-    cuts = df.agg(F.percentile(factor, 1 - q).alias("_hi"), F.percentile(factor, q).alias("_lo"))
+    cuts = exact_quantiles(df, factor, [1 - q, q]).toDF("_hi", "_lo")
     out = df.crossJoin(F.broadcast(cuts)).agg(F.avg(F.when(F.col(factor) > F.col("_hi"), F.col(label))).alias("top"), F.avg(F.when(F.col(factor) < F.col("_lo"), F.col(label))).alias("bottom"))  # one row
     return out.withColumn("long_short", F.col("top") - F.col("bottom"))
 
@@ -62,7 +97,8 @@ def bucket_of(value: Column, edges: Column) -> Column:
 def quantile_buckets(df: DataFrame, factor: str, label: str, n: int = 10) -> DataFrame:
     """(bucket, n, mean_label) by quantile edges of the factor; equal edges are merged."""
     rows = df.where(F.col(factor).isNotNull() & F.col(label).isNotNull())
-    edges = rows.agg(F.array_distinct(F.percentile(factor, F.array(*[F.lit(i / n) for i in range(n + 1)]))).alias("_edges"))
+    edges = exact_quantiles(rows, factor, [i / n for i in range(n + 1)])
+    edges = edges.select(F.array_distinct(F.array(*edges.columns)).alias("_edges"))
     placed = rows.crossJoin(F.broadcast(edges)).select(bucket_of(F.col(factor), F.col("_edges")).alias("bucket"), label)  # one row
     return placed.groupBy("bucket").agg(F.count("*").alias("n"), F.avg(label).alias("mean_label"))
 
@@ -115,7 +151,7 @@ def action(theo: Column, ask: Column, bid: Column, threshold: Column) -> Column:
 
 def horizon_pnl(df: DataFrame, prediction: str, horizons: list[str], q: float = 0.9) -> DataFrame:
     """(horizon, trades, pnl) of predictions over their quantile: BP buys at the ask, AP sells at the bid."""
-    cut = df.agg(F.percentile(prediction, q).alias("_cut"))
+    cut = exact_quantiles(df, prediction, [q]).toDF("_cut")
     rows = df.crossJoin(F.broadcast(cut)).where(F.col(prediction) > F.col("_cut"))  # one row
     stacked = rows.select("site", "ap1", "bp1", F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(h).alias("future")) for h in horizons])).alias("x")).select("site", "ap1", "bp1", "x.*")
     pnl = F.when(F.col("site") == "BP", F.col("future") - F.col("ap1")).otherwise(F.col("bp1") - F.col("future"))
@@ -180,3 +216,10 @@ def ks_distance(df: DataFrame, value: str, log: bool = False) -> DataFrame:
     cdf = F.expr(normal_cdf("_z"))
     gap = F.greatest(F.abs(F.col("_upto") / F.col("n") - cdf), F.abs((F.col("_upto") - F.col("_n")) / F.col("n") - cdf))
     return cum.agg(F.max("n").alias("n"), F.max("mean").alias("mean"), F.max("std").alias("std"), F.max(gap).alias("distance"))
+
+
+def described(df: DataFrame, column: str) -> DataFrame:
+    """One row (n, mean, std, low, q1, q2, q3, high)."""
+    x = F.col(column)
+    moments = df.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("low"), F.max(x).alias("high"))
+    return moments.crossJoin(exact_quantiles(df, column, [0.25, 0.5, 0.75]).toDF("q1", "q2", "q3"))  # one row each

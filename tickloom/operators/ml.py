@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import numpy as np
@@ -24,6 +25,15 @@ def ridge(df: DataFrame, features: list[str], label: str, alpha: float = 1.0) ->
     return {"features": features, "weights": weights.tolist(), "intercept": float(mean[-1] - mean[:-1] @ weights)}
 
 
+def save_model(spark, model: dict, path: str) -> None:
+    """A model of numbers and names as one line of JSON."""
+    spark.createDataFrame([(json.dumps(model),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def load_model(spark, path: str) -> dict:
+    return json.loads(spark.read.text(path).first().value)
+
+
 def apply_linear(df: DataFrame, model: dict, name: str = "prediction") -> DataFrame:
     out = F.lit(model["intercept"])
     for f, w in zip(model["features"], model["weights"], strict=True):

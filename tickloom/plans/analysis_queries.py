@@ -230,12 +230,13 @@ def dq_threshold_sweep(spark, sf_dir):
     return evaluate.threshold_sweep(t, "p", "y", 0.05, _GRID).select("threshold", "signals", F.round("dq", 4).alias("dq"), F.round("dqr", 6).alias("dqr"))
 
 
-_SITES = f"SELECT *, CASE WHEN event_id % 2 = 0 THEN 'AP' ELSE 'BP' END AS site, last AS ref_price, ((event_id * 7919) % 21 - 10) / 2.0::DOUBLE AS prediction, lead(last, 3) OVER (PARTITION BY contract, trade_day ORDER BY ts, event_id) AS future, lead(last, 6) OVER (PARTITION BY contract, trade_day ORDER BY ts, event_id) AS future6 FROM ({TICKS_SQL})"
+HORIZONS = (1, 3, 5, 10, 15, 30, 60)
+_SITES = f"SELECT *, CASE WHEN event_id % 2 = 0 THEN 'AP' ELSE 'BP' END AS site, last AS ref_price, ((event_id * 7919) % 21 - 10) / 2.0::DOUBLE AS prediction, lead(last, 3) OVER (PARTITION BY contract, trade_day ORDER BY ts, event_id) AS future, {', '.join(f'lead(last, {k}) OVER (PARTITION BY contract, trade_day ORDER BY ts, event_id) AS future_{k}' for k in HORIZONS)} FROM ({TICKS_SQL})"
 
 
 def sites(spark, sf_dir):
     ahead = lambda k: F.expr(f"lead(last, {k}) OVER (PARTITION BY contract, trade_day ORDER BY ts, event_id)")
-    return ticks(spark, sf_dir).withColumns({"site": F.expr("CASE WHEN event_id % 2 = 0 THEN 'AP' ELSE 'BP' END"), "ref_price": F.col("last"), "prediction": F.expr("((event_id * 7919) % 21 - 10) / 2.0D"), "future": ahead(3), "future6": ahead(6)})
+    return ticks(spark, sf_dir).withColumns({"site": F.expr("CASE WHEN event_id % 2 = 0 THEN 'AP' ELSE 'BP' END"), "ref_price": F.col("last"), "prediction": F.expr("((event_id * 7919) % 21 - 10) / 2.0D"), "future": ahead(3), **{f"future_{k}": ahead(k) for k in HORIZONS}})
 
 
 @query(
@@ -249,11 +250,11 @@ def theo_price_sweep(spark, sf_dir):
 
 @query(
     "multi_horizon_pnl",
-    f"""WITH s AS ({_SITES}), c AS (SELECT quantile_cont(prediction, 0.9) AS cut FROM s), x AS (SELECT site, ap1, bp1, future, future6 FROM s, c WHERE prediction > cut)
-SELECT horizon, count(f) AS trades, round(sum(CASE WHEN site = 'BP' THEN f - ap1 ELSE bp1 - f END), 4) AS pnl FROM (SELECT site, ap1, bp1, 'future' AS horizon, future AS f FROM x UNION ALL SELECT site, ap1, bp1, 'future6', future6 FROM x) GROUP BY horizon""",
+    f"""WITH s AS ({_SITES}), c AS (SELECT quantile_cont(prediction, 0.9) AS cut FROM s), x AS (SELECT s.* FROM s, c WHERE prediction > cut)
+SELECT horizon, count(f) AS trades, round(sum(CASE WHEN site = 'BP' THEN f - ap1 ELSE bp1 - f END), 4) AS pnl FROM ({" UNION ALL ".join(f"SELECT site, ap1, bp1, 'future_{k}' AS horizon, future_{k} AS f FROM x" for k in HORIZONS)}) GROUP BY horizon""",
 )
 def multi_horizon_pnl(spark, sf_dir):
-    return evaluate.horizon_pnl(sites(spark, sf_dir), "prediction", ["future", "future6"]).select("horizon", "trades", F.round("pnl", 4).alias("pnl"))
+    return evaluate.horizon_pnl(sites(spark, sf_dir), "prediction", [f"future_{k}" for k in HORIZONS]).select("horizon", "trades", F.round("pnl", 4).alias("pnl"))
 
 
 @query("regression_errors", f"WITH m AS (SELECT label AS y, l_quantity * 1.5 AS p FROM ({MATRIX})), s AS (SELECT avg((y - p) * (y - p)) AS mse, var_pop(y) AS vy, var_pop(p) AS vp, covar_pop(y, p) AS c, avg(y) AS my, avg(p) AS mp FROM m) SELECT round(mse, 4) AS mse, round(1 - mse / vy, 6) AS r2, round(2 * c / (vy + vp + (my - mp) * (my - mp)), 6) AS ccc, round(c / sqrt(vy * vp), 6) AS pearson FROM s")
@@ -275,8 +276,8 @@ def group_stats(spark, sf_dir):
 
 @query("describe", f"SELECT count(label) AS n, round(avg(label), 6) AS mean, round(stddev_samp(label), 6) AS std, round(min(label), 6) AS low, round(quantile_cont(label, 0.25), 6) AS q1, round(median(label), 6) AS q2, round(quantile_cont(label, 0.75), 6) AS q3, round(max(label), 6) AS high FROM ({MATRIX})")
 def describe(spark, sf_dir):
-    x = F.col("label")
-    return matrix(spark, sf_dir).agg(F.count(x).alias("n"), *[F.round(e, 6).alias(n) for n, e in (("mean", F.avg(x)), ("std", F.stddev_samp(x)), ("low", F.min(x)), ("q1", F.percentile(x, 0.25)), ("q2", F.median(x)), ("q3", F.percentile(x, 0.75)), ("high", F.max(x)))])
+    d = evaluate.described(matrix(spark, sf_dir), "label")
+    return d.select("n", *[F.round(c, 6).alias(c) for c in d.columns if c != "n"])
 
 
 _ENTROPY = "round(CASE WHEN min(t) > 0 THEN sum(CASE WHEN p > 0 THEN -p * ln(p) END) END, 6) AS vol_entropy"
@@ -314,7 +315,15 @@ def tick_hcp_lcp(spark, sf_dir):
     return rows.groupBy("contract", "checkpoint").agg(mean(dear).alias("tick_hcp"), mean(cheap).alias("tick_lcp"))
 
 
-@query("ks_normal")
+def _ks_sql(x: str, where: str) -> str:
+    """Distribution against the fitted normal, by value counts; the normal by the formula that the plan has."""
+    t = "(1 / (1 + 0.3275911 * abs(z) / sqrt(2)))"
+    tail = f"0.5 * exp(-z * z / 2) * (0.254829592 * {t} - 0.284496736 * {t} ** 2 + 1.421413741 * {t} ** 3 - 1.453152027 * {t} ** 4 + 1.061405429 * {t} ** 5)"
+    return f"""SELECT any_value(n) AS n, round(any_value(m), 6) AS mean, round(any_value(s), 6) AS std, round(max(greatest(abs(upto / n - p), abs((upto - c) / n - p))), 5) AS distance FROM (SELECT *, if(z < 0, {tail}, 1 - {tail}) AS p FROM (SELECT c, sum(c) OVER (ORDER BY x) AS upto, n, m, s, (x - m) / s AS z
+FROM (SELECT {x} AS x, count(*) AS c FROM ({MATRIX}) WHERE {where} GROUP BY 1), (SELECT count(*) AS n, avg({x}) AS m, stddev_pop({x}) AS s FROM ({MATRIX}) WHERE {where})))"""
+
+
+@query("ks_normal", f"SELECT CAST(n AS BIGINT) AS n, mean, std, distance FROM ({_ks_sql('label', 'label IS NOT NULL')} UNION ALL {_ks_sql('ln(label)', 'label > 0')})")
 def ks_normal(spark, sf_dir):
     return evaluate.ks_distance(matrix(spark, sf_dir), "label").unionByName(evaluate.ks_distance(matrix(spark, sf_dir), "label", log=True)).select("n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), F.round("distance", 5).alias("distance"))
 
@@ -397,7 +406,7 @@ def sequence_windows(spark, sf_dir):
 
 @query("mixup")
 def mixup(spark, sf_dir):
-    return dataset.mixup(matrix(spark, sf_dir), ["l_quantity", "label"], ["l_returnflag"]).select("l_orderkey", "l_linenumber", "l_quantity", "label", "mixed")
+    return dataset.mixup(matrix(spark, sf_dir), ["l_quantity", "label"], ["l_returnflag"], ["l_orderkey", "l_linenumber"], shape=0.4).select("l_orderkey", "l_linenumber", "l_quantity", "label", "mixed")
 
 
 # --- positions and backtests -----------------------------------------------------------------------------------------------------
@@ -423,12 +432,13 @@ def position_hold(spark, sf_dir):
     "position_pnl",
     f"""{_POSITION}, x AS (SELECT t.contract, t.n, t.ap1, t.bp1, m.position AS p, coalesce(lag(m.position) OVER (PARTITION BY t.contract ORDER BY t.n), 0) AS b FROM t JOIN m ON t.contract = m.contract AND t.n = m.n),
 e AS (SELECT *, last_value(CASE WHEN p <> b AND p > 0 THEN bp1 WHEN p <> b AND p < 0 THEN ap1 END IGNORE NULLS) OVER (PARTITION BY contract ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS entry FROM x), f AS (SELECT *, lag(entry) OVER (PARTITION BY contract ORDER BY n) AS held FROM e)
-SELECT contract, CAST(sum(CASE WHEN p <> b AND p <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS opened, CAST(sum(CASE WHEN p <> b AND b <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS closed, round(sum(CASE WHEN p <> b AND b > 0 THEN (ap1 - held) / 0.02 WHEN p <> b AND b < 0 THEN (held - bp1) / 0.02 ELSE 0 END - CASE WHEN p <> b AND p <> 0 THEN 1 ELSE 0 END), 3) AS pnl FROM f GROUP BY contract""",
+SELECT contract, CAST(sum(CASE WHEN p <> b AND p <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS opened, CAST(sum(CASE WHEN p <> b AND b <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS closed, count(*) FILTER (WHERE p <> b AND ((b > 0 AND ap1 > held) OR (b < 0 AND held > bp1))) AS wins, round(sum(CASE WHEN p <> b AND b > 0 THEN (ap1 - held) / 0.02 WHEN p <> b AND b < 0 THEN (held - bp1) / 0.02 ELSE 0 END - CASE WHEN p <> b AND p <> 0 THEN 1 ELSE 0 END), 3) AS pnl FROM f GROUP BY contract""",
 )
 def position_pnl(spark, sf_dir):
     held = backtest.held_positions(signalled(spark, sf_dir), ["contract"], "trade_day", ORDER)
-    pnl = backtest.tick_pnl(held, ["contract"], ["trade_day", *ORDER])
-    return pnl.groupBy("contract").agg(F.sum("opened").alias("opened"), F.sum("closed").alias("closed"), F.round(F.sum("pnl"), 3).alias("pnl"))
+    pnl = backtest.tick_pnl(held, DAY, ORDER)
+    won = F.count_if((F.col("closed") == 1) & (F.col("pnl") + F.col("opened") > 0))
+    return pnl.groupBy("contract").agg(F.sum("opened").alias("opened"), F.sum("closed").alias("closed"), won.alias("wins"), F.round(F.sum("pnl"), 3).alias("pnl"))
 
 
 @query("trade_counter", f"{_POSITION}, x AS (SELECT t.contract, t.trade_day, abs(m.position - lag(m.position) OVER (PARTITION BY t.contract, t.trade_day ORDER BY t.n)) AS s FROM t JOIN m ON t.contract = m.contract AND t.n = m.n) SELECT contract, trade_day, CAST(coalesce(sum(s), 0) AS DOUBLE) / 2 AS trades FROM x GROUP BY 1, 2")
@@ -488,37 +498,48 @@ def _made(spark, sf_dir, **made):
 
 @query(
     "ema_macd",
-    f"""WITH RECURSIVE {_N}, m(contract, trade_day, n, event_id, f, s, g) AS (SELECT contract, trade_day, n, event_id, last, last, 0.0::DOUBLE FROM t WHERE n = 1 UNION ALL SELECT t.contract, t.trade_day, t.n, t.event_id, 2.0 / 13 * last + 11.0 / 13 * f, 2.0 / 27 * last + 25.0 / 27 * s, 0.2 * ((2.0 / 13 * last + 11.0 / 13 * f) - (2.0 / 27 * last + 25.0 / 27 * s)) + 0.8 * g FROM m {_ON})
-SELECT event_id, round(f, 5) AS ema_12, round(f - s, 5) + 0.0 AS macd, round(g, 5) + 0.0 AS signal, round(f - s - g, 5) + 0.0 AS histogram FROM m""",
+    f"""WITH RECURSIVE {_N}, m(contract, trade_day, n, event_id, f, s, g, a, b) AS (SELECT contract, trade_day, n, event_id, last, last, 0.0::DOUBLE, last, last FROM t WHERE n = 1 UNION ALL SELECT t.contract, t.trade_day, t.n, t.event_id, 2.0 / 13 * last + 11.0 / 13 * f, 2.0 / 27 * last + 25.0 / 27 * s, 0.2 * ((2.0 / 13 * last + 11.0 / 13 * f) - (2.0 / 27 * last + 25.0 / 27 * s)) + 0.8 * g, 2.0 / 25 * last + 23.0 / 25 * a, 2.0 / 53 * last + 51.0 / 53 * b FROM m {_ON})
+SELECT event_id, round(f, 5) AS ema_12, round(f - s, 5) + 0.0 AS macd, round(g, 5) + 0.0 AS signal, round(f - s - g, 5) + 0.0 AS histogram, round(a - b, 5) + 0.0 AS macd_long FROM m""",
 )
 def ema_macd(spark, sf_dir):
     part = lambda k: lambda rows: recursive.macd(rows["last"].to_numpy())[k]
-    t = _made(spark, sf_dir, ema_12=lambda rows: recursive.ema(rows["last"].to_numpy(), 12), macd=part(0), signal=part(1), histogram=part(2))
-    return t.select("event_id", F.round("ema_12", 5).alias("ema_12"), *[r(c, 5).alias(c) for c in ("macd", "signal", "histogram")])
+    t = _made(spark, sf_dir, ema_12=lambda rows: recursive.ema(rows["last"].to_numpy(), 12), macd=part(0), signal=part(1), histogram=part(2), macd_long=lambda rows: recursive.macd(rows["last"].to_numpy(), 24, 52)[0])
+    return t.select("event_id", F.round("ema_12", 5).alias("ema_12"), *[r(c, 5).alias(c) for c in ("macd", "signal", "histogram", "macd_long")])
+
+
+def _rsi_sql(k: int) -> str:
+    return f"""m{k}(contract, trade_day, n, g, l) AS (SELECT contract, trade_day, n, g, l FROM (SELECT *, avg(up) OVER w AS g, avg(down) OVER w AS l FROM t WINDOW w AS (PARTITION BY contract, trade_day ORDER BY n ROWS {k - 1} PRECEDING)) WHERE n = {k} UNION ALL SELECT t.contract, t.trade_day, t.n, (g * {k - 1} + up) / {k}, (l * {k - 1} + down) / {k} FROM m{k} m {_ON})"""
+
+
+_RSI = {"rsi": 14, "rsi_short": 7, "rsi_long": 28}
 
 
 @query(
     "rsi_wilder",
-    f"""WITH RECURSIVE {_N}, m(contract, trade_day, n, event_id, g, l) AS (SELECT contract, trade_day, n, event_id, g, l FROM (SELECT *, avg(up) OVER w AS g, avg(down) OVER w AS l FROM t WINDOW w AS (PARTITION BY contract, trade_day ORDER BY n ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)) WHERE n = 14 UNION ALL SELECT t.contract, t.trade_day, t.n, t.event_id, (g * 13 + up) / 14, (l * 13 + down) / 14 FROM m {_ON})
-SELECT t.event_id, round(CASE WHEN m.n IS NULL THEN NULL WHEN l = 0 THEN 100 ELSE 100 - 100 / (1 + g / l) END, 6) AS rsi FROM t LEFT JOIN m ON t.contract = m.contract AND t.trade_day = m.trade_day AND t.n = m.n""",
+    f"WITH RECURSIVE {_N}, {', '.join(map(_rsi_sql, _RSI.values()))} SELECT t.event_id, {', '.join(f'round(CASE WHEN m{k}.n IS NULL THEN NULL WHEN m{k}.l = 0 THEN 100 ELSE 100 - 100 / (1 + m{k}.g / m{k}.l) END, 6) AS {name}' for name, k in _RSI.items())} FROM t {' '.join(f'LEFT JOIN m{k} ON t.contract = m{k}.contract AND t.trade_day = m{k}.trade_day AND t.n = m{k}.n' for k in _RSI.values())}",
 )
 def rsi_wilder(spark, sf_dir):
-    def rsi(rows: pd.DataFrame):
-        out = recursive.rsi(rows["last"].to_numpy())
-        out[:13] = float("nan")
-        return out
+    def rsi(k: int):
+        def made(rows: pd.DataFrame):
+            out = recursive.rsi(rows["last"].to_numpy(), k)
+            out[: k - 1] = float("nan")
+            return out
+
+        return made
 
-    return _made(spark, sf_dir, rsi=rsi).select("event_id", F.round("rsi", 6).alias("rsi"))
+    return _made(spark, sf_dir, **{n: rsi(k) for n, k in _RSI.items()}).select("event_id", *[F.round(n, 6).alias(n) for n in _RSI])
 
 
 @query(
     "kdj",
-    f"""WITH RECURSIVE {_N}, h AS MATERIALIZED (SELECT t.*, CASE WHEN max(last) OVER w = min(last) OVER w THEN 50.0 ELSE (last - min(last) OVER w) / nullif(max(last) OVER w - min(last) OVER w, 0) * 100 END AS rsv FROM t WINDOW w AS (PARTITION BY contract, trade_day ORDER BY n ROWS BETWEEN 8 PRECEDING AND CURRENT ROW)),
+    f"""WITH RECURSIVE {_N}, h AS MATERIALIZED (SELECT t.*, CASE WHEN max(high) OVER w = min(low) OVER w THEN 50.0 ELSE (last - min(low) OVER w) / nullif(max(high) OVER w - min(low) OVER w, 0) * 100 END AS rsv FROM (SELECT *, max(last) OVER v AS high, min(last) OVER v AS low FROM t WINDOW v AS (PARTITION BY contract, trade_day ORDER BY n ROWS 4 PRECEDING)) t WINDOW w AS (PARTITION BY contract, trade_day ORDER BY n ROWS BETWEEN 8 PRECEDING AND CURRENT ROW)),
 m(contract, trade_day, n, event_id, k, d) AS (SELECT contract, trade_day, n, event_id, rsv, rsv FROM h WHERE n = 9 UNION ALL SELECT h.contract, h.trade_day, h.n, h.event_id, (k * 2 + rsv) / 3, (d * 2 + (k * 2 + rsv) / 3) / 3 FROM m JOIN h ON h.contract = m.contract AND h.trade_day = m.trade_day AND h.n = m.n + 1)
 SELECT t.event_id, round(3 * k - 2 * d, 6) + 0.0 AS kdj FROM t LEFT JOIN m ON t.contract = m.contract AND t.trade_day = m.trade_day AND t.n = m.n""",
 )
 def kdj(spark, sf_dir):
-    return _made(spark, sf_dir, kdj=lambda rows: recursive.kdj(rows["last"].to_numpy(), rows["last"].to_numpy(), rows["last"].to_numpy())).select("event_id", r("kdj").alias("kdj"))
+    """J over highs and lows of the last 5 ticks."""
+    high, low = (lambda rows, f=f: getattr(rows["last"].rolling(5, 1), f)().to_numpy() for f in ("max", "min"))
+    return _made(spark, sf_dir, kdj=lambda rows: recursive.kdj(high(rows), low(rows), rows["last"].to_numpy())).select("event_id", r("kdj").alias("kdj"))
 
 
 _EWM = f"WITH t AS (SELECT contract, trade_day, event_id, last, row_number() OVER ({_ORDER_BY}) AS n FROM ({TICKS_SQL})), p AS (SELECT a.event_id, power({{q}}, a.n - b.n) AS w, b.last AS x FROM t a JOIN t b ON a.contract = b.contract AND a.trade_day = b.trade_day AND b.n <= a.n), s AS (SELECT event_id, count(*) AS c, sum(w) AS s, sum(w * w) AS s2, sum(w * x) / sum(w) AS m FROM p GROUP BY 1)"
@@ -597,7 +618,21 @@ def large_order_impact(spark, sf_dir):
 # --- models ---------------------------------------------------------------------------------------------------------------------------
 
 
-@query("ridge")
+def _ridge_sql() -> str:
+    """Cramer's rule for three centred features with 1 on the diagonal."""
+    x = _FACTORS
+    cov = lambda a, b: f"covar_pop({a}, {b}) * count(*)"
+    parts = [f"{cov(x[i], x[j])}{' + 1' if i == j else ''} AS g{i}{j}" for i in range(3) for j in range(3)] + [f"{cov(x[i], 'label')} AS y{i}" for i in range(3)] + [f"avg({c}) AS m{i}" for i, c in enumerate(x)] + ["avg(label) AS my"]
+
+    def det(column: int | None) -> str:
+        g = [[f"y{i}" if j == column else f"g{i}{j}" for j in range(3)] for i in range(3)]
+        return f"({g[0][0]} * ({g[1][1]} * {g[2][2]} - {g[1][2]} * {g[2][1]}) - {g[0][1]} * ({g[1][0]} * {g[2][2]} - {g[1][2]} * {g[2][0]}) + {g[0][2]} * ({g[1][0]} * {g[2][1]} - {g[1][1]} * {g[2][0]}))"
+
+    weights = ", ".join(f"{det(i)} / {det(None)} AS w{i}" for i in range(3))
+    return f"WITH m AS ({MATRIX}), s AS (SELECT {', '.join(parts)} FROM m WHERE l_shipdate < DATE '{_SPLIT}'), w AS (SELECT *, {weights} FROM s) SELECT l_orderkey, l_linenumber, round(my + {' + '.join(f'w{i} * ({c} - m{i})' for i, c in enumerate(x))}, 5) AS prediction FROM m, w WHERE l_shipdate >= DATE '{_SPLIT}'"
+
+
+@query("ridge", _ridge_sql())
 def ridge(spark, sf_dir):
     m = matrix(spark, sf_dir)
     train, test = dataset.split_by_day(m, "l_shipdate", _SPLIT)
@@ -644,7 +679,13 @@ def back_adjustment(spark, sf_dir):
     return joins.back_adjusted(d, ["contract"], "trade_day").select(*DAY, F.round("factor", 7).alias("factor"))
 
 
-@query("hurst_slope")
+@query(
+    "hurst_slope",
+    f"""WITH t AS (SELECT contract, last, row_number() OVER (PARTITION BY contract ORDER BY ts, event_id) - 1 AS n FROM ({TICKS_SQL})), z AS (SELECT unnest([10, 20, 50, 100]) AS size),
+g AS (SELECT contract, size, n // size AS part, list(last ORDER BY n) AS x FROM t, z GROUP BY 1, 2, 3 HAVING count(*) = size), s AS (SELECT contract, size, list_stddev_pop(x) AS sd, [list_sum(x[1:i]) - i * list_avg(x) for i in range(1, size + 1)] AS y FROM g),
+m AS (SELECT contract, size, avg((list_max(y) - list_min(y)) / sd) AS rs FROM s WHERE sd > 0 GROUP BY 1, 2)
+SELECT contract, round(regr_slope(ln(rs), ln(size)), 6) AS hurst, (SELECT count(*) FROM t WHERE t.contract = m.contract) AS n FROM m GROUP BY contract""",
+)
 def hurst_slope(spark, sf_dir):
     """One slope a contract; segments of up to 100 ticks."""
     out = recursive.hurst_slopes(ticks(spark, sf_dir), "contract", "trade_day", ORDER, "last")
@@ -656,7 +697,12 @@ def ts_beta(spark, sf_dir):
     return matrix(spark, sf_dir).groupBy("l_returnflag").agg(F.round(F.coalesce(F.regr_slope("label", "l_quantity"), F.lit(0.0)), 7).alias("beta"))
 
 
-@query("scored_sweep")
+@query(
+    "scored_sweep",
+    f"""WITH t AS (SELECT *, (lead(last, 5) OVER w - last) / 1000 AS y, row_number() OVER w AS n, avg(order_imbalance) OVER f AS a, count(order_imbalance) OVER f AS c, count(spread) OVER f AS d FROM ({features_sql()}) WINDOW w AS ({_ORDER_BY}), f AS ({_ORDER_BY} ROWS 9 PRECEDING)),
+p AS (SELECT 3 * a AS p, y FROM t WHERE n >= 10 AND (n - 10) % 2 = 0 AND c = 10 AND d = 10 AND y IS NOT NULL), g AS (SELECT k / 20.0::DOUBLE AS t FROM (SELECT unnest(range(0, 10)) AS k)), x AS (SELECT t, CASE WHEN p > t THEN y - 0.05 WHEN p < -t THEN -y - 0.05 END AS x FROM p, g)
+SELECT t AS threshold, count(x) AS signals, round(15 * coalesce(sum(x), 0), 4) AS dq, round(sum(greatest(x, 0)) / nullif(sum(greatest(-x, 0)), 0), 6) AS dqr FROM x GROUP BY t""",
+)
 def scored_sweep(spark, sf_dir):
     """Scoring of sampled rolling features and a threshold sweep of the predictions, as one plan."""
     from .pipelines import scored, swept
@@ -666,13 +712,26 @@ def scored_sweep(spark, sf_dir):
     return swept(p, "y", 0.05, _GRID[:10]).select("threshold", "signals", F.round("dq", 4).alias("dq"), F.round("dqr", 6).alias("dqr"))
 
 
-@query("main_second_liquidity")
+_LIQ = ("final_spread", "impact_skew", "cost_bps")
+_SNAP = "SELECT trade_day, date_trunc('hour', ts) AS ts, max_by(final_spread, (t.ts, event_id)) AS final_spread FROM ({t}) t WHERE contract = '{c}' GROUP BY 1, 2"
+
+
+@query(
+    "main_second_liquidity",
+    f"""WITH k AS MATERIALIZED (SELECT contract, trade_day, ts, event_id, final_spread FROM ({levelled(TICKS_SQL, factor_sql.LIQUIDITY, ["final_spread"], BOOK_COLUMNS, DAY)})), a AS ({_SNAP.format(t="SELECT * FROM k", c="click")}), b AS ({_SNAP.format(t="SELECT * FROM k", c="view")}),
+d AS (SELECT trade_day, max(volume) FILTER (contract = 'click') AS a, max(volume) FILTER (contract = 'view') AS b FROM ({TICKS_SQL}) GROUP BY trade_day), f AS (SELECT trade_day, coalesce(least(500.0, lag(a / nullif(b, 0)) OVER (ORDER BY trade_day)), 1.0) AS multiplier FROM d WHERE a IS NOT NULL AND b IS NOT NULL),
+x AS (SELECT a.trade_day, a.ts, a.final_spread AS m, b.final_spread AS s, b.final_spread * multiplier AS k FROM a JOIN b ON a.trade_day = b.trade_day AND a.ts = b.ts JOIN f ON f.trade_day = a.trade_day)
+SELECT trade_day, ts, round(m, 4) AS final_spread_main, round(s, 4) AS final_spread_second, round(k, 4) AS scaled_spread_second FROM x WHERE trade_day > (SELECT min(trade_day) FROM x)""",
+)
 def main_second_liquidity(spark, sf_dir):
-    """Two contracts at equal hours: liquidity of each, the second scaled by the day before's volumes."""
+    """Liquidity of two contracts on their ticks, at the ends of equal hours, the second scaled by the day before's volumes."""
     from .pipelines import main_and_second
 
-    def hourly(c):
-        t = ticks(spark, sf_dir).where(F.col("contract") == c).withColumn("ts", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
-        return t.groupBy("trade_day", "ts").agg(F.max_by(F.struct(*[x for x in t.columns if x not in ("trade_day", "ts")]), "event_id").alias("x")).select("trade_day", "ts", "x.*")
+    def hourly(t):
+        values = [c for c in t.columns if c not in ("trade_day", "ts", "event_id")]
+        last = F.max_by(F.struct(*values), F.struct("ts", "event_id"))
+        return t.groupBy("trade_day", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(last.alias("x")).select("trade_day", F.col("hour").alias("ts"), "x.*")
 
-    return main_and_second(hourly("click"), hourly("view")).select("trade_day", "ts", *[F.round(c, 4).alias(c) for c in ("final_spread_main", "final_spread_second", "scaled_spread_second")])
+    t = ticks(spark, sf_dir)
+    out = main_and_second(t.where("contract = 'click'"), t.where("contract = 'view'"), _LIQ, hourly)
+    return out.select("trade_day", "ts", *[F.round(c, 4).alias(c) for c in ("final_spread_main", "final_spread_second", "scaled_spread_second")])

@@ -13,6 +13,8 @@ from .tables import BOOK_COLUMNS, CONTRACT, ORDER, TICKS_SQL, bars, levelled, nu
 
 DAY = ["contract", "trade_day"]
 QUERIES, ORACLE = {}, {}
+#: Of each query its plan's book, its SQL's book, its factors, and whether it stands on bars.
+FACTORS: dict[str, tuple] = {}
 
 
 def rounded(names: dict[str, int]) -> list[str]:
@@ -35,6 +37,7 @@ def add(name: str, book: dict, sql: dict, names: dict[str, int], keys=CONTRACT,
         return compute(table(rows) if table else rows, book, [n for n in names if n not in extra], keys, ORDER).select(*keep, *[F.expr(e) for e in rounded(names)])
 
     have = ["contract", "trade_day", "ts", "event_id", *factor_sql.BAR_SQL_COLUMNS, *extra] if minute else BOOK_COLUMNS
+    FACTORS[name] = book, sql, [n for n in names if n not in extra], minute
     QUERIES[name] = run
     ORACLE[name] = f"SELECT {', '.join([*keep, *rounded(names)])} FROM ({levelled(bars_sql(extra) if minute else TICKS_SQL, sql, names, have, keys)}) f"
 

@@ -58,9 +58,9 @@ TICK = {
     "net_inflow": "delta_volume * trade_direction",
     "estimated_exec_price": "if(trade_direction > 0, ap1, if(trade_direction < 0, bp1, last))",
     "spread": "ap1 - bp1",
-    "bid_depth": "list_sum([bv1, bv2, bv3, bv4, bv5])",
-    "ask_depth": "list_sum([av1, av2, av3, av4, av5])",
-    "total_depth": "list_sum([bv1, bv2, bv3, bv4, bv5, av1, av2, av3, av4, av5])",
+    "bid_depth": "(bv1 + bv5) + (bv2 + bv4) + bv3",
+    "ask_depth": "(av1 + av5) + (av2 + av4) + av3",
+    "total_depth": "bv1 + av1 + bv2 + av2 + bv3 + av3 + bv4 + av4 + bv5 + av5",
     "order_imbalance": "(bid_depth - ask_depth) / nullif(total_depth, 0)",
     "bid_ask_volume_ratio": "bid_depth / nullif(ask_depth, 0)",
     "effective_depth": "list_min([av1, bv1])",
@@ -127,11 +127,13 @@ TICK = {
     "falls": "if(one_tick_log < 0, -one_tick_log, 0)",
     "oi_gain": f"coalesce(openinterest - {lag('openinterest')}, 0)",
     "gate_spread": "if(ap1 = 0 OR bp1 = 0, 0, ap1 - bp1)",
-    "gate_depth": "ln(1 + total_depth)",
+    "all_bids": "list_sum([bv1, bv2, bv3, bv4, bv5])",
+    "all_asks": "list_sum([av1, av2, av3, av4, av5])",
+    "gate_depth": "ln(1 + all_bids + all_asks)",
     "gate_rv_5": f"coalesce({rolling('stddev_samp', 'ten_tick_log', 30)}, 0)",
     "gate_range": f"coalesce(({rolling('max', 'mid', 30)} - {rolling('min', 'mid', 30)}) / mid, 0)",
     "gate_l1_imbalance": "(bv1 - av1) / (bv1 + av1 + 1e-6)",
-    "gate_l5_imbalance": "(bid_depth - ask_depth) / (total_depth + 1e-6)",
+    "gate_l5_imbalance": "(all_bids - all_asks) / (all_bids + all_asks + 1e-6)",
     "gate_order_imbalance": "(ordercnt_bid1 - ordercnt_ask1) / (ordercnt_bid1 + ordercnt_ask1 + 1e-6)",
     "gate_oi_change": f"coalesce({rolling('sum', 'oi_gain', 10)}, 0)",
     "gate_trade_intensity": f"coalesce(ln(1 + {rolling('sum', 'delta_volume', 10)}), 0)",
@@ -144,7 +146,7 @@ TICK = {
 for i in LEVELS:
     b, a = f"bp{i}", f"ap{i}"
     TICK[f"soir{i}"] = f"(bv{i} - av{i}) / nullif(av{i} + bv{i}, 0)"
-    TICK[f"ofi{i}"] = f"(if({b} >= {lag(b)}, bv{i}, 0) - if({b} <= {lag(b)}, {lag(f'bv{i}')}, 0)) - (if({a} <= {lag(a)}, av{i}, 0) - if({a} >= {lag(a)}, {lag(f'av{i}')}, 0)) + 0 * {lag(b)}"
+    TICK[f"ofi{i}"] = f"bv{i} - {lag(f'bv{i}')} + if({b} > {lag(b)}, {lag(f'bv{i}')}, if({b} < {lag(b)}, -bv{i}, 0)) - (av{i} - {lag(f'av{i}')} + if({a} < {lag(a)}, {lag(f'av{i}')}, if({a} > {lag(a)}, -av{i}, 0)))"
 for k in (10, 60, 120, 300, 600):
     TICK[f"oi_ma_{k}"] = rolling("avg", "order_imbalance", k, 120 if k == 600 else None)
     TICK[f"oi_momentum_{k}"] = f"order_imbalance - {lag('order_imbalance', k)}"
@@ -387,13 +389,13 @@ for k in (10, 30):
         f"trades_{k}": f"list_filter(list({{'v': vol, 'r': ln(greatest(ret_min, 1e-9)), 'k': ret_min}}) {w(k)}, lambda e: e.k IS NOT NULL AND e.v IS NOT NULL)",
         f"heavy_cut_{k}": f"list_aggregate([e.v for e in trades_{k}], 'quantile_cont', 0.8)",
         f"heavy_part_{k}": f"coalesce(list_sum([e.v * e.r for e in trades_{k} if e.v > heavy_cut_{k}]) / nullif(list_sum([e.v for e in trades_{k} if e.v > heavy_cut_{k}]), 0), 0)",
-        f"light_part_{k}": f"coalesce(list_sum([e.r / e.v for e in trades_{k} if e.v <= heavy_cut_{k}]) / nullif(list_sum([1 / e.v for e in trades_{k} if e.v <= heavy_cut_{k}]), 0), 0)",
+        f"light_part_{k}": f"if(len([1 for e in trades_{k} if e.v = 0]) > 0, NULL, coalesce(list_sum([e.r / nullif(e.v, 0) for e in trades_{k} if e.v <= heavy_cut_{k}]) / nullif(list_sum([1 / nullif(e.v, 0) for e in trades_{k} if e.v <= heavy_cut_{k}]), 0), 0))",
         f"struct_rev_{k}": f"CASE WHEN row_number() OVER ({{P}}) >= {k} AND len(trades_{k}) >= 5 THEN heavy_part_{k} - light_part_{k} END",
     }
 
 # the book
 LIQUIDITY = dict(TICK) | {
-    "wbas": " - ".join(f"list_sum([{', '.join(f'{x}p{i} * {x}v{i}' for i in LEVELS)}]) / nullif(list_sum([{', '.join(f'{x}v{i}' for i in LEVELS)}]), 0)" for x in "ab"),
+    "wbas": " - ".join(f"({' + '.join(f'{x}v{i} * {x}p{i}' for i in LEVELS)}) / nullif({' + '.join(f'{x}v{i}' for i in LEVELS)}, 0)" for x in "ab"),
     **{f"spread_l{i}": f"ap{i} - bp{i}" for i in LEVELS},
     "flow_total": f"list_max([coalesce(avg(delta_volume) {w(60)} * count(delta_volume) {w(60)} / 60, 0), 3])",
     "atp": "delta_turnover / nullif(delta_volume, 0)",
@@ -470,7 +472,7 @@ for long, side, flow in SIDES:
     sweep(f"robust_{long}", side, f"demand_{flow}", "robust")
     sweep(f"flows_{long}", side, f"scaled_{flow}", "robust")
     sweep(f"dssp_price_{long}", side, f"demand_{flow}", "robust", "dssp")
-    LIQUIDITY[f"dssp_{long}"] = f"list_sum({volumes(side, 'dssp')})"
+    LIQUIDITY[f"dssp_{long}"] = " + ".join(f"coalesce({side}v{i} * exp((1 - {i}) / 10.0) * if({side}v{i} >= 500 OR ({side}v{i} >= 100 AND {side}v{i} / 2 > flow_total), 0.8, 1), 0)" for i in LEVELS)
     best, fall, rise = f"{side}p1", (">" if side == "a" else "<"), ("<" if side == "a" else ">")
     for m, levels in (("", (1,)), ("_5", LEVELS)):
         LIQUIDITY[f"depth_now_{long}{m}"] = "list_sum([" + ", ".join(f"{side}v{i}" for i in levels) + "])"

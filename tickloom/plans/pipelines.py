@@ -25,9 +25,13 @@ def factor_table(clock: DataFrame, market: DataFrame, names: list[str], stride:
     return joins.align_left(sampled, clock, [*DAY, "ts"])
 
 
-def main_and_second(main: DataFrame, second: DataFrame, names=("final_spread", "impact_skew", "cost_bps")) -> DataFrame:
-    """Liquidity of two contracts at equal times, the main one scaled by the day before's volumes; without the first day."""
-    wanted = lambda t: compute(t, LIQUIDITY, names, DAY, ORDER).select("trade_day", "ts", *names)
+def main_and_second(main: DataFrame, second: DataFrame, names=("final_spread", "impact_skew", "cost_bps"), snapshot: Callable | None = None) -> DataFrame:
+    """Liquidity of two contracts at equal times, the second one scaled by the day before's volumes; without the first day.
+
+    ``snapshot`` picks rows that both can have (ends of hours, say) after all ticks have counted.
+    """
+    pick = snapshot or (lambda t: t.drop("event_id"))
+    wanted = lambda t: pick(compute(t, LIQUIDITY, names, DAY, ORDER).select("trade_day", "ts", "event_id", *names))
     multiplier = joins.cross_day_multiplier(main, second)
     both = joins.inner_suffixed(wanted(main), wanted(second), ["trade_day", "ts"])
     scaled = both.join(multiplier, "trade_day").withColumn("scaled_spread_second", F.col("final_spread_second") * F.col("multiplier"))
@@ -50,4 +54,4 @@ def traded(predictions: DataFrame, low: float, high: float, hold: int = 5) -> Da
     """Positions and PnL in ticks of predictions beyond the limits."""
     signals = predictions.withColumn("signal", backtest.class_signal(F.col("prediction"), F.lit(low), F.lit(high)))
     held = backtest.held_positions(signals, ["contract"], "trade_day", ORDER, hold=hold)
-    return backtest.tick_pnl(held, ["contract"], ["trade_day", *ORDER])
+    return backtest.tick_pnl(held, DAY, ORDER)

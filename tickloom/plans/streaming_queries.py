@@ -2,29 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..streaming import ticks as streaming
-from .tables import view
-
-
-def _folder(spark) -> str:
-    """The shared folder for state and results; a temporary one only where none is set."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tickloom-")
+from .tables import view, work_folder
 
 
 def streaming_bars(spark, sf_dir):
-    """Hourly bars of events by type, computed by Structured Streaming."""
-    schema = view(spark, sf_dir, "events").schema
-    stream = streaming.read_files(spark, sf_dir, schema, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    rows = streaming.run_to_table(streaming.bars(stream, ["event_type"], "ts", "value"), _folder(spark), "update")
-    last = streaming.latest(rows, ["window", "event_type"])
+    """Hourly bars of events by type, computed by Structured Streaming.
+
+    The table may be one file or a folder of them; rows of any file may be as late as the table spans.
+    """
+    events = view(spark, sf_dir, "events")
+    one_file = any(f.endswith("/events.parquet") for f in events.inputFiles())
+    folder, name = (sf_dir, "events.parquet") if one_file else (f"{sf_dir}/events.parquet", "*.parquet")
+    days = events.agg(F.date_diff(F.max("ts"), F.min("ts"))).first()[0] or 0
+    stream = streaming.read_files(spark, folder, events.schema, name).withColumn("ts", F.col("ts").cast("timestamp"))
+    bars = streaming.bars(stream, ["event_type"], "ts", "value", late=f"{days + 1} days", ties=("event_id",))
+    last = streaming.latest(streaming.run_to_table(bars, work_folder(spark), "update"), ["window", "event_type"])
     return last.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", "first", "last", "high", "low")
 
 
 QUERIES = {"streaming_bars": streaming_bars}
 ORACLE = {
-    "streaming_bars": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, min_by(value, ts) AS first, max_by(value, ts) AS last, max(value) AS high, min(value) AS low FROM events GROUP BY 1, 2"
+    "streaming_bars": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, min_by(value, (ts, event_id)) AS first, max_by(value, (ts, event_id)) AS last, max(value) AS high, min(value) AS low FROM events GROUP BY 1, 2"
 }

@@ -5,6 +5,12 @@ Prices are whole cents, so quotes, volumes and turnovers are exact in any engine
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +29,17 @@ FROM (SELECT *, 10000 + CAST(round(value * 100) AS BIGINT) AS last0 FROM events)
 DAILY_SQL = "SELECT o_orderdate AS day, sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS cents, count(*) AS n FROM orders GROUP BY o_orderdate"
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A new folder under ``spark.checkpoint.dir``, which all executors share; a temporary one where all of Spark is one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="tickloom-")
+        atexit.register(shutil.rmtree, base, True)
+    return f"{base.rstrip('/')}/tickloom-{uuid.uuid4().hex}"
+
+
 def view(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -110,6 +110,19 @@ def write_days(df: DataFrame, path: str, day: str = "trade_day") -> None:
     narrow.repartition(day).write.partitionBy(day).parquet(path, mode="overwrite", compression="snappy")
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV files with a header; timestamps to the microsecond."""
+    df.write.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").csv(path, header=True, mode="overwrite")
+
+
+def read_arrays(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """Rows of files that hold a day's columns as arrays of one length; ``place`` is where they stand in them."""
+    days = spark.read.parquet(path)
+    others = [c for c in days.columns if c not in columns]
+    zipped = F.arrays_zip(*[F.col(f"`{c}`") for c in columns])
+    return days.select(*others, F.posexplode(zipped).alias("place", "_row")).select(*others, "place", *[F.col(f"_row.`{c}`").alias(c) for c in columns])
+
+
 def factor_columns(df: DataFrame, prefix: str = "f_") -> list[str]:
     """Names of numeric columns with the prefix."""
     return [f.name for f in df.schema if f.name.startswith(prefix) and isinstance(f.dataType, T.NumericType)]

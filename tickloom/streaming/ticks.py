@@ -16,9 +16,12 @@ def read_files(spark: SparkSession, folder: str, schema, name: str = "*.parquet"
     return spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", per_trigger).parquet(folder)
 
 
-def bars(ticks: DataFrame, keys: list[str], ts: str, price: str, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """(window, keys, n, first, last, high, low) of event-time windows; rows later than ``late`` are left out."""
-    t = F.struct(ts)
+def bars(ticks: DataFrame, keys: list[str], ts: str, price: str, size: str = "1 hour", late: str = "10 minutes", ties: tuple[str, ...] = ()) -> DataFrame:
+    """(window, keys, n, first, last, high, low) of event-time windows; rows later than ``late`` are left out.
+
+    Of equal times ``ties`` and then the price decide what is first and last.
+    """
+    t = F.struct(ts, *ties, price)
     stream = ticks.withWatermark(ts, late).groupBy(F.window(ts, size), *keys)
     return stream.agg(F.count("*").alias("n"), F.min_by(price, t).alias("first"), F.max_by(price, t).alias("last"), F.max(price).alias("high"), F.min(price).alias("low"))
 
@@ -49,11 +52,12 @@ def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> DataFr
     spark, at = stream.sparkSession, f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
     def keep(rows: DataFrame, batch: int) -> None:
-        rows.withColumn("_batch", F.lit(batch)).write.mode("append").parquet(f"{at}/rows")
+        # a batch that is run again after a failure takes the place of what it wrote before
+        rows.write.mode("overwrite").parquet(f"{at}/rows/_batch={batch}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(keep).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{at}/rows")
+    return spark.read.option("basePath", f"{at}/rows").parquet(f"{at}/rows")
 
 
 def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
