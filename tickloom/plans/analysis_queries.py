@@ -642,7 +642,7 @@ def ridge(spark, sf_dir):
 
 @query("elastic_net")
 def elastic_net(spark, sf_dir):
-    return ml.elastic_net_folds(matrix(spark, sf_dir), _FACTORS, "label", "l_shipdate", shares=(0.1, 0.5, 0.9), folds=3)
+    return ml.elastic_net_folds(matrix(spark, sf_dir), _FACTORS, "label", "l_shipdate")
 
 
 @query("gbt_importance")
