@@ -16,6 +16,8 @@ together with their texts, and all such pairs are confirmed in place; only links
 Null and empty texts have no set: each stays alone and is kept.  Rows that repeat a doc_id are
 documents of their own (equal ones get the same answer); a row without doc_id joins the group of its text
 and stays only where the whole group has no doc_id: then one text of it is kept, and component_id is null.
+Texts of any length are taken whole.  An empty table gives an empty result.  Other columns are not read;
+``one_of_each_group`` keeps them, those of one of several equal rows where a text is kept once.
 """
 
 from __future__ import annotations

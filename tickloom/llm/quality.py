@@ -9,7 +9,9 @@ distances from Cholesky factors that are worked out once.
 Null and empty texts have the features of a text without bytes and are scored like any other.  Rows that
 repeat are scored each; labels that repeat or contradict each other count as often as they stand; null
 labels and labels other than 0 and 1 are left out.  Without labels of both classes every score is the
-share of good labels (0.5 without any).
+share of good labels (0.5 without any).  Texts of any length are taken whole; a text of equal score with
+another is judged the same.  An empty table gives an empty result.  ``good_documents`` keeps all columns,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -139,12 +141,13 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 def good_documents(docs: DataFrame, model: dict, text: str = "text", at_least: float = KEEP) -> DataFrame:
     """The rows of ``docs`` that score ``at_least`` so much, in the columns of ``docs``."""
-    name = "_score"
+    places = {c: f"_{k}" for k, c in enumerate(docs.columns)}
 
     def score(part: pa.RecordBatch) -> dict:
-        return {name: scores(model, text_features(part.column(part.schema.get_field_index(text))))}
+        return {"score": scores(model, text_features(part.column(part.schema.get_field_index(places[text]))))}
 
-    return map_text(docs, text, f"{name} double", score).where(F.col(name) >= at_least).select(*[F.col(f"`{c}`") for c in docs.columns])
+    scored = map_text(docs.toDF(*places.values()), places[text], "score double", score)
+    return scored.where(F.col("score") >= at_least).select(*[F.col(p).alias(c) for c, p in places.items()])
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
