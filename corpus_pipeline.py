@@ -1,7 +1,13 @@
 """A corpus pipeline: quality, near-duplicates, decontamination, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept.  All but the last
-return the columns of ``docs``; the last returns where each piece of each document is packed.
+return the columns of ``docs``, whatever their names; the last returns where each piece of each document is
+packed.
+
+Null and empty texts are scored like any other; those that stay are no near-duplicates, hold no benchmark
+windows and no secrets, and are packed as their end id alone.  Texts of any length are taken whole.  Of equal
+texts one row stays; rows without doc_id are judged by their texts.  Empty tables give an empty result, and
+without labels of both classes every document has the same score: all stay, or none.
 """
 
 from __future__ import annotations
