@@ -9,7 +9,7 @@ from ..functions import session
 from ..functions.factors import TICK, compute
 from ..operators import backtest, dataset, evaluate, joins, ml, recursive
 from . import factor_sql
-from .tables import BOOK_COLUMNS, DAILY_SQL, ORDER, TICKS_SQL, daily, levelled, ticks, view
+from .tables import BOOK_COLUMNS, DAILY_SQL, ORDER, TICKS_SQL, daily, levelled, numbered_ticks, ticks, view
 
 DAY = ["contract", "trade_day"]
 QUERIES, ORACLE = {}, {}
@@ -33,7 +33,8 @@ TICK_FACTORS = "mid", "spread", "order_imbalance", "trade_direction", "net_inflo
 
 
 def features(spark, sf_dir, names=TICK_FACTORS, keys=DAY):
-    return compute(ticks(spark, sf_dir), TICK, names, keys, ORDER)
+    rows = ticks(spark, sf_dir) if keys == DAY else numbered_ticks(spark, sf_dir)
+    return compute(rows, TICK, names, keys, ORDER)
 
 
 def features_sql(names=TICK_FACTORS, keys=DAY):
@@ -295,7 +296,7 @@ w AS (SELECT t.*, checkpoint FROM t JOIN c ON t.contract = c.contract AND t.n <
 
 @query("checkpoint_entropy", f"{_CHECK}, s AS (SELECT contract, checkpoint, estimated_exec_price, sum(delta_volume) AS v FROM w GROUP BY 1, 2, 3), p AS (SELECT *, sum(v) OVER (PARTITION BY contract, checkpoint) AS t, v / nullif(sum(v) OVER (PARTITION BY contract, checkpoint), 0) AS p FROM s) SELECT contract, checkpoint, {_ENTROPY} FROM p GROUP BY 1, 2")
 def checkpoint_entropy(spark, sf_dir):
-    t = features(spark, sf_dir, keys=["contract"]).withColumn("n", F.expr("row_number() OVER (PARTITION BY contract ORDER BY ts, event_id) - 1"))
+    t = features(spark, sf_dir, keys=["contract"]).withColumnRenamed("row_at", "n")
     return evaluate.volume_entropy(evaluate.checkpoints(t, "n"), ["contract", "checkpoint"]).select("contract", "checkpoint", F.round("vol_entropy", 6).alias("vol_entropy"))
 
 
@@ -306,7 +307,7 @@ SELECT w.contract, w.checkpoint, round(sum(CASE WHEN trade_direction = 1 AND mid
 round(sum(CASE WHEN trade_direction = -1 AND mid < final THEN mid * delta_volume END) / nullif(sum(CASE WHEN trade_direction = -1 AND mid < final THEN delta_volume END), 0) / any_value(final) - 1, 7) AS tick_lcp FROM w JOIN e USING (contract, checkpoint) GROUP BY 1, 2""",
 )
 def tick_hcp_lcp(spark, sf_dir):
-    t = features(spark, sf_dir, keys=["contract"]).withColumn("n", F.expr("row_number() OVER (PARTITION BY contract ORDER BY ts, event_id) - 1"))
+    t = features(spark, sf_dir, keys=["contract"]).withColumnRenamed("row_at", "n")
     w = evaluate.checkpoints(t, "n")
     final = w.groupBy("contract", "checkpoint").agg(F.max_by("last", "n").alias("final"))
     rows = w.join(final, ["contract", "checkpoint"])
