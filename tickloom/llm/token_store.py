@@ -3,7 +3,7 @@
 A store is a Parquet table of one binary grammar per shard of about ``SHARD_IDS`` ids, in ascending order
 of doc_id, written and committed by Spark like any other table.  A grammar replaces frequent pairs of
 neighbouring symbols by new symbols, most frequent ones first, again and again; pairs never reach over the
-end of a document.  Each round takes all pairs with at least a sixteenth of the highest count (of pairs
+end of a document.  Each round takes all pairs with at least a 32nd of the highest count (of pairs
 that share a slot of its hash table one, another one in the next round).  Rounds end when no pair stands
 ``frequent`` times, when there are ``most_rules`` rules (by default as many as keep symbols at 16 bits with
 a vocabulary of 50,000), or after one that saves less than ``least_gain`` of the ids, which costs more time
@@ -58,7 +58,7 @@ def build_grammar(ids: np.ndarray, last: np.ndarray, first_symbol: int, frequent
         most = int(count.max())
         if most < frequent:
             break
-        limit = max(frequent, most // 16)
+        limit = max(frequent, most // 32)
         count[count < limit] = 0
         weight = count[slot] * mine
         # of pairs that overlap the more frequent counts; in a chain of equal ones every second
