@@ -79,6 +79,18 @@ def tables(spark, made, bars):
     return known
 
 
+@pytest.fixture(autouse=True)
+def interpreted(spark):
+    """Few rows and large plans: compiling them takes longer than running them as they are."""
+    names = {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
 @pytest.mark.parametrize("name", FACTORS)
 def test_values(spark, made, bars, tables, monkeypatch, name):
     monkeypatch.setattr(factors, "BLOCK_ROWS", 64)
