@@ -51,7 +51,7 @@ def folder(spark, rows, docs, tmp_path_factory):
 @pytest.fixture(scope="session")
 def empty(spark, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("empty"))
-    for name, schema in (("documents", DOCUMENTS), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string"), ("pages", "page_id long, url string, html string")):
+    for name, schema in (("documents", DOCUMENTS), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string"), ("pages", "page_id long, url string, html string"), ("embeddings", "vec_id long, embedding array<float>, label int")):
         spark.createDataFrame([], schema).write.parquet(f"{at}/{name}.parquet")
     return at
 
