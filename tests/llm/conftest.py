@@ -45,6 +45,9 @@ def folder(spark, rows, docs, tmp_path_factory):
     link = lambda h: f'<html><a class="x" HREF="http://{h}/p">x</a><a href="/y">'
     pages = [(1, "http://a.example.com/en/1", link("good.org")), (2, "https://A.Example.com/en/7x?q", None), (3, None, "<a href=//b.net/q>"), (4, "no scheme", ""), (5, "http://b.net/de/8#x", link("c.org")), (6, "http://c.org/fr/", link("b.net")), (7, "http://x.example.net/de/8/1", link("b.net")), (7, "http://x.example.net/de/8/1", link("b.net")), (None, "://", ""), (9, "http://lonely.io", ""), (10, "http://good.org?x/y://z", "")]
     spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("host", F.lit("clash")).write.parquet(f"{at}/pages.parquet")
+    rng = random.Random(11)
+    vectors = [(i, [rng.gauss(0, 1) for _ in range(8)], rng.randrange(10)) for i in range(0, 3000, 10)] + [(None, [1.0] * 8, 2), (3001, None, 1), (3002, [1.0] * 8, None), (3003, [None] * 8, 1), (3004, [float("nan")] * 8, 1)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").withColumn("score", F.lit("clash")).write.parquet(f"{at}/embeddings.parquet")
     return at
 
 

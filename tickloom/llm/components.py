@@ -16,15 +16,18 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of ``links`` (u, v); component is the smallest node that it reaches.
 
     Each round is two joins against per-node minima; a star of any size is settled by one round, and the
-    rounds grow with the logarithm of the longest path.  Only a count and a checksum come to the driver.
+    rounds grow with the logarithm of the longest path.  The minima are written first: then both sides of a join
+    are shuffles of their own, and Spark splits the one of a node with many neighbours at run time.  Only a count
+    and a checksum come to the driver.
     """
     links = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     state = _state(links)
     while state[0]:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = written(large, "large")
+        down = written(large.groupBy("u").agg(F.min("v").alias("m")), "down")
         small = large.join(down, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         links = written(small.unionByName(down.withColumnRenamed("m", "v")).where("u <> v").distinct(), "links")
         before, state = state, _state(links)

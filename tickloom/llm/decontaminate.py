@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, HashTable, documents, map_text, mix, prefix_hash, span_hash, utf8, word_spans
+from .common import LOWER, HashTable, documents, map_text, mix, utf8, word_hashes, word_spans
 
 WORD = np.zeros(256, bool)
 WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -34,7 +34,7 @@ def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     raw, offs = utf8(column)
     raw = LOWER[raw]
     starts, ends, before = word_spans(raw, offs, WORD)
-    return span_hash(prefix_hash(raw), starts, ends), before
+    return word_hashes(raw, starts, ends), before
 
 
 def _bits(n: int) -> int:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, documents, map_text, mix, partitions, prefix_hash, span_hash, steps, utf8, word_spans, written
+from .common import LOWER, documents, map_text, mix, partitions, prefix_hash, span_hash, steps, utf8, word_hashes, word_spans, written
 from .components import components
 
 NOT_SPACE = np.ones(256, bool)
@@ -49,7 +49,7 @@ def shingle_hashes(column: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.n
     raw, offs = utf8(column)
     raw = LOWER[raw]
     starts, ends, before = word_spans(raw, offs, NOT_SPACE)
-    words = span_hash(prefix_hash(raw), starts, ends)
+    words = word_hashes(raw, starts, ends)
     n = np.diff(before)
     count = np.where(n > 0, np.maximum(n - k + 1, 1), 0)
     begin = np.concatenate([[0], np.cumsum(count)])
