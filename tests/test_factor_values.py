@@ -69,9 +69,25 @@ def bars(made):
 
 
 @pytest.fixture(scope="module")
-def tables(spark, made, bars):
+def wild(made):
+    """The ticks with a doubled price, a row of 1,000,000 lots, and one price of a million."""
+    out = made.copy()
+    for c in ("a", "b"):
+        at = out.index[out.contract == c]
+        for col in ["last", *(f"{side}p{i}" for side in "ab" for i in range(1, 6))]:
+            out.loc[at[345], col] *= 2
+            out.loc[at[480], col] += 1e6
+        for day in sorted(set(out.trade_day)):
+            rest = [i for i in at if out.trade_day[i] == day][60:]
+            out.loc[rest, "volume"] += 1e6
+            out.loc[rest, "turnover"] += 1e6 * out.loc[rest[0], "last"]
+    return out
+
+
+@pytest.fixture(scope="module")
+def tables(spark, made, bars, wild):
     known = {}
-    for name, frame in (("ticks", made), ("bars", bars)):
+    for name, frame in (("ticks", made), ("bars", bars), ("wild", wild)):
         df = spark.createDataFrame(frame)
         df = without_nan(df).repartition(4)
         df = df if name == "bars" else numbered(df, KEYS, ["trade_day"], ORDER)
@@ -93,9 +109,19 @@ def interpreted(spark):
 
 @pytest.mark.parametrize("name", FACTORS)
 def test_values(spark, made, bars, tables, monkeypatch, name):
+    frame, table = (bars, tables["bars"]) if FACTORS[name][3] else (made, tables["ticks"])
+    same_values(name, frame, table, monkeypatch)
+
+
+@pytest.mark.parametrize("name", [n for n, f in FACTORS.items() if not f[3] and any(w in " ".join(f[2]) for w in ("skew", "std", "corr", "kurt"))])
+def test_values_beside_outliers(spark, wild, tables, monkeypatch, name):
+    """Long frames that an outlier has left are what they would be without it."""
+    same_values(name, wild, tables["wild"], monkeypatch)
+
+
+def same_values(name, frame, table, monkeypatch):
     monkeypatch.setattr(factors, "BLOCK_ROWS", 64)
-    book, sql, names, minute = FACTORS[name]
-    frame, table = (bars, tables["bars"]) if minute else (made, tables["ticks"])
+    book, sql, names, _ = FACTORS[name]
     if name == "emv":
         table = table.join(table.groupBy("contract").agg({"vol": "avg"}).withColumnRenamed("avg(vol)", "mean_vol"), "contract")
     got = compute(table, book, names, KEYS, ORDER).select(*KEYS, "event_id", *names).toPandas().sort_values("event_id", ignore_index=True)

@@ -161,9 +161,9 @@ class Sql:
 class Spark(Sql):
     """Expressions whose work per row does not grow with the frame.
 
-    From ``FAR`` rows on, moments are differences of running sums of values less the partition's first one, and
-    extremes are those of short frames at some distances.  ``extra`` holds the columns that this needs, to be
-    worked out before.  A frame of equal values is told by the place of the last change.
+    From ``FAR`` rows on, sums are differences of running sums, centred moments are merged from those of two
+    stretches, and extremes are those of short frames at some distances.  ``extra`` holds the columns that this needs,
+    to be worked out before.  A frame of equal values is told by the place of the last change.
     """
 
     FAR = 60
@@ -191,11 +191,44 @@ class Spark(Sql):
     def held(self, x: str) -> str:
         return self.column(f"count({x}) {SO_FAR}")
 
-    def powers(self, x: str, k: int, n: int) -> tuple[str, list[str]]:
-        """How many values the frame holds, and its sums of the first n powers of (value - first value)."""
-        first = self.column(f"first_value({x}) IGNORE NULLS OVER ({{P}} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
-        d = self.column(f"CAST({x} AS DOUBLE) - {first}")
-        return self.ahead(self.held(x), k), [self.ahead(self.running(" * ".join([d] * p)), k) for p in range(1, n + 1)]
+    def moments(self, x: str, k: int, degree: int, y: str | None = None) -> str:
+        """A column of structs with the frame's centred moments: count n, mean m, sums a, b, c of powers 2, 3 and 4.
+
+        With ``y``: counts and means m, o, sums a, d of squares and e of products.  Rows are cut into stretches of
+        k.  A frame is the end of one stretch and the beginning of the next, whose moments are Spark's own over
+        open frames from either side; they are merged.  Nothing is ever taken away again, so a value spoils no
+        frame that it is not in.
+        """
+        at = self.column("row_number() OVER ({P})")
+        part = self.column(f"floor(({at} - 1) / {k})")
+        p = self._from(x, y, degree, f"{part} ORDER BY {at}")
+        q = self.column(f"lag({self._from(x, y, degree, f'{part} ORDER BY {at} DESC')}, {k - 1}) OVER ({{P}})")
+        n, d, f = f"({p}.n + {q}.n)", f"({q}.m - {p}.m)", f"({q}.o - {p}.o)"
+        fields = {"n": n, "m": f"{p}.m + {d} * {q}.n / {n}", "a": f"{p}.a + {q}.a + {d} * {d} * {p}.n * {q}.n / {n}"}
+        if y:
+            fields |= {"o": f"{p}.o + {f} * {q}.n / {n}", "d": f"{p}.d + {q}.d + {f} * {f} * {p}.n * {q}.n / {n}", "e": f"{p}.e + {q}.e + {d} * {f} * {p}.n * {q}.n / {n}"}
+        if degree > 2:
+            fields["b"] = f"{p}.b + {q}.b + power({d}, 3) * {p}.n * {q}.n * ({p}.n - {q}.n) / ({n} * {n}) + 3 * {d} * ({p}.n * {q}.a - {q}.n * {p}.a) / {n}"
+        if degree > 3:
+            fields["c"] = (
+                f"{p}.c + {q}.c + power({d}, 4) * {p}.n * {q}.n * ({p}.n * {p}.n - {p}.n * {q}.n + {q}.n * {q}.n) / power({n}, 3)"
+                f" + 6 * {d} * {d} * ({p}.n * {p}.n * {q}.a + {q}.n * {q}.n * {p}.a) / ({n} * {n}) + 4 * {d} * ({p}.n * {q}.b - {q}.n * {p}.b) / {n}"
+            )
+        both = f"named_struct({', '.join(f"'{name}', {v}" for name, v in fields.items())})"
+        return self.column(f"CASE WHEN {at} % {k} = 0 OR {q} IS NULL OR {q}.n = 0 THEN {p} WHEN {p}.n = 0 THEN {q} ELSE {both} END")
+
+    def _from(self, x: str, y: str | None, degree: int, order: str) -> str:
+        """Moments of a stretch from its first row in ``order`` to the current one."""
+        of = lambda f, *on: self.column(f"{f}({', '.join(on)}) OVER (PARTITION BY {{K}}, {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+        n, v = of("count", x), of("var_pop", x)
+        fields = {"n": f"CAST({n} AS DOUBLE)", "m": of("avg", x), "a": f"coalesce({v}, 0) * {n}"}
+        if y:
+            fields |= {"o": of("avg", y), "d": f"coalesce({of('var_pop', y)}, 0) * {n}", "e": f"coalesce({of('covar_pop', x, y)}, 0) * {n}"}
+        if degree > 2:
+            fields["b"] = f"coalesce({of('skewness', x)} * power({v}, 1.5) * {n}, 0)"
+        if degree > 3:
+            fields["c"] = f"coalesce(({of('kurtosis', x)} + 3) * {v} * {v} * {n}, 0)"
+        return self.column(f"named_struct({', '.join(f"'{name}', {text}" for name, text in fields.items())})")
 
     def flat(self, x: str, k: int) -> str:
         held = self.held(x)
@@ -216,38 +249,31 @@ class Spark(Sql):
         elif f in ("sum", "avg"):
             value = self.ahead(self.running(f"CAST({x} AS DOUBLE)"), k) + (f" / nullif({n}, 0)" if f == "avg" else "")
         else:
-            n, (s1, s2) = self.powers(x, k, 2)
-            value = f"greatest({s2} - {s1} * {s1} / {n}, 0) / nullif({n} - 1, 0)"
-            value = f"CASE WHEN {self.flat(x, k)} THEN 0.0D ELSE {value} END"
+            q = self.moments(x, k, 2)
+            value = f"CASE WHEN {self.flat(x, k)} THEN 0.0D ELSE {q}.a / nullif({q}.n - 1, 0) END"
             value = f"sqrt({value})" if f == "stddev_samp" else value
         return f"(CASE WHEN {n} >= {least} THEN {value} END)"
 
     def skew(self, x, k, least=None):
         if k < self.FAR:
             return super().skew(x, k, least)
-        n, (s1, s2, s3) = self.powers(x, k, 3)
-        m = f"({s1} / {n})"
-        third = f"({s3} / {n} - 3 * {m} * {s2} / {n} + 2 * power({m}, 3))"
-        value = f"sqrt({n} * ({n} - 1.0D)) / ({n} - 2) * {third} / nullif(power(greatest({s2} / {n} - {m} * {m}, 0), 1.5), 0)"
+        q = self.moments(x, k, 3)
+        n = f"{q}.n"
+        value = f"sqrt({n} * ({n} - 1)) / ({n} - 2) * {q}.b / {n} / nullif(power({q}.a / {n}, 1.5), 0)"
         return f"(CASE WHEN {n} >= {max(3, k if least is None else least)} AND NOT ({self.flat(x, k)}) THEN {value} END)"
 
     def kurt(self, x, k, least=None):
         if k < self.FAR:
             return super().kurt(x, k, least)
-        n, (s1, s2, s3, s4) = self.powers(x, k, 4)
-        m = f"({s1} / {n})"
-        fourth = f"({s4} / {n} - 4 * {m} * {s3} / {n} + 6 * {m} * {m} * {s2} / {n} - 3 * power({m}, 4))"
-        excess = f"({fourth} / nullif(power(greatest({s2} / {n} - {m} * {m}, 0), 2), 0) - 3)"
-        value = f"({n} - 1.0D) / (({n} - 2.0D) * ({n} - 3.0D)) * (({n} + 1.0D) * {excess} + 6)"
+        q = self.moments(x, k, 4)
+        n = f"{q}.n"
+        value = f"({n} - 1) / (({n} - 2) * ({n} - 3)) * (({n} + 1) * ({n} * {q}.c / nullif({q}.a * {q}.a, 0) - 3) + 6)"
         return f"(CASE WHEN {n} >= {max(4, k if least is None else least)} AND NOT ({self.flat(x, k)}) THEN {value} END)"
 
     def corr(self, x, y, k, least=None):
         if k < self.FAR:
             return super().corr(x, y, k, least)
         a, b = self.column(f"CASE WHEN {y} IS NOT NULL THEN {x} END"), self.column(f"CASE WHEN {x} IS NOT NULL THEN {y} END")
-        n, (sa, saa) = self.powers(a, k, 2)
-        _, (sb, sbb) = self.powers(b, k, 2)
-        da, db = (self.column(f"CAST({c} AS DOUBLE) - {self.column(f'first_value({c}) IGNORE NULLS OVER ({{P}} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)')}") for c in (a, b))
-        sab = self.ahead(self.running(f"{da} * {db}"), k)
-        value = f"({n} * {sab} - {sa} * {sb}) / nullif(sqrt(greatest({n} * {saa} - {sa} * {sa}, 0)) * sqrt(greatest({n} * {sbb} - {sb} * {sb}, 0)), 0)"
-        return f"(CASE WHEN {n} >= {max(2, k if least is None else least)} AND NOT ({self.flat(a, k)} OR {self.flat(b, k)}) THEN greatest(least({value}, 1), -1) END)"
+        q = self.moments(a, k, 2, b)
+        value = f"{q}.e / nullif(sqrt({q}.a) * sqrt({q}.d), 0)"
+        return f"(CASE WHEN {q}.n >= {max(2, k if least is None else least)} AND NOT ({self.flat(a, k)} OR {self.flat(b, k)}) THEN greatest(least({value}, 1), -1) END)"

@@ -416,6 +416,14 @@ def in_blocks(df: DataFrame, row: str, size: int, back: int, ahead: int) -> Data
     return df.withColumn("_copy", F.explode(F.array_compact(copies))).select(*[F.col(f"`{c}`") for c in df.columns], "_copy.*")
 
 
+def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` by ``keys`` in as many partitions as the session has for shuffles.
+
+    Chains of windows take long for their bytes, by which adaptive execution would join them to a few tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def over_rows(df: DataFrame, keys: list[str], order: list[str], back: int, ahead: int, fn: Callable[[DataFrame, Window], DataFrame], pieces: Iterable[str] = ("trade_day",)) -> DataFrame:
     """``fn(rows, window)`` on each key's rows in order, of which it looks ``back`` and ``ahead`` so many rows.
 
@@ -424,7 +432,7 @@ def over_rows(df: DataFrame, keys: list[str], order: list[str], back: int, ahead
     keys, order, pieces = list(keys), list(order), list(pieces)
     if set(pieces) & set(keys) or not set(pieces) <= set(df.columns):
         return fn(df, Window.partitionBy(*keys).orderBy(*order))
-    rows = in_blocks(numbered(df, keys, pieces, order, "_at"), "_at", max(BLOCK_ROWS, 8 * max(back, ahead)), back, ahead)
+    rows = dealt(in_blocks(numbered(df, keys, pieces, order, "_at"), "_at", max(BLOCK_ROWS, 8 * max(back, ahead)), back, ahead), [*keys, "_block"])
     return fn(rows, Window.partitionBy(*keys, "_block").orderBy("_at")).where("_own").drop("_own", "_block", "_at")
 
 
@@ -445,9 +453,10 @@ def compute(df: DataFrame, book: dict, names: Iterable[str], keys: Iterable[str]
         had = row in df.columns
         df = in_blocks(df if had else numbered(df, keys, pieces, order, row), row, max(BLOCK_ROWS, 8 * max(back, ahead)), back, ahead)
         keys, order = [*keys, "_block"], [row]
+        df = dealt(df, keys)
     p = f"PARTITION BY {', '.join(keys)} ORDER BY {', '.join(order)}"
     for step in steps:
-        df = df.select("*", *[F.expr(t.replace("{P}", p)).alias(n) for n, t in step.items()])
+        df = df.select("*", *[F.expr(t.replace("{P}", p).replace("{K}", ", ".join(keys))).alias(n) for n, t in step.items()])
     return (df.where("_own") if blocked else df).select(*[F.col(f"`{c}`") for c in columns])
 
 
