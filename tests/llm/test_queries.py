@@ -192,7 +192,7 @@ def test_sql(spark, folder, name):
     if name == "op8_decontaminate":
         pytest.skip("its SQL takes ids to be unique; test_decontaminate has repeated ids")
     c = duckdb.connect()
-    for t in ("documents", "labels", "benchmark", "pages"):
+    for t in ("documents", "labels", "benchmark", "pages", "embeddings"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
     df = QUERIES[name](spark, folder)
     got = c.sql(f"SELECT {', '.join(df.columns)} FROM ({ORACLE[name]})").fetchall()
