@@ -70,19 +70,3 @@ def test_a_batch_that_runs_again_is_not_counted_twice(spark, tmp_path):
     stream = streaming.read_files(spark, str(tmp_path / "in"), "n int, v double")
     rows = streaming.run_to_table(stream, str(tmp_path / "out"))
     assert [tuple(r) for r in rows.select("n", "v", "_batch").collect()] == [(1, 2.0, 0)]
-
-
-def test_elastic_net_is_a_minimum(spark):
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=(400, 3)) * [1, 5, 0.2]
-    y = x @ [1.0, 0.0, 4.0] + rng.normal(size=400)
-    full = np.c_[np.ones(400), x, y]
-    for share in (0.1, 0.7, 1.0):
-        w, b = ml.elastic_net_weights(full.T @ full, share, 0.1)
-        scaled = lambda v: v * x.std(0)
-        cost = lambda v, b: ((y - x @ v - b) ** 2).mean() / 2 + 0.1 * (share * np.abs(scaled(v)).sum() + (1 - share) * (scaled(v) ** 2).sum() / 2)
-        least = cost(w, b)
-        assert all(cost(w + d * np.eye(3)[k], b) >= least - 1e-9 for k in range(3) for d in (-1e-3, 1e-3)) and cost(w, b + 1e-3) >= least
-    df = spark.createDataFrame(pd.DataFrame(full[:, 1:], columns=["a", "b", "c", "y"]).assign(day=pd.date_range("2025-01-01", periods=400).date))
-    out = ml.elastic_net_folds(df, ["a", "b", "c"], "y", "day").collect()
-    assert {r.feature for r in out} >= {"a", "c"} and 0.5 < out[0].mse < 1.5

@@ -121,8 +121,9 @@ class Sql:
         return f"(CASE WHEN count({x}) {over(k, 1)} = {k} THEN avg({x}) {over(k, 1)} END)"
 
     def turns(self, a):
-        """Values of an array that are above, or below, both neighbours, in order."""
-        return f"filter({a}, (x, i) -> i > 0 AND i < size({a}) - 1 AND ((x > get({a}, i - 1) AND x > get({a}, i + 1)) OR (x < get({a}, i - 1) AND x < get({a}, i + 1))))"
+        """Values of an array that are above, or below, both neighbours, in order; a level stretch is one value."""
+        steps = f"filter({a}, (x, i) -> i = 0 OR x <> get({a}, i - 1))"
+        return f"filter(transform({steps}, (x, i) -> CASE WHEN i > 0 AND i < size({steps}) - 1 AND (x > get({steps}, i - 1)) = (x > get({steps}, i + 1)) THEN x END), x -> x IS NOT NULL)"
 
     def range_of_sums(self, a, mean):
         """Largest less smallest running sum of an array's deviations from ``mean``."""

@@ -60,8 +60,8 @@ def exact_quantiles(df: DataFrame, column: str, qs: list[float], accuracy: int =
     return counts.agg(*out)
 
 
-def value_ranks(df: DataFrame, keys: list[str], column: str, parts: int = 64) -> DataFrame:
-    """(keys, column, rank): the mean rank, from 1, of the rows of each value.
+def value_ranks(df: DataFrame, keys: list[str], column: str, parts: int = 64, count: str | None = None) -> DataFrame:
+    """(keys, column, rank): the mean rank, from 1, of the rows of each value; ``count`` names a column for their number.
 
     Values go to ``parts`` stretches of a key, cut by a sketch; ranks add up from the stretches' counts.
     """
@@ -71,7 +71,8 @@ def value_ranks(df: DataFrame, keys: list[str], column: str, parts: int = 64) ->
     sizes = placed.groupBy(*keys, "_part").agg(F.sum("_n").alias("_size"))
     before = sizes.select(*keys, "_part", (F.sum("_size").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_size")).alias("_before"))
     upto = F.col("_before") + F.sum("_n").over(Window.partitionBy(*keys, "_part").orderBy(column))
-    return placed.join(before, [*keys, "_part"]).select(*keys, column, (upto - (F.col("_n") - 1) / 2).alias("rank"))
+    more = [F.col("_n").alias(count)] if count else []
+    return placed.join(before, [*keys, "_part"]).select(*keys, column, (upto - (F.col("_n") - 1) / 2).alias("rank"), *more)
 
 
 def rank_ic(df: DataFrame, keys: list[str], factor: str, label: str) -> DataFrame:

@@ -1,9 +1,8 @@
-"""Models over factor tables: ridge by normal equations, elastic net over time folds, boosted trees, scoring."""
+"""Models over factor tables: ridge by normal equations, boosted trees, scoring."""
 
 from __future__ import annotations
 
 import json
-import math
 from collections.abc import Callable
 
 import numpy as np
@@ -42,71 +41,6 @@ def apply_linear(df: DataFrame, model: dict, name: str = "prediction") -> DataFr
     return df.withColumn(name, out)
 
 
-def incremental_test(df: DataFrame, test: DataFrame, base: list[str], candidates: list[str], label: str, value: Callable[[DataFrame], float], least: float) -> list[str]:
-    """Candidates that, added to the base, reach a value over ``least``; each kept one joins the base."""
-    kept = list(base)
-    for c in candidates:
-        if value(apply_linear(test, ridge(df, [*kept, c], label))) > least:
-            kept.append(c)
-    return kept
-
-
-def elastic_net_weights(moments: np.ndarray, share: float, reg: float, rounds: int = 500) -> tuple[np.ndarray, float]:
-    """Weights and intercept that minimise half the mean squared error plus ``reg`` (share |w| + (1 - share) w^2 / 2) for standardised features.
-
-    ``moments`` are the sums of products of (1, features, label); coordinate by coordinate until nothing moves.
-    """
-    n = moments[0, 0]
-    mean = moments[0, 1:] / n
-    cov = moments[1:, 1:] / n - np.outer(mean, mean)
-    scale = np.sqrt(np.maximum(np.diag(cov)[:-1], 0))
-    known = scale > 0
-    inverse = np.where(known, 1 / np.where(known, scale, 1), 0)
-    gram, target = cov[:-1, :-1] * np.outer(inverse, inverse), cov[:-1, -1] * inverse
-    w = np.zeros(len(target))
-    for _ in range(rounds):
-        before = w.copy()
-        for j in np.flatnonzero(known):
-            pull = target[j] - gram[j] @ w + gram[j, j] * w[j]
-            w[j] = np.sign(pull) * max(abs(pull) - reg * share, 0) / (gram[j, j] + reg * (1 - share))
-        if np.abs(w - before).max() < 1e-10:
-            break
-    w = w * inverse
-    return w, float(mean[-1] - mean[:-1] @ w)
-
-
-def elastic_net_folds(df: DataFrame, features: list[str], label: str, day: str, shares=(0.1, 0.3, 0.5, 0.7, 0.9, 0.95, 1.0), folds: int = 5, reg: float = 0.01) -> DataFrame:
-    """(l1_share, feature, weight, mse) of the share with the least error over expanding time folds.
-
-    One pass sums up products by fold; all fits and errors follow from these sums.
-    """
-    at = F.unix_date(F.col(day).cast("date"))
-    rows = df.dropna(subset=[*features, label]).withColumn("_at", at)
-    cuts = rows.agg(F.percentile_approx("_at", [i / (folds + 1) for i in range(1, folds + 1)], 10_000).alias("q")).first().q or []
-    columns = [F.lit(1.0), *[F.col(f).cast("double") for f in features], F.col(label).cast("double")]
-    n = len(columns)
-    fold = sum((F.when(F.col("_at") > c, 1).otherwise(0) for c in cuts), F.lit(0))
-    sums = np.zeros((folds + 1, n, n))
-    for r in rows.groupBy(fold.alias("_fold")).agg(*[F.sum(columns[i] * columns[j]).alias(f"_{i}_{j}") for i in range(n) for j in range(i, n)]).collect():
-        for i in range(n):
-            for j in range(i, n):
-                sums[r._fold, i, j] = sums[r._fold, j, i] = r[f"_{i}_{j}"]
-
-    def error(share: float) -> float:
-        each = []
-        for k in range(1, folds + 1):
-            train, test = sums[:k].sum(0), sums[k]
-            if train[0, 0] and test[0, 0]:
-                w, b = elastic_net_weights(train, share, reg)
-                v = np.array([-b, *-w, 1.0])
-                each.append(v @ test @ v / test[0, 0])
-        return float(np.mean(each)) if each else math.nan
-
-    mse, best = min((error(s), s) for s in shares)
-    weights = elastic_net_weights(sums.sum(0), best, reg)[0] if sums[:, 0, 0].sum() else []
-    return df.sparkSession.createDataFrame([(float(best), f, float(w), mse) for f, w in zip(features, weights, strict=False) if w], "l1_share double, feature string, weight double, mse double")
-
-
 def gbt(df: DataFrame, features: list[str], label: str, rounds: int = 50, depth: int = 5, seed: int = 0):
     """A boosted-tree model and its (feature, gain) table."""
     from pyspark.ml.feature import VectorAssembler

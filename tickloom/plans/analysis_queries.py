@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import session
 from ..functions.factors import TICK, compute
-from ..operators import backtest, dataset, evaluate, joins, ml, recursive
+from ..operators import backtest, dataset, evaluate, joins, linear, ml, recursive
 from . import factor_sql
 from .tables import BOOK_COLUMNS, DAILY_SQL, ORDER, TICKS_SQL, daily, levelled, numbered_ticks, ticks, view
 
@@ -641,9 +641,37 @@ def ridge(spark, sf_dir):
     return ml.apply_linear(test, model).select("l_orderkey", "l_linenumber", F.round("prediction", 5).alias("prediction"))
 
 
+_ROW = ["l_orderkey", "l_linenumber", *_FACTORS, "label"]
+
+
 @query("elastic_net")
 def elastic_net(spark, sf_dir):
-    return ml.elastic_net_folds(matrix(spark, sf_dir), _FACTORS, "label", "l_shipdate")
+    return linear.elastic_net(matrix(spark, sf_dir), _FACTORS, "label", "l_shipdate", _ROW)
+
+
+@query(
+    "fold_moments",
+    f"""WITH m AS (SELECT *, row_number() OVER (ORDER BY l_shipdate, {', '.join(_ROW)}) - 1 AS n, count(*) OVER () AS c FROM ({MATRIX})),
+f AS (SELECT CAST(CASE WHEN n < c - 5 * (c // 6) THEN 0 ELSE 1 + (n - (c - 5 * (c // 6))) // (c // 6) END AS INTEGER) AS fold, [1.0::DOUBLE, {', '.join(_FACTORS)}, label] AS x FROM m)
+SELECT fold, CAST(i - 1 AS INTEGER) AS i, CAST(j - 1 AS INTEGER) AS j, round(sum(x[i] * x[j]), 3) + 0.0 AS v FROM f, LATERAL (SELECT unnest(range(1, 6)) AS i), LATERAL (SELECT unnest(range(1, 6)) AS j) WHERE i <= j GROUP BY ALL""",
+)
+def fold_moments(spark, sf_dir):
+    """What the elastic net is solved from."""
+    rows = linear.time_folds(matrix(spark, sf_dir), "l_shipdate", _ROW)
+    return linear.products(rows, [*_FACTORS, "label"], "fold").select("fold", "i", "j", r("v", 3).alias("v"))
+
+
+@query("incremental_factors")
+def incremental_factors(spark, sf_dir):
+    """What each of some tick factors adds to order imbalance, learnt on the first 20 days and traded on the others."""
+    candidates = ["oi_ma_10", "ofi1", "net_inflow", "market_pressure", "relative_spread"]
+    book = {**TICK, "label": lambda s: s.div(s.lead("mid", 10), "mid") + " - 1"}
+    rows = compute(ticks(spark, sf_dir), book, ["order_imbalance", *candidates, "ap1_trade", "bp1_trade", "label"], DAY, ORDER)
+    split = F.expr("(SELECT date_add(min(CAST(ts AS DATE)), 20) FROM {e})".replace("{e}", f"parquet.`{sf_dir}/events.parquet`"))
+    rows = rows.withColumn("_split", split)
+    train, test = rows.where("trade_day < _split"), rows.where("trade_day >= _split").withColumns({"ap1": F.col("ap1_trade"), "bp1": F.col("bp1_trade")})
+    out = linear.incremental_test(train, test.dropna(subset=["ap1", "bp1"]), ["order_imbalance"], candidates, "label", "contract", "trade_day", ORDER)
+    return out.select("candidate", *[F.round(c, 6).alias(c) for c in ("ic", "long", "short", "net_value")])
 
 
 @query("gbt_importance")

@@ -328,7 +328,8 @@ for k in (10, 30):
         f"heavies_{k}": f"list_filter(deals_{k}, lambda x: x.v > vol_threshold)",
         f"trend_{k}": f"CASE WHEN count(vol) {w(k)} < {k} OR vol_threshold IS NULL THEN NULL WHEN len(heavies_{k}) = 0 THEN 0 ELSE ({mean_of(f'heavies_{k}', 'x.p', 'x.v')}) / ({mean_of(f'deals_{k}', 'x.p', 'x.v')}) - 1 END",
         f"prices_{k}": f"list(price) {w(k)}",
-        f"turns_{k}": f"list_filter([if(i > 1 AND i < {k} AND (prices_{k}[i] - prices_{k}[i - 1]) * (prices_{k}[i] - prices_{k}[i + 1]) > 0, prices_{k}[i], NULL) for i in range(1, {k} + 1)], lambda x: x IS NOT NULL)",
+        f"levels_{k}": f"[prices_{k}[i] for i in range(1, len(prices_{k}) + 1) if i = 1 OR prices_{k}[i] <> prices_{k}[i - 1]]",
+        f"turns_{k}": f"[levels_{k}[i] for i in range(2, len(levels_{k})) if (levels_{k}[i] - levels_{k}[i - 1]) * (levels_{k}[i] - levels_{k}[i + 1]) > 0]",
         f"peak_reversal_{k}": f"CASE WHEN len(prices_{k}) = {k} AND len(turns_{k}) >= 2 THEN (turns_{k}[1] - turns_{k}[2]) / nullif(turns_{k}[1], 0) END",
         f"storm_rows_{k}": f"list_filter(list({{'v': sup_sq, 'r': sup_ratio}}) {w(k)}, lambda x: x.v IS NOT NULL AND x.r IS NOT NULL)",
         f"storm_limit_{k}": f"{rolling('avg', 'sup_sq', k)} + {rolling('stddev_samp', 'sup_sq', k)}",

@@ -78,10 +78,11 @@ def bar_kdj(spark, sf_dir):
 
 @query(
     "bar_rma",
-    f"WITH RECURSIVE {_T}, m(contract, n, y) AS (SELECT contract, 20, avg(price) FROM t WHERE n <= 20 GROUP BY contract HAVING count(*) = 20 UNION ALL SELECT t.contract, t.n, (y * 19 + price) / 20 FROM m {_ON}) SELECT t.event_id, round(y, 5) + 0.0 AS rma FROM t LEFT JOIN m ON t.contract = m.contract AND t.n = m.n",
+    f"WITH RECURSIVE {_T}, m(contract, n, y) AS (SELECT contract, 20, avg(price) FROM t WHERE n <= 20 GROUP BY contract HAVING count(*) = 20 UNION ALL SELECT t.contract, t.n, (y * 19 + price) / 20 FROM m {_ON}) SELECT t.event_id, round(y, 4) + 0.0 AS rma FROM t LEFT JOIN m ON t.contract = m.contract AND t.n = m.n",
 )
 def bar_rma(spark, sf_dir):
-    return rounded(scans.rma(_bars(spark, sf_dir), CONTRACT, ORDER, "price", 20), "rma")
+    t = scans.rma(_bars(spark, sf_dir), CONTRACT, ORDER, "price", 20)
+    return t.select("event_id", (F.round("rma", 4) + 0.0).alias("rma"))
 
 
 _W = "p AS (SELECT a.contract, a.event_id, a.n, b.n AS o, power(9.0::DOUBLE / 11, a.n - b.n) AS w, b.price AS x FROM t a JOIN t b ON a.contract = b.contract AND b.n <= a.n)"
