@@ -2,7 +2,8 @@
 
 Leaves are stretches of a paragraph that end after a word whose hash says so (about every 16th word; in
 texts of few words more of them; inside of very long words after bytes whose hash says so), so a change
-moves no other leaf.  A paragraph ends at a line end, a section after a paragraph whose digest says so.
+moves no other leaf.  Where no hash says so for long (one word over and over, lines without a cut), a leaf ends after
+a sixteenth of the text, of 32 to 512 bytes; a change moves such ends up to the next one by a hash.  A paragraph ends at a line end, a section after a paragraph whose digest says so.
 Digests are 64 bits of blake2b: of a leaf's bytes, of a paragraph's leaves, of a section's paragraphs; the
 root has 128, of all sections and the text's size.
 
@@ -38,6 +39,10 @@ SECTION_BITS = 7
 LONG_WORD, LAST_BYTES, BYTE_BITS = 64, 8, 31
 
 
+#: A leaf without a cut has at most this share of its text's bytes, within these bounds.
+LARGEST_SHARE, LARGEST = 16, (32, 512)
+
+
 def _digest(data: bytes, size: int = 8) -> bytes:
     return hashlib.blake2b(data, digest_size=size).digest()
 
@@ -53,7 +58,14 @@ def leaf_ends(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
     for a, b in zip(start[(long := end - start > LONG_WORD)].tolist(), end[long].tolist(), strict=True):
         at = np.arange(a + LAST_BYTES, b)
         cuts.append(at[(span_hash(prefix, at - LAST_BYTES, at) & np.uint64(BYTE_BITS)) == 0])
-    return np.unique(np.concatenate(cuts))
+    ends = np.unique(np.concatenate(cuts))
+    ends = ends[ends > 0]
+    last = np.concatenate([[0], ends[:-1]])
+    most = np.clip(np.diff(offs) // LARGEST_SHARE, *LARGEST)[np.searchsorted(offs, ends) - 1]
+    more = (ends - last - 1) // most
+    first = np.cumsum(more) - more
+    inner = np.repeat(last, more) + (np.arange(more.sum()) - np.repeat(first, more) + 1) * np.repeat(most, more)
+    return np.sort(np.concatenate([ends, inner]))
 
 
 def trees(column: pa.Array) -> list[tuple[str, int]]:
