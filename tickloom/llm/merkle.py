@@ -1,9 +1,9 @@
 """Document fingerprints: Merkle trees over the paragraphs and sections of a text.
 
-Leaves are stretches of a paragraph that end after a word whose hash says so (about every 16th word; in
-texts of few words more of them; inside of very long words after bytes whose hash says so), so a change
+Leaves are stretches of a paragraph that end after a word whose hash says so (about every 16th word, at a
+text's beginning more of them; inside of very long words after bytes whose hash says so), so a change
 moves no other leaf.  Where no hash says so for long (one word over and over, lines without a cut), a leaf ends after
-a sixteenth of the text, of 32 to 512 bytes; a change moves such ends up to the next one by a hash.  A paragraph ends at a line end, a section after a paragraph whose digest says so.
+32 to 512 bytes, by its place; a change moves such ends up to the next one by a hash.  A paragraph ends at a line end, a section after a paragraph whose digest says so.
 Digests are 64 bits of blake2b: of a leaf's bytes, of a paragraph's leaves, of a section's paragraphs; the
 root has 128, of all sections and the text's size.
 
@@ -32,15 +32,15 @@ from pyspark.sql import functions as F
 from .common import documents, map_text, partitions, prefix_hash, span_hash, steps, utf8, word_spans
 from .minhash import NOT_SPACE
 
-#: A leaf ends where these bits of a word's hash are 0, by the number of words of the text up to which that holds.
-LEAF_BITS = ((16, 0), (32, 1), (64, 3), (128, 7), (1 << 62, 15))
+#: A leaf ends where these bits of a word's hash are 0, by the place of the word up to which that holds.
+LEAF_BITS = ((16, 1), (64, 3), (1 << 62, 15))
 SECTION_BITS = 7
 #: Words of more bytes are cut inside, where these bits of the hash of the last bytes are 0.
 LONG_WORD, LAST_BYTES, BYTE_BITS = 64, 8, 31
 
 
-#: A leaf without a cut has at most this share of its text's bytes, within these bounds.
-LARGEST_SHARE, LARGEST = 16, (32, 512)
+#: A leaf without a cut has at most so many bytes, by the place of its beginning up to which that holds.
+LARGEST = ((512, 32), (2048, 128), (1 << 62, 512))
 
 
 def _digest(data: bytes, size: int = 8) -> bytes:
@@ -51,17 +51,18 @@ def leaf_ends(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Ends of all leaves of all texts, one after the other."""
     start, end, before = word_spans(raw, offs, NOT_SPACE)
     prefix = prefix_hash(raw)
-    words = np.diff(before)
+    place = np.arange(len(start)) - np.repeat(before[:-1], np.diff(before))
     upto, bits = (np.array(x) for x in zip(*LEAF_BITS, strict=True))
-    mask = np.repeat(bits[np.searchsorted(upto, words)], words).astype(np.uint64)
+    mask = bits[np.searchsorted(upto, place, "right")].astype(np.uint64)
     cuts = [end[(span_hash(prefix, start, end) & mask) == 0], np.flatnonzero(raw == 10) + 1, offs[1:]]
     for a, b in zip(start[(long := end - start > LONG_WORD)].tolist(), end[long].tolist(), strict=True):
         at = np.arange(a + LAST_BYTES, b)
         cuts.append(at[(span_hash(prefix, at - LAST_BYTES, at) & np.uint64(BYTE_BITS)) == 0])
     ends = np.unique(np.concatenate(cuts))
     ends = ends[ends > 0]
-    last = np.concatenate([[0], ends[:-1]])
-    most = np.clip(np.diff(offs) // LARGEST_SHARE, *LARGEST)[np.searchsorted(offs, ends) - 1]
+    last = np.concatenate([[0], ends])[:-1].astype(np.int64)
+    upto, most = (np.array(x) for x in zip(*LARGEST, strict=True))
+    most = most[np.searchsorted(upto, last - offs[np.searchsorted(offs, ends) - 1], "right")]
     more = (ends - last - 1) // most
     first = np.cumsum(more) - more
     inner = np.repeat(last, more) + (np.arange(more.sum()) - np.repeat(first, more) + 1) * np.repeat(most, more)
