@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import session
 from ..functions.factors import TICK, compute
-from ..operators import backtest, dataset, evaluate, joins, linear, ml, recursive
+from ..operators import backtest, dataset, evaluate, joins, linear, ml, recursive, scans, spreads
 from . import factor_sql
 from .tables import BOOK_COLUMNS, DAILY_SQL, ORDER, TICKS_SQL, daily, levelled, numbered_ticks, ticks, view
 
@@ -492,9 +491,9 @@ _N = f"t AS MATERIALIZED (SELECT contract, trade_day, event_id, last, row_number
 _ON = "JOIN t ON t.contract = m.contract AND t.trade_day = m.trade_day AND t.n = m.n + 1"
 
 
-def _made(spark, sf_dir, **made):
-    t = ticks(spark, sf_dir).select("contract", "trade_day", "ts", "event_id", "last", "ap1", "bp1", "av1", "bv1")
-    return recursive.per_key(t, DAY, ORDER, made)
+def _made(spark, sf_dir):
+    """Ticks with their number in their day."""
+    return scans.day_rows(ticks(spark, sf_dir).select(*DAY, *ORDER, "last", "av1", "bv1"), DAY, ORDER)
 
 
 @query(
@@ -503,8 +502,8 @@ def _made(spark, sf_dir, **made):
 SELECT event_id, round(f, 5) AS ema_12, round(f - s, 5) + 0.0 AS macd, round(g, 5) + 0.0 AS signal, round(f - s - g, 5) + 0.0 AS histogram, round(a - b, 5) + 0.0 AS macd_long FROM m""",
 )
 def ema_macd(spark, sf_dir):
-    part = lambda k: lambda rows: recursive.macd(rows["last"].to_numpy())[k]
-    t = _made(spark, sf_dir, ema_12=lambda rows: recursive.ema(rows["last"].to_numpy(), 12), macd=part(0), signal=part(1), histogram=part(2), macd_long=lambda rows: recursive.macd(rows["last"].to_numpy(), 24, 52)[0])
+    t = spreads.decayed_means(_made(spark, sf_dir), DAY, ORDER, "row_at", {"ema_12": ("last", 12)})
+    t = scans.macd(t, DAY, ORDER, "last", {"macd": (12, 26), "macd_long": (24, 52)}).withColumnsRenamed({"macd_signal": "signal", "macd_histogram": "histogram"})
     return t.select("event_id", F.round("ema_12", 5).alias("ema_12"), *[r(c, 5).alias(c) for c in ("macd", "signal", "histogram", "macd_long")])
 
 
@@ -520,15 +519,7 @@ _RSI = {"rsi": 14, "rsi_short": 7, "rsi_long": 28}
     f"WITH RECURSIVE {_N}, {', '.join(map(_rsi_sql, _RSI.values()))} SELECT t.event_id, {', '.join(f'round(CASE WHEN m{k}.n IS NULL THEN NULL WHEN m{k}.l = 0 THEN 100 ELSE 100 - 100 / (1 + m{k}.g / m{k}.l) END, 6) AS {name}' for name, k in _RSI.items())} FROM t {' '.join(f'LEFT JOIN m{k} ON t.contract = m{k}.contract AND t.trade_day = m{k}.trade_day AND t.n = m{k}.n' for k in _RSI.values())}",
 )
 def rsi_wilder(spark, sf_dir):
-    def rsi(k: int):
-        def made(rows: pd.DataFrame):
-            out = recursive.rsi(rows["last"].to_numpy(), k)
-            out[: k - 1] = float("nan")
-            return out
-
-        return made
-
-    return _made(spark, sf_dir, **{n: rsi(k) for n, k in _RSI.items()}).select("event_id", *[F.round(n, 6).alias(n) for n in _RSI])
+    return scans.rsi(_made(spark, sf_dir), DAY, ORDER, "last", _RSI).select("event_id", *[F.round(n, 6).alias(n) for n in _RSI])
 
 
 @query(
@@ -539,8 +530,9 @@ SELECT t.event_id, round(3 * k - 2 * d, 6) + 0.0 AS kdj FROM t LEFT JOIN m ON t.
 )
 def kdj(spark, sf_dir):
     """J over highs and lows of the last 5 ticks."""
-    high, low = (lambda rows, f=f: getattr(rows["last"].rolling(5, 1), f)().to_numpy() for f in ("max", "min"))
-    return _made(spark, sf_dir, kdj=lambda rows: recursive.kdj(high(rows), low(rows), rows["last"].to_numpy())).select("event_id", r("kdj").alias("kdj"))
+    book = {"high": lambda s: s.max("last", 5, 1), "low": lambda s: s.min("last", 5, 1)}
+    t = compute(_made(spark, sf_dir), book, list(book), DAY, ORDER)
+    return scans.kdj(t, DAY, ORDER, "high", "low", "last").select("event_id", r("kdj").alias("kdj"))
 
 
 _EWM = f"WITH t AS (SELECT contract, trade_day, event_id, last, row_number() OVER ({_ORDER_BY}) AS n FROM ({TICKS_SQL})), p AS (SELECT a.event_id, power({{q}}, a.n - b.n) AS w, b.last AS x FROM t a JOIN t b ON a.contract = b.contract AND a.trade_day = b.trade_day AND b.n <= a.n), s AS (SELECT event_id, count(*) AS c, sum(w) AS s, sum(w * w) AS s2, sum(w * x) / sum(w) AS m FROM p GROUP BY 1)"
@@ -548,20 +540,36 @@ _EWM = f"WITH t AS (SELECT contract, trade_day, event_id, last, row_number() OVE
 
 @query("ewm_mean_adjust", f"{_EWM.format(q='0.8::DOUBLE')} SELECT event_id, round(m, 5) AS ewm FROM s")
 def ewm_mean_adjust(spark, sf_dir):
-    return _made(spark, sf_dir, ewm=lambda rows: recursive.ewm_mean(rows["last"].to_numpy(), 0.2)).select("event_id", F.round("ewm", 5).alias("ewm"))
+    return scans.weighted_moments(_made(spark, sf_dir), DAY, ORDER, "last", 0.2).select("event_id", F.round("ewm_mean", 5).alias("ewm"))
 
 
 @query("ewm_std", f"{_EWM.format(q='(9.0::DOUBLE / 11)')}, v AS (SELECT p.event_id, sum(p.w * (p.x - s.m) * (p.x - s.m)) AS v FROM p JOIN s USING (event_id) GROUP BY 1) SELECT event_id, round(CASE WHEN c >= 5 THEN sqrt(v / s * (s * s) / nullif(s * s - s2, 0)) END, 4) AS ewm_std FROM s JOIN v USING (event_id)")
 def ewm_std(spark, sf_dir):
-    return _made(spark, sf_dir, ewm_std=lambda rows: recursive.ewm_std(rows["last"].to_numpy(), 10, 5)).select("event_id", F.round("ewm_std", 4).alias("ewm_std"))
+    t = scans.weighted_moments(_made(spark, sf_dir), DAY, ORDER, "last", 2 / 11)
+    return t.select("event_id", F.when(F.col("row_at") >= 4, F.round("ewm_std", 4)).alias("ewm_std"))
+
 
+_STEPS = f"""t AS MATERIALIZED (SELECT contract, trade_day, event_id, last, n, last - lag(last) OVER v AS d, depth - lag(depth) OVER v AS dd, CASE WHEN n >= 10 THEN coalesce(stddev_samp(ret) OVER (PARTITION BY contract, trade_day ORDER BY n ROWS 9 PRECEDING), 0) ELSE 0 END AS vol
+FROM (SELECT *, av1 + bv1 AS depth, row_number() OVER ({_ORDER_BY}) AS n, coalesce(last / lag(last) OVER ({_ORDER_BY}) - 1, 0) AS ret FROM ({TICKS_SQL})) WINDOW v AS (PARTITION BY contract, trade_day ORDER BY n))"""
 
-@query("ewm_skew_elasticity")
+
+@query(
+    "ewm_skew_elasticity",
+    f"""WITH {_STEPS}, g AS (SELECT contract, trade_day, coalesce(nullif(avg(vol), 0), 1) AS target FROM t GROUP BY ALL), a AS (SELECT t.*, CASE WHEN vol <= 1e-8 THEN 100 ELSE greatest(10, least(100, round_even(20 * target / vol, 0))) END AS k FROM t JOIN g USING (contract, trade_day)),
+p AS (SELECT a.event_id, a.dd, b.event_id AS o, power(9.0::DOUBLE / 11, a.n - b.n) AS w, power(0.8::DOUBLE, a.n - b.n) AS u, b.last AS x, b.d, b.n > a.n - a.k AS near FROM a JOIN t b ON a.contract = b.contract AND a.trade_day = b.trade_day AND b.n <= a.n),
+s AS MATERIALIZED (SELECT event_id, any_value(dd) AS dd, sum(w * x) / sum(w) AS m, sum(u * d) / sum(u) FILTER (d IS NOT NULL) AS e, avg(x) FILTER (near) AS adaptive FROM p GROUP BY 1),
+k AS (SELECT p.event_id, sum(p.w * power(p.x - o.m, 2)) / sum(p.w) AS v2, sum(p.w * power(p.x - o.m, 3)) / sum(p.w) AS v3 FROM p JOIN s o ON o.event_id = p.o GROUP BY 1)
+SELECT event_id, round(v3 / nullif(power(v2, 1.5), 0), 5) + 0.0 AS ewm_skew, round(dd / nullif(abs(e), 0), 5) + 0.0 AS elasticity, round(adaptive, 5) + 0.0 AS adaptive FROM s JOIN k USING (event_id)""",
+)
 def ewm_skew_elasticity(spark, sf_dir):
-    return _made(
-        spark, sf_dir, ewm_skew=lambda rows: recursive.ewm_skew(rows["last"].to_numpy(), 10), elasticity=lambda rows: recursive.elasticity(rows["last"].to_numpy(), (rows["av1"] + rows["bv1"]).to_numpy()),
-        adaptive=lambda rows: recursive.adaptive_mean(rows["last"].to_numpy(), rows["last"].pct_change().fillna(0).rolling(10).std().fillna(0).to_numpy(), 20),
-    ).select("event_id", *[r(c).alias(c) for c in ("ewm_skew", "elasticity", "adaptive")])
+    book = {"_d": lambda s: s.diff("last"), "_depth": lambda s: "av1 + bv1", "_dd": lambda s: s.diff("_depth"), "_ret": lambda s: f"coalesce({s.ret('last')}, 0)", "_vol": lambda s: f"coalesce({s.std('_ret', 10)}, 0)"}
+    t = compute(_made(spark, sf_dir), book, list(book), DAY, ORDER)
+    t = scans.weighted_moments(t, DAY, ORDER, "last", 2 / 11)
+    weights = scans.weight_maps("_d", 0.2)
+    t = scans.affine_scan(t, DAY, "row_at", {"_w": weights["w"], "_s": weights["s"]})
+    t = spreads.adaptive_means(t, DAY, "row_at", "_vol", {"adaptive": ("last", 20)})
+    t = t.withColumn("elasticity", F.expr("_dd / nullif(abs(_s / nullif(_w, 0)), 0)"))
+    return t.select("event_id", *[r(c, 5).alias(c) for c in ("ewm_skew", "elasticity", "adaptive")])
 
 
 _LARGE = f"t AS MATERIALIZED (SELECT contract, trade_day, event_id, (ap1 + bp1) / 2 AS price, ap2 AS target, row_number() OVER ({_ORDER_BY}) - 1 AS n, count(*) OVER (PARTITION BY contract, trade_day) AS c, max((ap1 + bp1) / 2) OVER ({_ORDER_BY} ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) AS reach, av2 >= 30 AS big FROM ({TICKS_SQL}))"
