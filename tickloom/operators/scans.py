@@ -16,7 +16,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.factors import compute
+from ..functions.factors import compute, dealt
 
 SIZE = 64
 
@@ -27,8 +27,9 @@ def _step(a: str, b: str, y: str) -> str:
 
 def _blocks(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
     """(keys, _block, _rows): rows (keys, _at, others) in blocks, in order."""
-    fields = F.struct("_at", *[F.col(c) for c in rows.columns if c not in {*keys, "_at"}])
-    return rows.groupBy(*keys, F.floor(F.col("_at") / size).alias("_block")).agg(F.sort_array(F.collect_list(fields)).alias("_rows"))
+    fields = F.struct("_at", *[F.col(c) for c in rows.columns if c not in {*keys, "_at", "_block"}])
+    rows = dealt(rows.withColumn("_block", F.floor(F.col("_at") / size)), [*keys, "_block"])
+    return rows.groupBy(*keys, "_block").agg(F.sort_array(F.collect_list(fields)).alias("_rows"))
 
 
 def _states(blocks: DataFrame, keys: list[str], n: int, rows: int, size: int) -> DataFrame:
