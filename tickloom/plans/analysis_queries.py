@@ -672,8 +672,8 @@ def fold_moments(spark, sf_dir):
 @query("incremental_factors")
 def incremental_factors(spark, sf_dir):
     """What each of some tick factors adds to order imbalance, learnt on the first 20 days and traded on the others."""
-    candidates = ["oi_ma_10", "ofi1", "net_inflow", "market_pressure", "relative_spread"]
-    book = {**TICK, "label": lambda s: s.div(s.lead("mid", 10), "mid") + " - 1"}
+    candidates = ["spread", "ofi1", "net_inflow", "market_pressure", "relative_spread"]
+    book = {**TICK, "label": lambda s: s.div(s.lead("mid", 2), "mid") + " - 1"}
     rows = compute(ticks(spark, sf_dir), book, ["order_imbalance", *candidates, "ap1_trade", "bp1_trade", "label"], DAY, ORDER)
     split = F.expr("(SELECT date_add(min(CAST(ts AS DATE)), 20) FROM {e})".replace("{e}", f"parquet.`{sf_dir}/events.parquet`"))
     rows = rows.withColumn("_split", split)
