@@ -403,9 +403,12 @@ def numbered(df: DataFrame, keys: list[str], pieces: list[str], order: list[str]
     """
     sizes = df.groupBy(*keys, *pieces).agg(F.count("*").alias("_size"))
     before = F.sum("_size").over(Window.partitionBy(*keys).orderBy(*pieces).rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select(*keys, *pieces, F.coalesce(before, F.lit(0)).alias("_start"))
+    starts = sizes.select(*[F.col(c).alias(f"_s{i}") for i, c in enumerate([*keys, *pieces])], F.coalesce(before, F.lit(0)).alias("_start"))
+    same = F.lit(True)  # a NULL key or piece has rows like any other
+    for i, c in enumerate([*keys, *pieces]):
+        same &= F.col(c).eqNullSafe(F.col(f"_s{i}"))
     inside = df.withColumn("_inside", F.row_number().over(Window.partitionBy(*keys, *pieces).orderBy(*order)))
-    return inside.join(starts, [*keys, *pieces]).withColumn(name, F.col("_inside") + F.col("_start") - 1).drop("_inside", "_start")
+    return inside.join(starts, same).select(*df.columns, (F.col("_inside") + F.col("_start") - 1).alias(name))
 
 
 def in_blocks(df: DataFrame, row: str, size: int, back: int, ahead: int) -> DataFrame:

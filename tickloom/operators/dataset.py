@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.factors import numbered, over_rows
+from ..functions.factors import compute, numbered, over_rows
+from .order_stats import Quantile, frame_order, with_rows
 
 
 def triple_barrier(price: str, keys: list[str], order: list[str], rows: int = 10, up: float = 0.002, down: float = 0.002) -> Column:
@@ -19,18 +20,13 @@ def triple_barrier(price: str, keys: list[str], order: list[str], rows: int = 10
     return out
 
 
-def dynamic_label(df: DataFrame, price: str, keys: list[str], order: list[str], ahead: int = 10, window: int = 240, least: int = 10) -> DataFrame:
-    """``df`` with forward return and label: 1 or -1 beyond the last row's rolling 95 % or 5 % quantile of known returns."""
-
-    def labelled(df: DataFrame, w) -> DataFrame:
-        frame = w.rowsBetween(-(window - 1), 0)
-        rows = df.withColumn("forward", F.try_divide(F.lead(price, ahead).over(w), F.col(price)) - 1).withColumn("_known", F.lag("forward", ahead).over(w))
-        cut = lambda q: F.when(F.count("_known").over(frame) >= least, F.expr(f"percentile(_known, {q}D)").over(frame))
-        rows = rows.withColumn("_hi", cut(0.95)).withColumn("_lo", cut(0.05))
-        rows = rows.withColumn("_hi", F.lag("_hi").over(w)).withColumn("_lo", F.lag("_lo").over(w))
-        return rows.withColumn("label", F.when(F.col("forward") > F.col("_hi"), 1).when(F.col("forward") < F.col("_lo"), -1).otherwise(0)).drop("_known", "_hi", "_lo")
-
-    return over_rows(df, keys, order, window + ahead + 1, ahead, labelled)
+def dynamic_label(df: DataFrame, price: str, keys: list[str], order: list[str], ahead: int = 10, window: int = 240, least: int = 10, pieces: tuple[str, ...] = ("trade_day",)) -> DataFrame:
+    """``df`` with forward return and label: 1 or -1 beyond the 95 % or 5 % quantile of the ``window`` returns known at the row before."""
+    rows = with_rows(df, keys, order, pieces, "_row")
+    book = {"forward": lambda s: f"{s.div(s.lead(price, ahead), price)} - 1", "_known": lambda s: s.lag("forward", ahead + 1)}
+    rows = compute(rows, book, list(book), keys, order, pieces, "_row")
+    rows = frame_order(rows, keys, order, {"_hi": Quantile("_known", 0.95, window, least), "_lo": Quantile("_known", 0.05, window, least)}, pieces, "_row")
+    return rows.withColumn("label", F.when(F.col("forward") > F.col("_hi"), 1).when(F.col("forward") < F.col("_lo"), -1).otherwise(0)).drop("_known", "_hi", "_lo", "_row")
 
 
 def day_regimes(days: DataFrame, day: str, ret: str, volume: str, window: int = 5, q: float = 0.7) -> DataFrame:

@@ -8,6 +8,7 @@ from ..functions.expressions import Sql, over
 from ..functions.factors import MINUTE, TICK, compute, ts_corr, ts_mean, ts_std
 from ..functions.kernels import KERNEL
 from ..functions.liquidity import LIQUIDITY
+from ..operators.order_stats import Quantile, frame_order
 from . import factor_sql
 from .tables import BOOK_COLUMNS, CONTRACT, ORDER, TICKS_SQL, bars, levelled, numbered_ticks, ticks, with_mean_volume
 
@@ -126,7 +127,7 @@ minute("weight_ret_skew", _many(4, "weight_ret_skew_10min", "weight_ret_skew_30m
 minute("peak_reversal", _many(6, "peak_reversal_10", "peak_reversal_30"))
 minute("superior_covariance", _many(5, "superior_cov_10", "superior_cov_30"))
 minute("cvar", _many(7, "cvar_10", "cvar_30"))
-minute("trend_fund", _many(7, "vol_threshold", "trend_10", "trend_30"))
+minute("trend_fund", _many(7, "vol_threshold", "trend_10", "trend_30"), table=lambda b: frame_order(b, CONTRACT, ORDER, {"vol_threshold": Quantile("vol", 0.8, 240, 10)}))
 minute("roll_quantile", _many(4, "q80_10", "q20_10", "q80_30", "q20_30"))
 minute("context_set", _many(6, "psy_60", "ret_kurt_120", "amihud_ratio_60", "ret_5min", "ar_10", "lower_bb", "cv_30", "cvar_10", "bigorder_pct") | {"rp_momentum_120": 0}, extra=("bigorder_pct", "rp_momentum_120"))
 minute("market_set", _many(5, "rs_vol_30", "channel_position", "ret_kurt_120", "amihud_ratio_60", "mfi_30m", "cci_30", "psy_60") | {"rp_momentum_600": 0}, extra=("rp_momentum_600",))
