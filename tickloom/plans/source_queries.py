@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..sources import files
 from ..sources import ticks as sources
 from .tables import TICKS_SQL, ticks, view, work_folder
 
@@ -48,6 +49,24 @@ def source_arrays(spark, sf_dir):
     return sources.read_arrays(spark, path, ["event_id", "last"]).select("contract", "trade_day", "place", "event_id", "last")
 
 
+@query("source_feather", f"SELECT event_id, trade_day, last, bv1 FROM ({TICKS_SQL})")
+def source_feather(spark, sf_dir):
+    """Written as Feather files; of their columns four are read back."""
+    path = f"{work_folder(spark)}/feather"
+    files.write_files(ticks(spark, sf_dir), "feather", path)
+    return files.read_files(spark, "feather", path, ["event_id", "trade_day", "last", "bv1"])
+
+
+@query("source_npz", f"SELECT event_id, last, bv1, ap5 FROM ({TICKS_SQL})")
+def source_npz(spark, sf_dir):
+    """Written as arrays, the book as one with an axis of levels, and read back as rows."""
+    path = f"{work_folder(spark)}/npz"
+    book = F.array(*[F.array(f"ap{i}", f"bv{i}") for i in range(1, 6)]).alias("book")
+    files.write_files(ticks(spark, sf_dir).select("event_id", "last", "volume", book), "npz", path)
+    back = files.read_files(spark, "npz", path, ["book", "event_id", "last"])
+    return back.select("event_id", "last", F.col("book")[0][1].alias("bv1"), F.col("book")[4][0].alias("ap5"))
+
+
 _CLOCK = "CASE WHEN event_id % 7 = 0 THEN strftime(ts, '%H:%M') WHEN event_id % 11 = 0 THEN 'x' ELSE strftime(ts, '%H:%M:%S') END"
 
 
