@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -47,9 +47,42 @@ def running_ema(ticks: DataFrame, key: str, order: str, value: str, span: int) -
     return columns.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {order} {kinds[order]}, {value} {kinds[value]}, ema double", "last double", "append", GroupStateTimeout.NoTimeout)
 
 
-def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """Run over all that is there and read the result back; in ``update`` mode the last state of each row's batch."""
-    spark, at = stream.sparkSession, f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+def frames(ticks: DataFrame, key: str, order: list[str], columns: list[str], back: int, fn: Callable[[pd.DataFrame], pd.DataFrame], out: str, keep: list[str], keep_ms: int | None = None) -> DataFrame:
+    """Factors over frames of rows of a stream: (keep, out) for each row of ``ticks``.
+
+    The state store holds each key's last ``back`` rows of ``columns`` (as doubles), and, where ``keep_ms`` is given,
+    forgets them after so long without a row (for streams that go on: Spark runs batches without data for it, so one
+    over what is there alone would not end).  ``fn`` gets those and a batch's new rows, in order, and gives a row of ``out`` for each; only those
+    of new rows are kept.  A key's rows of one batch may come in any order, but no batch may hold rows before those of
+    an earlier one.
+    """
+
+    def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        new = pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable", ignore_index=True)
+        rows = new[columns].astype(float)
+        before = len(state.get[0]) if state.exists else 0
+        if before:
+            rows = pd.concat([pd.DataFrame(dict(zip(columns, (list(v) for v in state.get), strict=True)), dtype=float), rows], ignore_index=True)
+        last = rows.tail(back)
+        state.update(tuple(last[c].tolist() for c in columns))
+        if keep_ms is not None:
+            state.setTimeoutDuration(keep_ms)
+        yield pd.concat([new[keep], fn(rows).iloc[before:].reset_index(drop=True)], axis=1)
+
+    names = ", ".join(f"{c} {ticks.schema[c].dataType.simpleString()}" for c in keep)
+    rows = ticks.select(*dict.fromkeys([key, *order, *columns, *keep]))
+    return rows.groupBy(key).applyInPandasWithState(step, f"{names}, {out}", ", ".join(f"{c} array<double>" for c in columns), "append", GroupStateTimeout.NoTimeout if keep_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def run_to_table(stream: DataFrame, folder: str, mode: str = "append", name: str | None = None) -> DataFrame:
+    """Run over all that is there and read the result back; in ``update`` mode the last state of each row's batch.
+
+    A stream of the same folder and ``name`` goes on where the last run ended.
+    """
+    spark, at = stream.sparkSession, f"{folder.rstrip('/')}/stream-{name or uuid.uuid4().hex}"
 
     def keep(rows: DataFrame, batch: int) -> None:
         # a batch that is run again after a failure takes the place of what it wrote before
