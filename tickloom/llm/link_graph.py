@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "block"), ("org/es/", "block")]
+RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
 DAMPING, RATIO, SEED_SHARE, LEAST = 0.85, 2.0, 0.5, 0.05
 #: Ranks have settled; and after so many rounds at the latest (0.85 ** 57 is below the tolerance).
 TOLERANCE, ROUNDS = 1e-4, 100
