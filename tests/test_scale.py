@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import factors
 from tickloom.operators import backtest, dataset, evaluate, ml
+from tickloom.plans import catalogue
 from tickloom.sources import ticks as sources
 from tickloom.streaming import ticks as streaming
 
@@ -70,3 +71,17 @@ def test_a_batch_that_runs_again_is_not_counted_twice(spark, tmp_path):
     stream = streaming.read_files(spark, str(tmp_path / "in"), "n int, v double")
     rows = streaming.run_to_table(stream, str(tmp_path / "out"))
     assert [tuple(r) for r in rows.select("n", "v", "_batch").collect()] == [(1, 2.0, 0)]
+
+
+@pytest.mark.parametrize("name", ["large_order_lifecycle", "lifecycle_summary"])
+def test_no_frame_without_an_end(spark, name):
+    """Spark adds such a frame up anew for each row, so a day of n rows takes n * n steps."""
+    plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "unboundedfollowing" not in plan.lower()
+
+
+def test_rank_ic_joins_equal_rows_once(spark):
+    """Ranks go to one row for equal rows, whatever their number."""
+    df = spark.createDataFrame([("a", float(k % 3), float(k % 2)) for k in range(60)], "k string, x double, y double")
+    plan = evaluate.rank_ic(df, ["k"], "x", "y")._jdf.queryExecution().optimizedPlan().toString()
+    assert "_w" in plan and evaluate.rank_ic(df, ["k"], "x", "y").first().rank_ic == pytest.approx(0.0, abs=1e-12)

@@ -585,18 +585,13 @@ def large_order_lifecycle(spark, sf_dir):
 
 
 def _lifecycle(spark, sf_dir, ahead=10, gap=3, large=30, near=400):
-    import numpy as np
-
     t = ticks(spark, sf_dir).withColumn("price", F.expr("(ap1 + bp1) / 2")).select("contract", "trade_day", "ts", "event_id", "price", "av2", "ap2")
-    t = t.withColumn("reach", F.expr(f"max(price) OVER ({_ORDER_BY} ROWS BETWEEN 1 FOLLOWING AND {ahead} FOLLOWING)")).withColumn("left", F.expr(f"count(*) OVER ({_ORDER_BY} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"))
-
-    def kept(rows):
-        at = np.flatnonzero(rows["av2"].to_numpy() >= large)
-        out = np.zeros(len(rows))
-        out[at[recursive.spaced(at, gap)]] = 1
-        return out
-
-    events = recursive.per_key(t, DAY, ORDER, {"kept": kept}).where(f"kept = 1 AND left >= {ahead}")
+    # rows ahead are counted up to ``ahead`` only: a frame without an end is added up anew for each row
+    frame = f"OVER ({_ORDER_BY} ROWS BETWEEN 1 FOLLOWING AND {ahead} FOLLOWING)"
+    t = t.selectExpr("*", f"row_number() OVER ({_ORDER_BY}) AS n", f"max(price) {frame} AS reach", f"count(*) {frame} AS left")
+    big = t.where(f"av2 >= {large}").select(*DAY, "event_id", "n", "ap2", "reach", "left")
+    kept = lambda rows: recursive.spaced(rows["n"].to_numpy(), gap).astype(float)
+    events = recursive.per_key(big, DAY, ["n"], {"kept": kept}).where(f"kept = 1 AND left >= {ahead}")
     return events.withColumn("outcome", F.expr(f"CASE WHEN reach >= ap2 THEN 'filled' WHEN ap2 - reach <= {near} THEN 'cancelled_near' ELSE 'cancelled_far' END"))
 
 
