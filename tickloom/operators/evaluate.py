@@ -60,12 +60,14 @@ def exact_quantiles(df: DataFrame, column: str, qs: list[float], accuracy: int =
     return counts.agg(*out)
 
 
-def value_ranks(df: DataFrame, keys: list[str], column: str, parts: int = 64, count: str | None = None) -> DataFrame:
+def value_ranks(df: DataFrame, keys: list[str], column: str, parts: int = 64, count: str | None = None, weight: str | None = None) -> DataFrame:
     """(keys, column, rank): the mean rank, from 1, of the rows of each value; ``count`` names a column for their number.
 
+    With ``weight`` a row stands for so many.
+
     Values go to ``parts`` stretches of a key, cut by a sketch; ranks add up from the stretches' counts.
     """
-    counts = df.groupBy(*keys, column).agg(F.count("*").alias("_n"))
+    counts = df.groupBy(*keys, column).agg((F.sum(weight) if weight else F.count("*")).alias("_n"))
     cuts = counts.groupBy(*keys).agg(F.percentile_approx(column, [i / parts for i in range(1, parts)], 100 * parts).alias("_cuts"))
     placed = counts.join(cuts, keys).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(column)))).drop("_cuts")
     sizes = placed.groupBy(*keys, "_part").agg(F.sum("_n").alias("_size"))
@@ -78,8 +80,14 @@ def value_ranks(df: DataFrame, keys: list[str], column: str, parts: int = 64, co
 def rank_ic(df: DataFrame, keys: list[str], factor: str, label: str) -> DataFrame:
     """Spearman's correlation of each key's rows that hold both."""
     full = df.where(F.col(factor).isNotNull() & F.col(label).isNotNull()).select(*keys, F.col(factor).alias("_a"), F.col(label).alias("_b"))
-    ranked = full.join(value_ranks(full, keys, "_a").withColumnRenamed("rank", "_f"), [*keys, "_a"]).join(value_ranks(full, keys, "_b").withColumnRenamed("rank", "_l"), [*keys, "_b"])
-    return ranked.groupBy(*keys).agg(guarded_corr("_f", "_l").alias("rank_ic"))
+    # equal rows are one row: a value that many rows hold is no task of its own, and ranks are joined to fewer rows
+    cells = full.groupBy(*keys, "_a", "_b").agg(F.count("*").alias("_w"))
+    ranked = cells.join(value_ranks(cells, keys, "_a", weight="_w").withColumnRenamed("rank", "_f"), [*keys, "_a"]).join(value_ranks(cells, keys, "_b", weight="_w").withColumnRenamed("rank", "_l"), [*keys, "_b"])
+    n = F.sum("_w")
+    # mean ranks are (n + 1) / 2 always
+    spread = lambda x, y: F.sum(F.col("_w") * F.col(x) * F.col(y)) - n * ((n + 1) / 2) ** 2
+    flat = (F.max("_f") == F.min("_f")) | (F.max("_l") == F.min("_l"))
+    return ranked.groupBy(*keys).agg(F.when(~flat, F.try_divide(spread("_f", "_l"), F.sqrt(spread("_f", "_f")) * F.sqrt(spread("_l", "_l")))).alias("rank_ic"))
 
 
 def tail_means(df: DataFrame, factor: str, label: str, q: float = 0.05) -> DataFrame:
