@@ -133,3 +133,10 @@ def test_early_stop_and_edges(spark, tmp_path):
     assert none["trees"] == [] and trees.predicted(df, none).where("prediction <> 0").count() == 0
     flat = trees.boosted(df.withColumn("y", F.lit(2.5)), ["a"], "y", F.lit(None).cast("boolean"), str(tmp_path / "3"), rounds=3)
     assert flat["trees"] == [] and flat["base"] == 2.5
+
+
+def test_rows_of_the_same_bins_are_one(spark, tmp_path):
+    df = spark.range(2000).selectExpr("CAST(id % 5 AS DOUBLE) AS u", "CAST(id % 3 AS DOUBLE) AS w", "CAST(id % 5 * 2 + id % 7 AS DOUBLE) AS y")
+    trees.boosted(df, ["u", "w"], "y", F.lit(False), f"{tmp_path}/cells", rounds=2)
+    table = spark.read.parquet(f"{tmp_path}/cells/0")
+    assert table.count() == 15 and table.agg(F.sum("n")).first()[0] == 2000

@@ -4,8 +4,8 @@ Features are cut into bins by quantiles.  A round of a tree is one pass over the
 sums and squares of what is left to explain by (leaf, feature, bin), so a task emits some thousand numbers however
 many rows it reads, and a shuffle of those sums gives the histograms.  The pass looks at the children of every open
 leaf, not only of the one that is split next; splits are then taken best first until one is needed whose histograms
-are not there yet.  So a tree of 31 leaves takes about as many passes as it is deep.  Rows keep their prediction so far
-in a table that is written every ``KEEP`` trees; between, the few newer trees are added up as rows are read.
+are not there yet.  So a tree of 31 leaves takes about as many passes as it is deep.  Rows of the
+same bins are one row of a table, with their number, mean and squares; its rows keep their prediction so far, written every ``KEEP`` trees; between, the few newer trees are added up as rows are read.
 """
 
 from __future__ import annotations
@@ -127,6 +127,23 @@ def bin_cuts(df: DataFrame, features: list[str], bins: int) -> list[np.ndarray]:
     return [np.unique(np.asarray(found[f"c{i}"] or [], float)) for i in range(len(features))]
 
 
+def _cells(rows: DataFrame, names: list[str], edges: list[np.ndarray]) -> DataFrame:
+    """``rows`` (features, y, v) with features taken up to their bins' ends, and one row for equal ones: n rows, their mean m of y and squares a around it.
+
+    A tree cannot tell a bin's values apart, so counts, sums and errors come out as those of the rows themselves.
+    """
+    ends = [np.append(e, np.nan) for e in edges]
+
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch, names)
+            places = [np.where(np.isnan(x[:, f]), len(e), np.searchsorted(e, x[:, f])) for f, e in enumerate(edges)]
+            yield pa.RecordBatch.from_arrays([*[pa.array(e[at]) for e, at in zip(ends, places, strict=True)], batch.column("y"), batch.column("v")], [*names, "y", "v"])
+
+    kinds = ", ".join([*[f"{c} double" for c in names], "y double", "v boolean"])
+    return rows.select(*names, "y", "v").mapInArrow(binned, kinds).groupBy(*names, "v").agg(F.count("*").cast("double").alias("n"), F.avg("y").alias("m"), (F.var_pop("y") * F.count("*")).alias("a"))
+
+
 def boosted(df: DataFrame, features: list[str], label: str, valid: Column, folder: str, rounds: int = 100, most_leaves: int = 31, least: int = 20, rate: float = 0.05, penalty: float = 0.0, bins: int = 64, patience: int = 50) -> dict:
     """A model of squared loss: ``base``, ``trees``, ``best`` (trees that the least error on ``valid`` rows has), ``errors``.
 
@@ -141,13 +158,13 @@ def boosted(df: DataFrame, features: list[str], label: str, valid: Column, folde
     # an unknown mark counts as False: such rows are learned from
     rows = df.where(y.isNotNull() & ~F.isnan(y)).select(*[F.col(f"`{f}`").cast("double").alias(f"x{i}") for i, f in enumerate(features)], y.alias("y"), F.coalesce(valid, F.lit(False)).alias("v"))
     names = [f"x{i}" for i in range(len(features))]
-    rows.withColumn("p", F.lit(0.0)).write.parquet(f"{folder}/0")
     spark = df.sparkSession
-    table = spark.read.parquet(f"{folder}/0")
-    cuts = bin_cuts(table.where("NOT v"), names, bins)
+    cuts = bin_cuts(rows.where("NOT v"), names, bins)
     edges = [np.append(c[c < LAST], LAST) for c in cuts]
     width = max((len(e) for e in edges), default=1) + 1
-    model = {"features": features, "base": table.where("NOT v").agg(F.avg("y")).first()[0] or 0.0, "trees": [], "errors": [], "best": 0, "passes": 0}
+    _cells(rows, names, edges).withColumn("p", F.lit(0.0)).write.parquet(f"{folder}/0")
+    table = spark.read.parquet(f"{folder}/0")
+    model = {"features": features, "base": table.where("NOT v").agg(F.sum(F.col("n") * F.col("m")) / F.sum("n")).first()[0] or 0.0, "trees": [], "errors": [], "best": 0, "passes": 0}
     kept = 0
 
     def histograms(tree: dict, nodes: list[int]) -> dict[int, np.ndarray]:
@@ -160,19 +177,20 @@ def boosted(df: DataFrame, features: list[str], label: str, valid: Column, folde
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n, s = np.zeros(size + 1), np.zeros(size + 1)  # the last place is for the rows held out
             for batch in batches:
-                x, both, out = _matrix(batch, names), _matrix(batch, ["y", "p"]), np.asarray(batch.column("v").cast(pa.int8())) == 1
+                x, both, out = _matrix(batch, names), _matrix(batch, ["m", "p", "n", "a"]), np.asarray(batch.column("v").cast(pa.int8())) == 1
                 node = np.where(out, -1, place[leaves(tree, x)])
                 use = out | (node >= 0)
                 x, node, both, out = x[use], node[use], both[use], out[use]
                 left = both[:, 0] - both[:, 1] - base - predict({"base": 0.0, "trees": past}, x, first)
-                n[-1] += out.sum()
-                s[-1] += (left[out] ** 2).sum()
-                x, node, left = x[~out], node[~out], left[~out]
+                held = both[:, 2]
+                n[-1] += held[out].sum()
+                s[-1] += (both[out, 3] + held[out] * left[out] ** 2).sum()
+                x, node, left, held = x[~out], node[~out], left[~out], held[~out]
                 for f in range(len(names)):
                     b = np.where(np.isnan(x[:, f]), len(edges[f]), np.searchsorted(edges[f], x[:, f]))
                     slot = (node * len(names) + f) * width + b
-                    n[:-1] += np.bincount(slot, minlength=size)
-                    s[:-1] += np.bincount(slot, left, size)
+                    n[:-1] += np.bincount(slot, held, size)
+                    s[:-1] += np.bincount(slot, held * left, size)
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at]), pa.array(s[at])], ["slot", "n", "s"])
 
