@@ -1,10 +1,11 @@
 """Recursions y = a * y_before + b over any number of ordered rows, as scans of affine maps.
 
-Rows of a key are cut into blocks of ``SIZE`` by their number.  A block's maps compose to one map; the blocks' maps
+Rows of a key are cut into blocks of ``SIZE`` by their number.  Within a block each row gets the map of all rows from
+the block's first one on, by doubling: log2(SIZE) windows over one shuffle and sort.  The maps of the blocks' last rows
 are rows of a table ``SIZE`` times smaller, whose states are worked out the same way.  The state at a block's end is
-the next block's entry, from which its rows are replayed.  So no task ever holds more than a block of a key, work per
-row is constant, and a contract of n rows needs log(n) / log(SIZE) rounds, each a shuffle of a table that much smaller
-than the one before.
+the next block's entry, which its rows' maps are applied to.  So no task ever holds more than a block of a key, work
+per row is constant, and a contract of n rows needs log(n) / log(SIZE) rounds, each a shuffle of a table that much
+smaller than the one before.
 
 A row with a = 0 begins anew whatever came before, also after NULL; NULL states stay NULL until such a row.
 """
@@ -18,42 +19,32 @@ from pyspark.sql import functions as F
 
 from ..functions.factors import compute, dealt
 
-SIZE = 64
+SIZE = 512
 
 
 def _step(a: str, b: str, y: str) -> str:
     return f"CASE WHEN {a} = 0 THEN {b} ELSE {a} * {y} + {b} END"
 
 
-def _blocks(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """(keys, _block, _rows): rows (keys, _at, others) in blocks, in order."""
-    fields = F.struct("_at", *[F.col(c) for c in rows.columns if c not in {*keys, "_at", "_block"}])
-    rows = dealt(rows.withColumn("_block", F.floor(F.col("_at") / size)), [*keys, "_block"])
-    return rows.groupBy(*keys, "_block").agg(F.sort_array(F.collect_list(fields)).alias("_rows"))
-
-
-def _states(blocks: DataFrame, keys: list[str], n: int, rows: int, size: int) -> DataFrame:
-    """``blocks`` with ``_y``: of each row of a block the states y0 to y(n-1) behind it."""
-    entry = [f"CAST(NULL AS DOUBLE) AS e{k}" for k in range(n)]
-    if rows > size:
-        # of each block one map, the last one first: x is a row, p what the rows before make
-        zero = "CASE WHEN size(_rows) > 0 THEN 0D END"  # of a kind that may become NULL
-        first = "named_struct(" + ", ".join(f"'a{k}', 1D, 'b{k}', {zero}" for k in range(n)) + ")"
-        both = "named_struct(" + ", ".join(f"'a{k}', x.a{k} * p.a{k}, 'b{k}', {_step(f'x.a{k}', f'x.b{k}', f'p.b{k}')}" for k in range(n)) + ")"
-        maps = blocks.select(*keys, F.col("_block").alias("_at"), F.expr(f"aggregate(_rows, {first}, (p, x) -> {both})").alias("_m")).select(*keys, "_at", "_m.*")
-        upper = _states(_blocks(maps, keys, size), keys, n, -(-rows // size), size)
-        ends = upper.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.expr("inline(transform(_rows, (r, i) -> named_struct('_next', r._at + 1, '_e', _y[i])))"))
-        same = F.col("_block") == F.col("_next")
-        for i, k in enumerate(keys):
-            same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
-        blocks = blocks.join(ends, same, "left").select(*keys, "_block", "_rows", *[F.col(f"_e.y{k}").alias(f"e{k}") for k in range(n)])
+def _states(rows: DataFrame, n: int, last: int, size: int) -> DataFrame:
+    """``rows`` (_key, _at, _a0, _b0, ..., others) with the states _b0 to _b(n-1) behind each row instead of its maps."""
+    rows = dealt(rows.withColumn("_block", F.floor(F.col("_at") / size)), ["_key", "_block"])
+    h = 1
+    while h < min(size, last):  # maps of h rows and of the h rows before them make those of 2 * h rows
+        maps = F.struct(*[f"_{c}{k}" for k in range(n) for c in "ab"])
+        rows = rows.withColumn("_before", F.lag(maps, h).over(Window.partitionBy("_key", "_block").orderBy("_at")))
+        both = {f"_{c}{k}": f"CASE WHEN _before IS NULL OR _a{k} = 0 THEN _{c}{k} ELSE {f'_a{k} * _before._a{k}' if c == 'a' else _step(f'_a{k}', f'_b{k}', f'_before._b{k}')} END" for k in range(n) for c in "ab"}
+        rows = rows.selectExpr(*[f"`{c}`" for c in rows.columns if c not in {"_before", *both}], *[f"{text} AS {name}" for name, text in both.items()])
+        h *= 2
+    if last > size:
+        # a whole block's map is that of its last row
+        ends = rows.where(F.col("_at") % size == size - 1).select("_key", F.col("_block").alias("_at"), *[f"_{c}{k}" for k in range(n) for c in "ab"])
+        ends = _states(ends, n, -(-last // size), size).select("_key", (F.col("_at") + 1).alias("_block"), F.struct(*[f"_b{k}" for k in range(n)]).alias("_entry"))
+        rows = rows.join(ends, ["_key", "_block"], "left")
     else:
-        blocks = blocks.selectExpr("*", *entry)
-    now = "named_struct(" + ", ".join(f"'y{k}', {_step(f'x.a{k}', f'x.b{k}', f's.now.y{k}')}" for k in range(n)) + ")"
-    begin = "named_struct(" + ", ".join(f"'y{k}', e{k}" for k in range(n)) + ")"
-    kind = f"array<struct<{', '.join(f'y{k}: double' for k in range(n))}>>"
-    out = f"aggregate(_rows, named_struct('now', {begin}, 'all', CAST(array() AS {kind})), (s, x) -> named_struct('now', {now}, 'all', concat(s.all, array({now}))), s -> s.all)"
-    return blocks.select(*keys, "_block", "_rows", F.expr(out).alias("_y"))
+        rows = rows.withColumn("_entry", F.expr(f"CAST(NULL AS struct<{', '.join(f'_b{k}: double' for k in range(n))}>)"))
+    done = [f"{_step(f'_a{k}', f'_b{k}', f'_entry._b{k}')} AS _b{k}" for k in range(n)]
+    return rows.selectExpr(*[f"`{c}`" for c in rows.columns if c not in {"_block", "_entry", *[f"_{c}{k}" for k in range(n) for c in "ab"]}], *done)
 
 
 def affine_scan(df: DataFrame, keys: Iterable[str], row: str, maps: dict[str, tuple[str, str]], size: int = SIZE) -> DataFrame:
@@ -64,11 +55,12 @@ def affine_scan(df: DataFrame, keys: Iterable[str], row: str, maps: dict[str, tu
     """
     keys, names = list(keys), list(maps)
     last = df.agg(F.max(row)).first()[0]
-    both = [F.expr(f"CAST({t} AS DOUBLE)").alias(f"{c}{k}") for k, m in enumerate(maps.values()) for c, t in zip("ab", m, strict=True)]
-    rows = df.select(*[F.col(f"`{k}`") for k in keys], F.col(row).cast("long").alias("_at"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *both)
-    done = _states(_blocks(rows, keys, size), keys, len(names), (last or 0) + 1, size)
-    out = done.select(F.expr("inline(transform(_rows, (r, i) -> named_struct('r', r._row, 'y', _y[i])))"))
-    return out.select(*[F.col(f"r.`{c}`") for c in df.columns], *[F.col(f"y.y{k}").alias(n) for k, n in enumerate(names)])
+    both = [F.expr(f"CAST({t} AS DOUBLE)").alias(f"_{c}{k}") for k, m in enumerate(maps.values()) for c, t in zip("ab", m, strict=True)]
+    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]
+    # a struct is never NULL, and equal to others with NULL in the same places
+    rows = df.select(F.struct(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)]).alias("_key"), F.col(row).cast("long").alias("_at"), *own, *both)
+    done = _states(rows, len(names), (last or 0) + 1, size)
+    return done.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)], *[F.col(f"_b{k}").alias(n) for k, n in enumerate(names)])
 
 
 def day_rows(df: DataFrame, keys: list[str], order: list[str], row: str = "row_at") -> DataFrame:
