@@ -1,5 +1,7 @@
 """Elastic nets, bordered ridges and tests of one more factor against plain versions over rows."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -64,6 +66,25 @@ def test_elastic_net_without_rows_or_variance(spark, table):
     assert "flat" not in {r.feature for r in linear.elastic_net(df, ["a", "flat", "c"], "y", "day", ["at"], steps=10).collect()}
 
 
+@pytest.mark.parametrize("parts", [1, 2, 7, 40])
+def test_products_are_sums_without_rounding_on_the_way(spark, parts):
+    """However rows are dealt out, and beside values that take each other away."""
+    rng, n = np.random.default_rng(3), 4000
+    f = pd.DataFrame({"a": rng.integers(0, 11, n) / 100, "b": rng.integers(1, 51, n) / 10, "c": np.tile([1e9, 0.1, -1e9, 0.3], n // 4), "k": rng.integers(0, 3, n)})
+    got = {(r.fold, r.i, r.j): r.v for r in linear.products(spark.createDataFrame(f).repartition(parts), list("abc"), "k").collect()}
+    assert len(got) == 30
+    for (k, i, j), v in got.items():
+        x = np.column_stack([np.ones(n), f[list("abc")]])[f.k == k]
+        assert v == math.fsum(x[:, i] * x[:, j])
+
+
+def test_products_of_infinite_values_and_of_no_rows(spark):
+    f = spark.createDataFrame([(1.0, 2.0), (float("inf"), 3.0), (1e200, 4.0)], "a double, b double")
+    got = {(r.i, r.j): r.v for r in linear.products(f.repartition(3), ["a", "b"]).collect()}
+    assert got[1, 1] == got[0, 1] == got[1, 2] == np.inf and (got[0, 0], got[0, 2], got[2, 2]) == (3, 9, 29)
+    assert linear.products(f.limit(0), ["a", "b"]).count() == 0
+
+
 @pytest.mark.parametrize("base", [0, 1, 3])
 def test_bordered_ridges(table, base):
     m = np.column_stack([np.ones(len(table)), table[["a", "b", "c", "d", "y"]]])

@@ -17,22 +17,52 @@ from . import backtest, evaluate
 SHARES = (0.1, 0.5, 0.7, 0.9, 0.95, 0.99, 1.0)
 
 
+def _sums(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of each row of ``p``, and what was lost to rounding in it (two-sums in a tree)."""
+    lost = np.zeros(len(p))
+    while p.shape[1] > 1:
+        if p.shape[1] % 2:
+            p = np.pad(p, ((0, 0), (0, 1)))
+        a, b = p[:, ::2], p[:, 1::2]
+        p = a + b
+        t = p - a
+        lost += ((a - (p - t)) + (b - t)).sum(1)
+    return p[:, 0], lost
+
+
 def products(df: DataFrame, columns: list[str], fold: str | None = None) -> DataFrame:
-    """(fold, i, j, v): sums of products of columns i <= j of each fold; column 0 is 1, ``columns`` follow; rows without NULL."""
+    """(fold, i, j, v): sums of products of columns i <= j of each fold; column 0 is 1, ``columns`` follow; rows without NULL.
+
+    What a sum loses to rounding is carried along to its end, so v does not depend on how rows are dealt out.
+    """
     x = F.array(F.lit(1.0), *[F.col(f"`{c}`").cast("double") for c in columns])
     rows = df.select((F.col(fold).cast("int") if fold else F.lit(0)).alias("fold"), x.alias("x"))
     i, j = np.triu_indices(len(columns) + 1)
 
     def run(batches):
-        total: dict[int, np.ndarray] = {}
-        for b in batches:
-            f, x = b.column(0).to_numpy(), b.column(1).flatten().to_numpy().reshape(len(b), -1)
-            for k in np.unique(f).tolist():
-                total[k] = total.get(k, 0) + x[f == k].T @ x[f == k]
-        for k, t in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), k, np.int32)), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(t[i, j])], names=["fold", "i", "j", "v"])
-
-    return rows.mapInArrow(run, "fold int, i int, j int, v double").groupBy("fold", "i", "j").agg(F.sum("v").alias("v"))
+        total: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        with np.errstate(over="ignore", invalid="ignore"):  # infinite values stay so
+            for b in batches:
+                f, x = b.column(0).to_numpy(), b.column(1).flatten().to_numpy().reshape(len(b), -1)
+                for k in np.unique(f).tolist():
+                    y = np.ascontiguousarray(x[f == k].T)
+                    v, lost = (np.concatenate(c) for c in zip(*(_sums(y[n] * y[n:]) for n in range(len(y))), strict=True))
+                    if k in total:
+                        v, more = _sums(np.column_stack([total[k][0], v]))
+                        lost += total[k][1] + more
+                    total[k] = v, lost
+        for k, (v, lost) in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), k, np.int32)), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(v), pa.array(lost)], names=["fold", "i", "j", "v", "lost"])
+
+    def add(x, y):
+        v = x.v + y.v
+        t = v - x.v
+        return F.struct(v.alias("v"), (x.lost + y.lost + ((x.v - (v - t)) + (y.v - t))).alias("lost"))
+
+    # one row a task
+    parts = rows.mapInArrow(run, "fold int, i int, j int, v double, lost double").groupBy("fold", "i", "j").agg(F.collect_list(F.struct("v", "lost")).alias("parts"))
+    zero = F.struct(F.lit(0.0).alias("v"), F.lit(0.0).alias("lost"))
+    return parts.select("fold", "i", "j", F.aggregate("parts", zero, add, lambda x: x.v + F.nanvl(x.lost, F.lit(0.0))).alias("v"))
 
 
 def as_matrices(sums: DataFrame, columns: int, folds: int = 1) -> np.ndarray:
